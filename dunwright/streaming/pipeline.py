@@ -1,0 +1,127 @@
+"""Event stream to decisions: parse, validate, quarantine, decide, audit, store.
+
+The stream itself keeps no state.  Exactly-once per idempotency key comes from the
+store: every micro-batch inserts only keys no earlier batch stored, and a batch that
+runs again replaces its own output.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from ..config import PolicyConfig, TraceConfig
+from ..functions.scalars import stable_id, text
+from ..operators import decide, store as S
+from ..sources.store import ParquetStore
+
+EVENT_TEXT = "value string"
+# Below this many rows in a batch its keys are broadcast to filter the stored keys.
+SMALL_BATCH = 200_000
+
+
+@dataclass(frozen=True)
+class Pipeline:
+    """Settings of a decision stream over one store."""
+
+    store: ParquetStore
+    model_name: str = "recovery_scorecard"
+    model_version: str = "unversioned"
+    strategy: str = S.DEFAULT_STRATEGY
+    trace: TraceConfig = TraceConfig()
+    policy: PolicyConfig = PolicyConfig()
+    received_at: str = "current_timestamp()"  # SQL text; a literal makes runs repeatable
+
+    def run(self, events: DataFrame, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+        """Start the stream of JSON text rows (column ``value``)."""
+        writer = (events.writeStream.foreachBatch(self.process_batch)
+                  .option("checkpointLocation", checkpoint))
+        return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+    def process_batch(self, raw: DataFrame, batch_id: int) -> None:
+        """Decide one micro-batch and write it to ``batch_id`` of every table.
+
+        Rows without any key get a UUID, and times default to now; both are fixed by
+        writing the parsed batch before anything else reads it.
+        """
+        store = self.store
+        parsed = decide.resolve_idempotency(decide.parse_events(raw)).selectExpr(
+            "*", f"{self.received_at} _received", "uuid() _row",
+        ).selectExpr("* except (payment_id)", "coalesce(payment_id, uuid()) payment_id")
+        incoming = _frozen(parsed, f"{store.path('incoming')}/batch_id={batch_id}")
+        incoming.filter("not is_valid").selectExpr(
+            "raw_event_payload", "idempotency_key", "errors", "_received received_at",
+        ).write.mode("overwrite").parquet(f"{store.path('quarantine')}/batch_id={batch_id}")
+
+        valid = incoming.filter("is_valid")
+        known = store.read("payment_events", before_batch=batch_id).select("idempotency_key")
+        new = S.first_per_key(valid, ["idempotency_key"], ["_received", "_row"]).join(
+            matching_keys(valid, known), "idempotency_key", "left_anti")
+        scored = decide.run_bounded_recovery(decide.score_payments(new), self.policy)
+        traced = decide.decision_trace(
+            scored.withColumnRenamed("decision_reason", "policy_reason"), self.trace)
+        model_id = stable_id("model", text(self.model_name), text(self.model_version))
+        decided = _frozen(
+            S.with_decision_id(traced, self.strategy),
+            f"{store.path('decided')}/batch_id={batch_id}")
+
+        # Decision, audit and outcome rows first, the event rows last: an event is only
+        # "known" to later batches once everything about it is stored.
+        decisions = S.decision_rows(decided, "_received", model_id, self.strategy)
+        store.write_batch("recovery_decisions", decisions, batch_id)
+        store.write_batch("audit_records", S.audit_rows(decisions.join(
+            decided.select("decision_id", "payment_id"), "decision_id")), batch_id)
+        store.write_batch("recovery_outcomes", S.outcome_rows(decided, "_received"), batch_id)
+        versions = self.store.spark.sql(
+            f"select {text(self.model_name)} model_name, {text(self.model_version)} model_version")
+        stored_models = store.read("model_versions", before_batch=batch_id)
+        store.write_batch("model_versions", S.insert_if_absent(
+            S.model_rows(versions, self.received_at), stored_models,
+            ["model_name", "model_version"], ["model_version_id"]), batch_id)
+        event_rows = S.event_rows(decided, "_received")
+        store.write_batch("event_status_log", event_rows.selectExpr(
+            "event_id", "inline(array(struct('RECEIVED' as processing_status, 0 as step),"
+            " struct('DECISIONED' as processing_status, 1 as step),"
+            " struct('AUDIT_WRITTEN' as processing_status, 2 as step)))",
+            "event_received_at changed_at"), batch_id)
+        store.write_batch("payment_events", event_rows, batch_id)
+
+
+def _frozen(df: DataFrame, path: str) -> DataFrame:
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def matching_keys(batch: DataFrame, stored: DataFrame, key: str = "idempotency_key",
+                  small: int = SMALL_BATCH) -> DataFrame:
+    """Stored keys that occur in the batch.
+
+    A small batch (checked) is broadcast, so the stored keys are filtered where they
+    are read; a larger one meets them in an ordinary shuffle join.
+    """
+    keys = batch.select(key).distinct()
+    if batch.limit(small + 1).count() <= small:
+        keys = F.broadcast(keys)
+    return stored.join(keys, key, "left_semi")
+
+
+def deduplicate(events: DataFrame, key: str = "idempotency_key", event_time: str = "event_time",
+                delay: str = "1 day") -> DataFrame:
+    """Streaming dedup with state bounded by a watermark (copies within ``delay``)."""
+    return events.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([key])
+
+
+def read_event_stream(spark: SparkSession, folder: str, files_per_batch: int = 100) -> DataFrame:
+    """JSON-lines files of a folder as a stream of text rows."""
+    return spark.readStream.schema(EVENT_TEXT).option(
+        "maxFilesPerTrigger", files_per_batch).text(folder)
+
+
+def duplicate_answers(batch: DataFrame, store: ParquetStore) -> DataFrame:
+    """Stored decisions for the keys of a batch (what a duplicate gets back)."""
+    return S.stored_decisions(
+        store.read("payment_events").join(
+            batch.select("idempotency_key").distinct(), "idempotency_key", "left_semi"),
+        store.read("recovery_decisions"))
