@@ -1 +1,227 @@
-"""Placeholder."""
+"""Evaluation of scores against observed outcomes, and model training."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+from ..operators import evaluation as E, learning as ML
+from ..operators.ordering import materialize, shared_folder
+from .registry import Tables, digits, money, query, whole
+
+_COUNTS_SQL = """, counts AS (
+  SELECT recovery_probability AS score, count(*) FILTER (WHERE recovered = 1) AS pos,
+    count(*) FILTER (WHERE recovered = 0) AS neg FROM scored GROUP BY 1
+), curve AS (
+  SELECT *, sum(pos) OVER (ORDER BY score DESC) AS tp, sum(neg) OVER (ORDER BY score DESC) AS fp,
+    sum(pos) OVER () AS pos_total, sum(neg) OVER () AS neg_total FROM counts
+), area AS (
+  SELECT sum(neg * (2 * tp - pos))::DOUBLE / (2.0 * max(pos_total)::DOUBLE * max(neg_total)::DOUBLE) AS roc_auc,
+    sum(pos * tp::DOUBLE / (tp + fp)::DOUBLE) / max(pos_total)::DOUBLE AS average_precision FROM curve
+), flat AS (
+  SELECT count(*) AS n, count(*) FILTER (WHERE recovered = 1 AND p > 0.5) AS tp,
+    count(*) FILTER (WHERE recovered = 0 AND p > 0.5) AS fp,
+    count(*) FILTER (WHERE recovered = 1 AND p <= 0.5) AS fn,
+    avg((p - recovered) * (p - recovered)) AS brier FROM scored)"""
+
+
+@query("confusion_matrix", """
+SELECT recovered::BIGINT AS actual, count(*) FILTER (WHERE p <= 0.5) AS predicted_0,
+  count(*) FILTER (WHERE p > 0.5) AS predicted_1 FROM scored GROUP BY recovered""")
+def confusion_matrix(t: Tables) -> DataFrame:
+    return E.confusion_matrix(t.scored).selectExpr(whole("actual"), "predicted_0", "predicted_1")
+
+
+@query("classification_metrics", _COUNTS_SQL + f"""
+SELECT {digits('(n - fp - fn)::DOUBLE / n', 'accuracy')}, {digits('tp::DOUBLE / (tp + fp)', 'precision')},
+  {digits('tp::DOUBLE / (tp + fn)', 'recall')}, {digits('2.0 * tp::DOUBLE / (2 * tp + fp + fn)', 'f1')},
+  {digits('roc_auc')} FROM flat, area""")
+def classification_metrics(t: Tables) -> DataFrame:
+    return E.all_metrics(t.scored_table).selectExpr(
+        *[digits(c) for c in ("accuracy", "precision", "recall", "f1", "roc_auc")])
+
+
+@query("roc_curve", _COUNTS_SQL + f"""
+SELECT coalesce(score::DOUBLE, 2) AS threshold, {digits('tp::DOUBLE / pos_total::DOUBLE', 'tpr')},
+  {digits('fp::DOUBLE / neg_total::DOUBLE', 'fpr')} FROM curve UNION ALL SELECT 2, 0, 0""")
+def roc_curve(t: Tables) -> DataFrame:
+    return E.roc_curve(t.scored).selectExpr(
+        "coalesce(cast(threshold as double), 2D) threshold", digits("tpr"), digits("fpr"))
+
+
+@query("roc_corners", _COUNTS_SQL + f""", kept AS (
+  SELECT *, lead(pos) OVER (ORDER BY score DESC) AS np, lead(neg) OVER (ORDER BY score DESC) AS nn FROM curve)
+SELECT score::DOUBLE AS threshold, {digits('tp::DOUBLE / pos_total::DOUBLE', 'tpr')},
+  {digits('fp::DOUBLE / neg_total::DOUBLE', 'fpr')} FROM kept WHERE np IS NULL OR np <> pos OR nn <> neg
+UNION ALL SELECT 2, 0, 0""")
+def roc_corners(t: Tables) -> DataFrame:
+    return E.roc_corners(t.scored).selectExpr(
+        "coalesce(cast(threshold as double), 2D) threshold", digits("tpr"), digits("fpr"))
+
+
+@query("roc_auc", _COUNTS_SQL + f" SELECT {digits('roc_auc')} FROM area")
+def roc_auc(t: Tables) -> DataFrame:
+    return E.rank_metrics(t.scored).selectExpr(digits("roc_auc"))
+
+
+@query("average_precision", _COUNTS_SQL + f" SELECT {digits('average_precision')} FROM area")
+def average_precision(t: Tables) -> DataFrame:
+    return E.rank_metrics(t.scored).selectExpr(digits("pr_auc", "average_precision"))
+
+
+@query("brier", _COUNTS_SQL + f" SELECT {digits('brier')} FROM flat")
+def brier(t: Tables) -> DataFrame:
+    return E.brier_score(t.scored).selectExpr(digits("brier"))
+
+
+@query("calibration_curve", f"""
+SELECT bin, count(*) AS n, {digits('sum(recovery_probability)::DOUBLE / count(*)', 'mean_predicted')},
+  {digits('avg(recovered)', 'fraction_of_positives')} FROM (
+  SELECT *, (SELECT count(*) FROM range(1, 10) r(i) WHERE i / 10.0::DOUBLE < p) AS bin FROM scored)
+GROUP BY bin""")
+def calibration_curve(t: Tables) -> DataFrame:
+    return E.calibration_curve(t.scored).selectExpr(
+        whole("bin"), "n", digits("mean_predicted"), digits("fraction_of_positives"))
+
+
+_FOLDS_SQL = """, folded AS (
+  SELECT *, (row_number() OVER (PARTITION BY recovered
+    ORDER BY sha256(payment_id || '_42'), payment_id) - 1) % 5 AS fold FROM scored)"""
+
+
+@query("stratified_folds", _FOLDS_SQL + f" SELECT payment_id, {whole('fold')}, {whole('recovered')} FROM folded")
+def stratified_folds(t: Tables) -> DataFrame:
+    return E.stratified_folds(t.payments.select("payment_id", "recovered")).selectExpr(
+        "payment_id", whole("fold"), whole("recovered"))
+
+
+@query("holdout_split", _FOLDS_SQL + """
+SELECT fold = 0 AS is_test, recovered::BIGINT AS recovered, count(*) AS n FROM folded GROUP BY ALL""")
+def holdout_split(t: Tables) -> DataFrame:
+    return E.holdout_split(t.payments.select("payment_id", "recovered")).groupBy(
+        "is_test", "recovered").count().selectExpr("is_test", whole("recovered"), "count n")
+
+
+# Two models to compare: the scorecard, and its complement blended with the flag.
+_MODELS_SQL = _FOLDS_SQL + """, models AS (
+  SELECT 'scorecard' AS model, fold, recovered, recovery_probability AS score FROM folded
+  UNION ALL SELECT 'reversed', fold, recovered, CAST(1 - recovery_probability AS DECIMAL(7,6)) FROM folded
+), counts AS (
+  SELECT model, fold, score, count(*) FILTER (WHERE recovered = 1) AS pos,
+    count(*) FILTER (WHERE recovered = 0) AS neg FROM models GROUP BY ALL
+), curve AS (
+  SELECT *, sum(pos) OVER (PARTITION BY model, fold ORDER BY score DESC) AS tp,
+    sum(pos) OVER (PARTITION BY model, fold) AS pt, sum(neg) OVER (PARTITION BY model, fold) AS nt FROM counts
+), per_fold AS (
+  SELECT model, fold, sum(neg * (2 * tp - pos))::DOUBLE / (2.0 * max(pt)::DOUBLE * max(nt)::DOUBLE) AS roc_auc
+  FROM curve GROUP BY ALL
+), flat AS (
+  SELECT model, fold, count(*) FILTER (WHERE (score > 0.5) = (recovered = 1))::DOUBLE / count(*) AS accuracy,
+    avg((score::DOUBLE - recovered) * (score::DOUBLE - recovered)) AS brier FROM models GROUP BY ALL)"""
+
+
+def _fold_metrics(t: Tables) -> DataFrame:
+    folded = E.stratified_folds(t.scored.select("payment_id", "recovered", "recovery_probability"))
+    models = folded.selectExpr("fold", "recovered", """inline(array(
+        struct('scorecard' as model, recovery_probability as score),
+        struct('reversed' as model, cast(1 - recovery_probability as decimal(7,6)) as score)))""")
+    return E.all_metrics(models, score="score", by=["model", "fold"])
+
+
+@query("fold_summary", _MODELS_SQL + """
+SELECT model, round(avg(accuracy), 4) AS accuracy_mean, round(stddev_samp(accuracy), 4) AS accuracy_std,
+  round(avg(roc_auc), 4) AS roc_auc_mean, round(stddev_samp(roc_auc), 4) AS roc_auc_std,
+  round(avg(brier), 4) AS brier_mean, round(stddev_samp(brier), 4) AS brier_std
+FROM flat JOIN per_fold USING (model, fold) GROUP BY model""")
+def fold_summary(t: Tables) -> DataFrame:
+    return E.fold_summary(_fold_metrics(t)).select(
+        "model", "accuracy_mean", "accuracy_std", "roc_auc_mean", "roc_auc_std", "brier_mean", "brier_std")
+
+
+@query("champion_selection", _COUNTS_SQL + f""", both AS (
+  SELECT 'scorecard' AS model, round(roc_auc, 6) AS roc_auc FROM area
+  UNION ALL SELECT 'reversed', round(1 - round(roc_auc, 6), 6) FROM area)
+SELECT model AS champion, {digits('roc_auc')} FROM both ORDER BY roc_auc DESC, model = 'scorecard' DESC LIMIT 1""")
+def champion_selection(t: Tables) -> DataFrame:
+    area = E.rank_metrics(t.scored).selectExpr("round(roc_auc, 6) a")
+    both = area.selectExpr("inline(array(struct('scorecard' as model, a as roc_auc), "
+                           "struct('reversed' as model, round(1 - a, 6) as roc_auc)))")
+    return E.champion(both, "scorecard").selectExpr("champion", digits("roc_auc"))
+
+
+@query("calibration_verdict", _MODELS_SQL + """, m AS (
+  SELECT model, round(avg(brier), 4) AS b FROM flat GROUP BY model), v AS (
+  SELECT max(b) FILTER (WHERE model = 'scorecard') AS plain_brier,
+    max(b) FILTER (WHERE model = 'reversed') AS calibrated_brier FROM m)
+SELECT *, calibrated_brier < plain_brier AS calibration_accepted,
+  plain_brier - calibrated_brier > 0.001 AS refit FROM v""")
+def calibration_verdict(t: Tables) -> DataFrame:
+    """The acceptance rule, applied to the two compared models."""
+    return E.calibration_verdict(E.fold_summary(_fold_metrics(t)), "scorecard", "reversed")
+
+
+def _attribution_sql() -> str:
+    parts = []
+    for name, weight in E.SCORECARD_COEFFICIENTS.items():
+        column, _, value = name.partition("=")
+        x = f"({column} = '{value}')::INT::DOUBLE" if value else f"{column}::DOUBLE"
+        parts.append(f"SELECT '{name}' AS feature, round(avg(abs({weight!r}::DOUBLE * ({x} - "
+                     f"(SELECT avg({x}) FROM payments)))), 6) AS importance FROM payments")
+    return " UNION ALL ".join(parts)
+
+
+@query("linear_attribution", _attribution_sql())
+def linear_attribution(t: Tables) -> DataFrame:
+    return E.linear_attribution(materialize(t.payments)).selectExpr("feature", digits("importance"))
+
+
+# --- training: Spark's own solvers, checked by rows and by tests with tolerances -----------
+
+
+def _split(t: Tables) -> tuple[DataFrame, DataFrame]:
+    split = E.holdout_split(t.payments)
+    return split.filter("not is_test").drop("is_test"), split.filter("is_test").drop("is_test")
+
+
+@query("train_lr")
+def train_lr(t: Tables) -> DataFrame:
+    train, test = _split(t)
+    scored = materialize(ML.predict(ML.train_logistic(train), test))
+    return E.all_metrics(scored, score="model_score").selectExpr("'Logistic Regression' model", "*")
+
+
+@query("train_gbt")
+def train_gbt(t: Tables) -> DataFrame:
+    train, test = _split(t)
+    scored = materialize(ML.predict(ML.train_boosted(train), test))
+    return E.all_metrics(scored, score="model_score").selectExpr("'Boosted Trees' model", "*")
+
+
+@query("cv_metrics")
+def cv_metrics(t: Tables) -> DataFrame:
+    """Five stratified folds of the class-balanced logistic model."""
+    scores = ML.cross_validated_scores(t.payments, calibrated=False)
+    return E.fold_summary(ML.cross_validation_metrics(scores))
+
+
+@query("isotonic_calibration")
+def isotonic_calibration(t: Tables) -> DataFrame:
+    """Hold-out metrics of the plain and the calibrated model, and their calibration curves' size."""
+    train, test = _split(t)
+    train, test = materialize(train), materialize(test)
+    plain = ML.predict(ML.train_logistic(train, balanced=True), test)
+    calibrated = ML.train_calibrated(train).transform(test)
+    both = materialize(plain.selectExpr(f"'{ML.PLAIN}' model", "recovered", "model_score").unionByName(
+        calibrated.selectExpr(f"'{ML.CALIBRATED}' model", "recovered", "model_score")))
+    return E.all_metrics(both, score="model_score", by=["model"])
+
+
+@query("batch_score_model")
+def batch_score_model(t: Tables) -> DataFrame:
+    """Train, save, load, score everything and attach decisions."""
+    import uuid
+
+    path = f"{shared_folder(t.spark)}/model-{uuid.uuid4().hex}"
+    ML.save_model(ML.train_logistic(t.payments), path)
+    scored = ML.batch_score(path, t.payments)
+    return scored.selectExpr("payment_id", "cast(recovery_probability as double) recovery_probability",
+                             money("expected_recovery"), "priority", "recommended_action")
