@@ -151,6 +151,7 @@ def key_input_factors(columns: list[str]) -> str:
         return f"concat({text(label)}, {shown})"
 
     rate = f"cast({value('historical_success_rate', '0')} as double) * 100"
+    overdue = value("days_overdue", "0")  # whole numbers without a fraction, whatever the type
     return ", ".join([
         "array(" + line("Payment amount: ", rupees("payment_amount")),
         line("Historical success rate: ", f"cast(cast(bround({rate}, 0) as bigint) as string), '%'"),
@@ -158,5 +159,6 @@ def key_input_factors(columns: list[str]) -> str:
         line("Past failed payments: ", value("past_failed_payments", "0")),
         line("Failure reason: ", value("failure_reason", "'unknown'")),
         line("Recovery attempts so far: ", value("recovery_attempts_so_far", "0")),
-        line("Days overdue: ", value("days_overdue", "0")) + ")",
+        line("Days overdue: ", f"if({overdue} = floor({overdue}), cast(cast({overdue} as bigint) "
+                               f"as string), cast({overdue} as string))") + ")",
     ])

@@ -5,9 +5,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
-from ..config import FAILURE_REASONS, PAYMENT_METHODS, REQUIRED_FEATURES
+from ..config import FAILURE_REASONS, NUMERIC_FEATURES, PAYMENT_METHODS, REQUIRED_FEATURES
 from .scalars import text, texts
 
 # Number syntax accepted from text input.
@@ -41,26 +41,34 @@ def typed_fields(df: DataFrame) -> FieldView:
     )
 
 
-def json_fields(record: str) -> FieldView:
-    """View over a parsed JSON event of type ``MAP<STRING, VARIANT>``.
+def unpack_json(df: DataFrame, value: str) -> DataFrame:
+    """Add one struct column ``_<field>`` per required field of a JSON event.
 
-    A map keeps the difference between a missing key and a JSON null, and a
-    variant keeps the difference between ``true`` and ``"true"``.
+    Parsing to ``MAP<STRING, VARIANT>`` keeps the difference between a missing key and
+    a JSON null, and between ``true`` and ``"true"``.
     """
-    item = lambda name: f"{record}[{text(name)}]"
-    shown = lambda name: f"try_variant_get({item(name)}, '$', 'string')"
-
-    def number(name: str) -> str:
-        return (f"case when schema_of_variant({item(name)}) = 'BOOLEAN' then "
-                f"cast(cast(try_variant_get({item(name)}, '$', 'boolean') as int) as double) "
-                f"else {number_of_text(shown(name))} end")
-
-    return FieldView(
-        present=lambda n: f"coalesce(map_contains_key({record}, {text(n)}), false)",
-        is_null=lambda n: f"coalesce(is_variant_null({item(n)}), false)",
-        number=number,
-        shown=shown,
-    )
+    def field(name: str) -> str:
+        item = f"_record[{text(name)}]"
+        shown = f"try_variant_get({item}, '$', 'string')"
+        return (f"named_struct('present', coalesce(map_contains_key(_record, {text(name)}), false), "
+                f"'is_null', coalesce(is_variant_null({item}), false), 'shown', {shown}, "
+                f"'flag', case when schema_of_variant({item}) = 'BOOLEAN' then "
+                f"try_variant_get({item}, '$', 'boolean') end) _{name}")
+
+    return df.selectExpr("*", f"from_json({value}, 'map<string, variant>') _record").selectExpr(
+        "*", *map(field, REQUIRED_FEATURES)).withColumns({
+            f"_{n}_number": F.expr(f"case when _{n}.flag is not null then double(int(_{n}.flag)) "
+                                   f"else {number_of_text(f'_{n}.shown')} end")
+            for n in NUMERIC_FEATURES + ("is_subscription",)})
+
+
+# View over the columns unpack_json adds.
+JSON_FIELDS = FieldView(
+    present=lambda n: f"_{n}.present",
+    is_null=lambda n: f"_{n}.is_null",
+    number=lambda n: f"_{n}_number",
+    shown=lambda n: f"_{n}.shown",
+)
 
 
 def number_of_text(value: str) -> str:
@@ -82,13 +90,17 @@ def _domain_error(view: FieldView, name: str, domain: tuple[str, ...]) -> str:
             f"then concat('Unsupported {name}: ', {value}) end")
 
 
-def validation_errors(view: FieldView) -> str:
-    """Messages in contract order; missing or NULL fields end validation early."""
-    missing = ", ".join(
+def missing_errors(view: FieldView) -> str:
+    """Complaints about absent and NULL fields."""
+    return "array_compact(array(" + ", ".join(
         f"case when not {view.present(n)} then 'Missing required feature: {n}' "
-        f"when {view.is_null(n)} then '{n} cannot be null' end" for n in REQUIRED_FEATURES)
+        f"when {view.is_null(n)} then '{n} cannot be null' end" for n in REQUIRED_FEATURES) + "))"
+
+
+def value_errors(view: FieldView) -> str:
+    """Complaints about field values, in contract order."""
     number = lambda *args: _number_error(view, *args)
-    found = ", ".join([
+    return "array_compact(array(" + ", ".join([
         number("payment_amount", "> 0", "must be greater than 0"),
         number("customer_tenure_months", ">= 0", "must be >= 0"),
         number("past_successful_payments", ">= 0", "must be >= 0", True),
@@ -100,9 +112,15 @@ def validation_errors(view: FieldView) -> str:
         number("is_subscription", "in (0, 1)", "must be 0 or 1", True),
         _domain_error(view, "failure_reason", FAILURE_REASONS),
         _domain_error(view, "payment_method", PAYMENT_METHODS),
-    ])
-    early = f"array_compact(array({missing}))"
-    return f"case when size({early}) > 0 then {early} else array_compact(array({found})) end"
+    ]) + "))"
+
+
+def with_errors(df: DataFrame, view: FieldView) -> DataFrame:
+    """Add ``errors`` and ``is_valid``; missing or NULL fields end validation early."""
+    return df.selectExpr("*", f"{missing_errors(view)} _missing").selectExpr(
+        "* except (_missing)",
+        f"case when size(_missing) > 0 then _missing else {value_errors(view)} end errors",
+    ).selectExpr("*", "size(errors) = 0 is_valid")
 
 
 def probability_error(p: str) -> str:

@@ -102,31 +102,28 @@ def resolve_idempotency(df: DataFrame) -> DataFrame:
 
 def validate(df: DataFrame) -> DataFrame:
     """Add ``errors`` (array of messages) and ``is_valid`` to a typed table."""
-    return df.selectExpr("*", f"{V.validation_errors(V.typed_fields(df))} errors").selectExpr(
-        "*", "size(errors) = 0 is_valid")
+    return V.with_errors(df, V.typed_fields(df))
 
 
 def parse_events(raw: DataFrame, value: str = "value") -> DataFrame:
     """JSON text rows to validated, typed event rows; the raw payload is kept.
 
-    The validation above has already reported anything a cast here turns into NULL.
+    Anything a cast here turns into NULL has been reported by the validation before.
     """
-    view = V.json_fields("_record")
-    whole = lambda n: f"cast(case when abs({view.number(n)}) < 2e9D then {view.number(n)} end as int) {n}"  # noqa: E731,E501
-    parsed = raw.selectExpr("*", f"from_json({value}, 'map<string, variant>') _record")
+    number = V.JSON_FIELDS.number
+    whole = lambda n: f"cast(case when abs({number(n)}) < 2e9D then {number(n)} end as int) {n}"
     keep = [c for c in raw.columns if c != value]
-    return parsed.selectExpr(
-        *keep, f"{value} raw_event_payload", f"{V.validation_errors(view)} errors",
-        *[f"{view.shown(n)} {n}" for n in (
-            "payment_id", "customer_id", "event_id", "idempotency_key",
-            "failure_reason", "payment_method")],
-        f"try_cast(round({view.number('payment_amount')}, 2) as decimal(14,2)) payment_amount",
-        *[f"{view.number(n)} {n}" for n in (
+    return V.with_errors(V.unpack_json(raw, value), V.JSON_FIELDS).selectExpr(
+        *keep, f"{value} raw_event_payload", "errors", "is_valid",
+        *[f"try_variant_get(_record['{n}'], '$', 'string') {n}" for n in (
+            "payment_id", "customer_id", "event_id", "idempotency_key")],
+        "_failure_reason.shown failure_reason", "_payment_method.shown payment_method",
+        f"try_cast(round({number('payment_amount')}, 2) as decimal(14,2)) payment_amount",
+        *[f"{number(n)} {n}" for n in (
             "historical_success_rate", "customer_tenure_months", "time_since_last_success_days",
             "days_overdue")],
         *[whole(n) for n in ("past_successful_payments", "past_failed_payments",
-                             "recovery_attempts_so_far", "is_subscription")],
-    ).selectExpr("*", "size(errors) = 0 is_valid")
+                             "recovery_attempts_so_far", "is_subscription")])
 
 
 _STORED = ("struct<recommended_action:string,recovery_priority:string,"

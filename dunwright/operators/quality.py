@@ -24,11 +24,10 @@ def data_quality(df: DataFrame) -> DataFrame:
     floating = [f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float")]
     missing = lambda c: f"{c} is null" + (f" or isnan({c})" if c in floating else "")
     weigh = lambda cond: f"coalesce(sum(case when {cond} then _n end), 0)"
-    invalid = f"size({V.validation_errors(V.typed_fields(df))}) > 0"
     copies = df.groupBy(*df.columns).agg(F.expr("count(1) _n"))
-    out = copies.agg(*[F.expr(e) for e in (
+    out = V.with_errors(copies, V.typed_fields(df)).agg(*[F.expr(e) for e in (
         "coalesce(sum(_n), 0) total_records", "coalesce(sum(_n - 1), 0) duplicate_count",
-        f"{weigh(invalid)} validation_failure_count",
+        f"{weigh('not is_valid')} validation_failure_count",
         *[f"{weigh(missing(c))} missing_{c}" for c in df.columns])])
     return out.selectExpr(
         "*", " + ".join(f"missing_{c}" for c in df.columns) + " missing_value_count",
@@ -134,11 +133,17 @@ def orphans(child: DataFrame, key: str, parent: DataFrame, parent_key: str | Non
 
 
 def path_transitions(paths: DataFrame, states: str = "state_history") -> DataFrame:
-    """Counted state changes ``(from_state, to_state, transitions)`` of array paths."""
-    steps = (f"transform(sequence(1, size({states}) - 1), i -> named_struct("
-             f"'from_state', element_at({states}, i), 'to_state', element_at({states}, i + 1)))")
-    return (paths.filter(f"size({states}) > 1").selectExpr(f"inline({steps})")
-            .groupBy("from_state", "to_state").agg(F.expr("count(1) transitions")))
+    """Counted state changes ``(from_state, to_state, transitions)`` of array paths.
+
+    Equal paths are counted first, so only distinct ones are taken apart.  The outer
+    generator keeps Spark from pushing a size test back through the path expression.
+    """
+    distinct = paths.groupBy(F.expr(f"{states} as _path")).agg(F.expr("count(1) n"))
+    last = "greatest(size(_path) - 1, 0)"
+    steps = (f"zip_with(slice(_path, 1, {last}), slice(_path, 2, {last}), "
+             "(a, b) -> named_struct('from_state', a, 'to_state', b))")
+    return (distinct.selectExpr("n", f"inline_outer({steps})").filter("to_state is not null")
+            .groupBy("from_state", "to_state").agg(F.expr("sum(n) transitions")))
 
 
 def log_transitions(log: DataFrame, path: str, position: str, state: str) -> DataFrame:

@@ -137,10 +137,10 @@ def fold_summary(t: Tables) -> DataFrame:
         "model", "accuracy_mean", "accuracy_std", "roc_auc_mean", "roc_auc_std", "brier_mean", "brier_std")
 
 
-@query("champion_selection", _COUNTS_SQL + f""", both AS (
+@query("champion_selection", _COUNTS_SQL + f""", compared AS (
   SELECT 'scorecard' AS model, round(roc_auc, 6) AS roc_auc FROM area
   UNION ALL SELECT 'reversed', round(1 - round(roc_auc, 6), 6) FROM area)
-SELECT model AS champion, {digits('roc_auc')} FROM both ORDER BY roc_auc DESC, model = 'scorecard' DESC LIMIT 1""")
+SELECT model AS champion, {digits('roc_auc')} FROM compared ORDER BY roc_auc DESC, model = 'scorecard' DESC LIMIT 1""")
 def champion_selection(t: Tables) -> DataFrame:
     area = E.rank_metrics(t.scored).selectExpr("round(roc_auc, 6) a")
     both = area.selectExpr("inline(array(struct('scorecard' as model, a as roc_auc), "

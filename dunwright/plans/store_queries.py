@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..config import RETRY
 from ..functions.scalars import join_factors, split_factors, stable_id
 from ..operators import audit as A, decide as D, ledger as L, quality as Q, store as S
+from ..operators.ordering import materialize
 from ..operators.strategy import optimal_threshold_value
 from ..schemas import PAYMENT_EVENTS
 from ..sources.readers import to_json_events
@@ -289,7 +290,8 @@ def transition_conformance(t: Tables) -> DataFrame:
 @query("transition_log_conformance", _PATHS_SQL)
 def transition_log_conformance(t: Tables) -> DataFrame:
     """The same from a log with one row per step."""
-    log = _paths(t).selectExpr("payment_id", "posexplode(state_history) as (position, state)")
+    log = materialize(_paths(t).selectExpr(
+        "payment_id", "posexplode_outer(state_history) as (position, state)"))
     return Q.conformance(Q.log_transitions(log, "payment_id", "position", "state"))
 
 

@@ -1 +1,145 @@
-"""Placeholder."""
+"""Streaming jobs over the event log's payments, run to completion and read back.
+
+The feed is written once as JSON files in the shared folder, read as a stream of
+several micro-batches, and the stored result is compared with plain batch SQL.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, functions as F
+
+from ..functions.scalars import join_factors
+from ..operators import store as S
+from ..operators.ordering import shared_folder
+from ..sources.store import ParquetStore
+from ..streaming import monitor, pipeline
+from .decision_queries import _PAYLOAD
+from .quality_queries import _BROKEN, _VALIDATED_SQL
+from .registry import Tables, digits, money, query, whole
+from .store_queries import _FEED_SQL, _KEY
+
+_RECEIVED = "timestamp '2024-02-01 00:00:00'"
+
+
+def _run(t: Tables, feed: DataFrame, files: int = 3) -> ParquetStore:
+    """Stream JSON rows (``value``) through the decision pipeline, one file per batch."""
+    root = f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
+    feed.repartition(files).write.text(f"{root}/feed")
+    store = ParquetStore(t.spark, f"{root}/store")
+    jobs = pipeline.Pipeline(store, model_version="v1", received_at=_RECEIVED)
+    jobs.run(pipeline.read_event_stream(t.spark, f"{root}/feed", files_per_batch=1),
+             f"{root}/checkpoint").awaitTermination()
+    return store
+
+
+def _clean_feed(t: Tables) -> DataFrame:
+    return t.payments.selectExpr("payment_id idempotency_key", *_PAYLOAD).selectExpr(
+        "to_json(struct(*)) value")
+
+
+def _keyed_feed(t: Tables) -> DataFrame:
+    return t.payments.selectExpr(f"{_KEY} idempotency_key", *_PAYLOAD).selectExpr(
+        "to_json(struct(*)) value")
+
+
+@query("stream_decisions", f"""
+SELECT payment_id, p5::DOUBLE AS model_probability, priority AS recovery_priority, recommended_action,
+  {money('round(expected_recovery, 2)', 'expected_recovery')}, explanation AS decision_reason,
+  factors AS key_input_factors,
+  substr(sha256(payment_id || '_{S.DEFAULT_STRATEGY}_2024-02-01T00:00:00.000000+00:00'), 1, 16) AS audit_id,
+  selected_action FROM (SELECT *, round(recovery_probability, 5) AS p5 FROM traced)""")
+def stream_decisions(t: Tables) -> DataFrame:
+    """Event, decision, audit and outcome rows of a streamed feed, joined back."""
+    store = _run(t, _clean_feed(t))
+    events, decisions = store.read("payment_events"), store.read("recovery_decisions")
+    return (events.select("event_id", "payment_id").join(decisions, "event_id")
+            .join(store.read("audit_records").select("decision_id", "audit_id"), "decision_id")
+            .join(store.read("recovery_outcomes").select("decision_id", "selected_action"), "decision_id")
+            .selectExpr("payment_id", "cast(model_probability as double) model_probability",
+                        "recovery_priority", "recommended_action", money("expected_recovery"),
+                        "decision_reason", f"{join_factors('key_input_factors')} key_input_factors",
+                        "audit_id", "selected_action"))
+
+
+@query("stream_dedup", _FEED_SQL + """
+SELECT idempotency_key, 1::BIGINT AS events, 1::BIGINT AS decisions FROM feed GROUP BY idempotency_key""")
+def stream_dedup(t: Tables) -> DataFrame:
+    """Repeated keys, inside and across micro-batches, leave one event and one decision."""
+    store = _run(t, _keyed_feed(t))
+    events = store.read("payment_events").select("idempotency_key", "event_id")
+    return (events.join(store.read("recovery_decisions").select("event_id", "decision_id"), "event_id", "left")
+            .groupBy("idempotency_key").agg(
+                F.expr("count(distinct event_id) events"), F.expr("count(decision_id) decisions")))
+
+
+@query("stream_status", """
+SELECT substr(sha256('event|' || payment_id), 1, 32) AS event_id, 'AUDIT_WRITTEN' AS processing_status
+FROM payments""")
+def stream_status(t: Tables) -> DataFrame:
+    return S.current_status(_run(t, _clean_feed(t), files=2).read("event_status_log"))
+
+
+@query("stream_quarantine", _VALIDATED_SQL + """
+SELECT errors, count(*) AS events FROM validated
+WHERE errors <> '' AND (payment_amount IS NULL OR NOT (isnan(payment_amount) OR isinf(payment_amount)))
+GROUP BY errors""")
+def stream_quarantine(t: Tables) -> DataFrame:
+    """Invalid events of a feed with broken fields, by message."""
+    broken = t.payments.selectExpr("payment_id", *_BROKEN).filter(
+        "not isnan(payment_amount) and payment_amount < double('infinity')")
+    store = _run(t, broken.selectExpr(
+        "to_json(struct(*), map('ignoreNullFields', 'false')) value"), files=2)
+    return t.spark.read.parquet(store.path("quarantine")).groupBy(
+        F.expr("concat_ws('; ', errors) as errors")).agg(F.expr("count(1) events"))
+
+
+@query("stream_table_counts", """
+SELECT 'payment_events' AS table_name, count(*) AS row_count FROM payments
+UNION ALL SELECT 'recovery_decisions', count(*) FROM payments
+UNION ALL SELECT 'audit_records', count(*) FROM payments
+UNION ALL SELECT 'recovery_outcomes', count(*) FROM payments
+UNION ALL SELECT 'model_versions', 1""")
+def stream_table_counts(t: Tables) -> DataFrame:
+    return _run(t, _clean_feed(t), files=2).counts()
+
+
+@query("stream_watermark_dedup", _FEED_SQL + """
+SELECT idempotency_key, count(DISTINCT idempotency_key) AS copies FROM feed GROUP BY idempotency_key""")
+def stream_watermark_dedup(t: Tables) -> DataFrame:
+    """Streaming dedup with bounded state; the delay spans the whole month here."""
+    root = f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
+    feed = t.payments.selectExpr(f"{_KEY} idempotency_key", "failed_at event_time")
+    feed.repartition(3).write.parquet(f"{root}/feed")
+    stream = t.spark.readStream.schema(feed.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/feed")
+    (pipeline.deduplicate(stream, delay="40 days").writeStream.format("parquet")
+     .option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint")
+     .trigger(availableNow=True).start().awaitTermination())
+    return t.spark.read.schema(feed.schema).parquet(f"{root}/out").groupBy("idempotency_key").agg(
+        F.expr("count(1) copies"))
+
+
+_WINDOW_SQL = f"""
+SELECT epoch_us(date_trunc('day', failed_at)) AS window_us, count(*) AS events,
+  0::BIGINT AS invalid_events, {digits('sum(recovery_probability)::DOUBLE / count(*)', 'mean_probability')},
+  {money('sum(expected_recovery)', 'expected_recovery')} FROM scored GROUP BY 1"""
+_WINDOW = ["unix_micros(window_start) window_us", "events", whole("invalid_events"),
+           digits("mean_probability"), money("expected_recovery")]
+
+
+@query("window_monitor", _WINDOW_SQL)
+def window_monitor(t: Tables) -> DataFrame:
+    return monitor.window_metrics(t.scored).selectExpr(*_WINDOW)
+
+
+@query("stream_window_monitor", _WINDOW_SQL)
+def stream_window_monitor(t: Tables) -> DataFrame:
+    """The same windows from a stream in several micro-batches."""
+    root = f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
+    t.scored.drop("next_ok_ts").repartition(3).write.parquet(f"{root}/feed")
+    schema = t.spark.read.parquet(f"{root}/feed").schema
+    stream = t.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/feed")
+    monitor.run_window_monitor(stream, f"{root}/windows", f"{root}/checkpoint",
+                               delay="40 days").awaitTermination()
+    return monitor.current_windows(t.spark.read.parquet(f"{root}/windows")).selectExpr(*_WINDOW)

@@ -15,10 +15,10 @@ def window_metrics(scored: DataFrame, event_time: str = "failed_at", width: str
 
     Works on streams and tables alike; ``delay`` sets the watermark of a stream.
     """
-    invalid = f"size({V.validation_errors(V.typed_fields(scored))}) > 0"
-    rows = scored.withWatermark(event_time, delay) if delay and scored.isStreaming else scored
+    checked = V.with_errors(scored, V.typed_fields(scored))
+    rows = checked.withWatermark(event_time, delay) if delay and scored.isStreaming else checked
     return rows.groupBy(F.window(event_time, width).alias("w")).agg(*[F.expr(e) for e in (
-        "count(1) events", f"count_if({invalid}) invalid_events",
+        "count(1) events", "count_if(not is_valid) invalid_events",
         "sum(recovery_probability) _p", "sum(expected_recovery) expected_recovery")]).selectExpr(
         "w.start window_start", "events", "invalid_events",
         "invalid_events / events invalid_rate",
