@@ -17,15 +17,12 @@ METRICS = ("accuracy", "precision", "recall", "f1", "roc_auc", "pr_auc", "brier"
 
 
 def _running_scores(df: DataFrame, by: list[str], label: str, score: str) -> DataFrame:
-    """Distinct scores with own and running counts, best score first, and class totals."""
+    """Distinct scores with own and running counts, best first, place and class totals."""
     counts = df.groupBy(*by, F.expr(f"cast(round(cast({score} as double), 6) as decimal(7,6)) as score")
-                        ).agg(F.expr(f"count_if({label} = 1) pos"), F.expr(f"count_if({label} = 0) neg"))
-    running = with_running_totals(counts, [F.desc("score")], {"tp": "pos", "fp": "neg"}, by)
-    totals = running.groupBy(*by).agg(F.expr("max(tp) P"), F.expr("max(fp) N"))
-    if by:
-        return running.join(totals, by)  # one row per model and fold
-    return running.withColumn("_t", totals.selectExpr("struct(P, N)").scalar()).selectExpr(
-        "* except (_t)", "_t.P", "_t.N")
+                        ).agg(F.expr(f"count_if({label} = 1) pos"), F.expr(f"count_if({label} = 0) neg"),
+                              F.expr("1L one"))
+    return with_running_totals(counts, [F.desc("score")], {"tp": "pos", "fp": "neg", "place": "one"},
+                               {"P": "pos", "N": "neg"}, by)
 
 
 def roc_curve(df: DataFrame, label: str = "recovered", score: str = "recovery_probability",
@@ -46,9 +43,7 @@ def roc_corners(df: DataFrame, label: str = "recovered", score: str = "recovery_
     A step's slope is its own (pos, neg) pair, so a point stays when the next score
     has another pair; neighbours meet by position, not in one sorted task.
     """
-    placed = with_running_totals(
-        _running_scores(df, [], label, score).selectExpr("*", "1L one"),
-        [F.desc("score")], {"place": "one"})
+    placed = _running_scores(df, [], label, score)
     following = placed.selectExpr("place - 1 place", "pos next_pos", "neg next_neg")
     kept = placed.join(following, "place", "left").filter(
         "next_pos is null or next_pos <> pos or next_neg <> neg")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..config import PRIORITIES
@@ -66,7 +68,7 @@ def drift_status(psi: str) -> str:
 
 
 def _psi_of_counts(counts: DataFrame) -> DataFrame:
-    """PSI per feature from counted bins ``(feature, bin, ref, cur)``.
+    """PSI per feature from counted bins ``(feature, type, bin, ref, cur)``.
 
     A bin empty on both sides contributes nothing, so absent bins need no spine.
     """
@@ -75,22 +77,17 @@ def _psi_of_counts(counts: DataFrame) -> DataFrame:
     totals = counts.groupBy("feature").agg(
         F.expr("sum(ref) ref_total"), F.expr("sum(cur) cur_total"))  # one row per feature
     shares = counts.join(F.broadcast(totals), "feature").selectExpr(
-        "feature", f"{share('ref')} e", f"{share('cur')} a")
-    return shares.groupBy("feature").agg(F.expr("sum((a - e) * ln(a / e)) psi"))
+        "feature", "type", f"{share('ref')} e", f"{share('cur')} a")
+    return shares.groupBy("feature", "type").agg(F.expr("sum((a - e) * ln(a / e)) psi"))
 
 
-def _both_sides(rows: DataFrame, reference: str) -> DataFrame:
+def _both_sides(rows: DataFrame, reference: str, kind: str) -> DataFrame:
     return rows.groupBy("feature", "bin").agg(
-        F.expr(f"count_if({reference}) ref"), F.expr(f"count_if(not {reference}) cur"))
-
+        F.expr(f"'{kind}' type"), F.expr(f"count_if({reference}) ref"),
+        F.expr(f"count_if(not {reference}) cur"))
 
-def numeric_psi(df: DataFrame, columns: list[str], reference: str = "is_reference",
-                buckets: int = 10) -> DataFrame:
-    """PSI of numeric columns between reference and current rows of one table.
 
-    Bins are [edge, next edge) with outer edges open, edges the reference's
-    interpolated percentiles; fewer than two distinct edges give 0.
-    """
+def _numeric_bins(df: DataFrame, columns: list[str], reference: str, buckets: int = 10) -> DataFrame:
     values = long_values(df, columns, [reference])
     steps = [i / buckets for i in range(buckets + 1)]
     inner = exact_percentiles(values.filter(reference), steps).selectExpr(
@@ -101,28 +98,38 @@ def numeric_psi(df: DataFrame, columns: list[str], reference: str = "is_referenc
                    "else cast(array() as array<double>) end inner_edges")
     # one row per monitored feature
     binned = values.join(F.broadcast(inner), "feature").selectExpr(
-        "feature", reference, "size(filter(inner_edges, e -> value >= e)) bin")
-    return _psi_of_counts(_both_sides(binned, reference))
+        "feature", reference, "cast(size(filter(inner_edges, e -> value >= e)) as string) bin")
+    return _both_sides(binned, reference, "numeric")
+
+
+def _category_bins(df: DataFrame, columns: list[str], reference: str) -> DataFrame:
+    rows = long_values(df, columns, [reference], "string").withColumnRenamed("value", "bin")
+    return _both_sides(rows, reference, "categorical")
+
+
+def numeric_psi(df: DataFrame, columns: list[str], reference: str = "is_reference",
+                buckets: int = 10) -> DataFrame:
+    """PSI of numeric columns between reference and current rows of one table.
+
+    Bins are [edge, next edge) with outer edges open, edges the reference's
+    interpolated percentiles; fewer than two distinct edges give 0.
+    """
+    return _psi_of_counts(_numeric_bins(df, columns, reference, buckets))
 
 
 def categorical_psi(df: DataFrame, columns: list[str], reference: str = "is_reference"
                     ) -> DataFrame:
     """PSI of categorical columns over the union of the categories of both sides."""
-    rows = long_values(df, columns, [reference], "string").withColumnRenamed("value", "bin")
-    return _psi_of_counts(_both_sides(rows, reference))
+    return _psi_of_counts(_category_bins(df, columns, reference))
 
 
 def drift_report(df: DataFrame, reference: str = "is_reference") -> DataFrame:
     """Drift of the monitored features between two parts of one table."""
     numeric = [c for c in NUMERIC_DRIFT if c in df.columns]
     categorical = [c for c in CATEGORICAL_DRIFT if c in df.columns]
-    parts = []
-    if numeric:
-        parts.append(numeric_psi(df, numeric, reference).selectExpr("*", "'numeric' type"))
-    if categorical:
-        parts.append(categorical_psi(df, categorical, reference).selectExpr(
-            "*", "'categorical' type"))
-    report = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    bins = [part(df, columns, reference) for part, columns in (
+        (_numeric_bins, numeric), (_category_bins, categorical)) if columns]
+    report = _psi_of_counts(reduce(DataFrame.unionByName, bins))
     return report.selectExpr("feature", "type", "round(psi, 4) drift_metric_psi",
                              f"{drift_status('psi')} status")
 

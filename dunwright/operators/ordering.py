@@ -60,29 +60,33 @@ def with_global_rank(df: DataFrame, order: list[Column], rank: str = "rank") ->
         "* except (_part, _row, _before)", f"_before + _row + 1 {rank}")
 
 
-def with_running_totals(df: DataFrame, order: list[Column], totals: dict[str, str],
-                        group: list[str] | None = None) -> DataFrame:
+def with_running_totals(df: DataFrame, order: list[Column], running: dict[str, str],
+                        overall: dict[str, str] | None = None, group: list[str] | None = None
+                        ) -> DataFrame:
     """Append inclusive running sums along a total order, per group.
 
-    ``totals`` maps a new column to the summed column.  Rows should be distinct in
+    ``running`` maps a new column to the summed column, ``overall`` a new column to the
+    column whose total over the whole group it carries.  Rows should be distinct in
     group and order (pre-aggregate ties), so range partitions stay even.
     """
-    group = group or []
-    keys = ", ".join(["_part", *group])
+    group, overall = group or [], overall or {}
+    sources = sorted({*running.values(), *overall.values()})
     rows = _numbered(df, [F.col(g) for g in group] + order)
-    parts = rows.groupBy("_part", *group).agg(
-        *[F.expr(f"sum({src}) _s_{new}") for new, src in totals.items()])
+    parts = rows.groupBy("_part", *group).agg(*[F.expr(f"sum({s}) _s_{s}") for s in sources])
     by_group = f"partition by {', '.join(group)}" if group else ""
+    # one row per partition and group
     offsets = parts.selectExpr("_part", *group, *[
-        f"coalesce(sum(_s_{new}) over ({by_group} order by _part "
-        f"rows between unbounded preceding and 1 preceding), 0) _b_{new}" for new in totals])
+        f"coalesce(sum(_s_{src}) over ({by_group} order by _part "
+        f"rows between unbounded preceding and 1 preceding), 0) _b_{new}"
+        for new, src in running.items()], *[
+        f"sum(_s_{src}) over ({by_group}) {new}" for new, src in overall.items()])
     summed = rows.selectExpr("*", *[
-        f"sum({src}) over (partition by {keys} order by _row "
+        f"sum({src}) over (partition by {', '.join(['_part', *group])} order by _row "
         f"rows between unbounded preceding and current row) _i_{new}"
-        for new, src in totals.items()])
-    helpers = ", ".join(["_part", "_row"] + [f"_{k}_{new}" for new in totals for k in "bi"])
+        for new, src in running.items()])
+    helpers = ", ".join(["_part", "_row"] + [f"_{k}_{new}" for new in running for k in "bi"])
     return summed.join(F.broadcast(offsets), ["_part", *group]).selectExpr(
-        f"* except ({helpers})", *[f"_b_{new} + _i_{new} {new}" for new in totals])
+        f"* except ({helpers})", *[f"_b_{new} + _i_{new} {new}" for new in running])
 
 
 def exact_percentiles(values: DataFrame, fractions: list[float]) -> DataFrame:
@@ -94,9 +98,8 @@ def exact_percentiles(values: DataFrame, fractions: list[float]) -> DataFrame:
     """
     counts = (values.filter("value is not null and not isnan(cast(value as double))")
               .groupBy("feature", "value").agg(F.expr("count(1) n")))
-    running = with_running_totals(counts, [F.col("value")], {"upto": "n"}, ["feature"])
-    sizes = running.groupBy("feature").agg(F.expr("max(upto) total"))  # one row per feature
-    placed = running.join(F.broadcast(sizes), "feature")
+    placed = with_running_totals(
+        counts, [F.col("value")], {"upto": "n"}, {"total": "n"}, ["feature"])
 
     low = lambda f, n: f"floor({f!r}D * ({n} - 1))"
     pick = lambda k, name: (

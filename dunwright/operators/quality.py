@@ -68,8 +68,10 @@ def leakage_check(df: DataFrame, target: str = "recovered", limit: float = 0.8)
 
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Pearson correlations as rows ``(feature_a, feature_b, correlation)``, each pair once."""
-    pairs = list(combinations(columns or numeric_columns(df), 2))
-    wide = df.agg(*[F.expr(f"{_correlation(a, b)} c{i}") for i, (a, b) in enumerate(pairs)])
+    names = columns or numeric_columns(df)
+    pairs = list(combinations(names, 2))
+    doubles = df.selectExpr(*[f"cast({c} as double) {c}" for c in names])
+    wide = doubles.agg(*[F.expr(f"corr({a}, {b}) c{i}") for i, (a, b) in enumerate(pairs)])
     rows = ", ".join(f"named_struct('feature_a', '{a}', 'feature_b', '{b}', 'correlation', c{i})"
                      for i, (a, b) in enumerate(pairs))
     return wide.selectExpr(f"inline(array({rows}))")

@@ -12,6 +12,8 @@ def local_session(cores: int = 8, memory: str = "12g", app: str = "dunwright") -
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.adaptive.enabled", "true")
+        # small test tables: keep every core busy instead of merging into 1 MB partitions
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64KB")
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate())
     session.sparkContext.setLogLevel("ERROR")
