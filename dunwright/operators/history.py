@@ -44,25 +44,37 @@ def customer_timeline(events: DataFrame, fail: str = "error", ok: str = "purchas
             "* except (mark, failed, prior_failed, fail_at_ok)",
             "fail_before - coalesce(fail_at_ok, 0) run_fails")
 
-    # At most (all rows / heavy_rows) customers qualify, which bounds the broadcasts.
-    cuts = F.broadcast(heavy.selectExpr(
-        "customer", "lo", "hi - lo + 1 span", f"ceil(rows / {heavy_rows}D) slots"))
-    rows, firsts = _slotted(rows, cuts), _slotted(firsts, cuts)
+    # Cut heavy customers' time into equal slots, then any slot that is still too full once
+    # more.  Cuts number at most all rows / heavy_rows each, which bounds the broadcasts.
+    for keys in (["customer"], ["customer", "slot"]):
+        cuts = heavy.selectExpr(*keys, "lo", "hi - lo + 1 span", f"ceil(rows / {heavy_rows}D) pieces")
+        rows, firsts = _slotted(rows, cuts, keys), _slotted(firsts, cuts, keys)
+        if keys == ["customer"]:
+            chosen = F.broadcast(heavy.select("customer"))
+            heavy = materialize(
+                rows.select("customer", "slot", "ts").join(chosen, "customer", "left_semi")
+                .groupBy("customer", "slot").agg(
+                    F.expr("count(1) rows"), F.expr("min(unix_micros(ts)) lo"),
+                    F.expr("max(unix_micros(ts)) hi")).filter(F.col("rows") > heavy_rows))
     local = _local_history(rows.unionByName(firsts, allowMissingColumns=True), "customer, slot")
 
     cut_up = rows.select("customer", "slot", "ts", "event_id", "failed", "mark").unionByName(
-        firsts, allowMissingColumns=True).join(
-        F.broadcast(heavy.select("customer")), "customer", "left_semi")
-    # One row per slot: at most all rows / heavy_rows plus one per heavy customer.
+        firsts, allowMissingColumns=True).join(chosen, "customer", "left_semi")
+    # One row per slot: at most all rows / heavy_rows plus one per cut, twice over.
     carried = materialize(_inherited(_local_history(cut_up, "customer, slot")))
     return _combined(local.filter("failed"), carried)
 
 
-def _slotted(rows: DataFrame, cuts: DataFrame) -> DataFrame:
-    offset = "cast(greatest(unix_micros(ts) - lo, 0) as double)"
-    return rows.join(cuts, "customer", "left").selectExpr(
-        "* except (lo, span, slots)",
-        f"coalesce(least(floor({offset} * slots / span), slots - 1), 0) slot")
+_SUB_SLOTS = 2 ** 24  # room for the second cut inside a slot number
+
+
+def _slotted(rows: DataFrame, cuts: DataFrame, keys: list[str]) -> DataFrame:
+    """Number the time slots in order; the second cut refines the first one's numbers."""
+    piece = "least(floor(cast(greatest(unix_micros(ts) - lo, 0) as double) * pieces / span), pieces - 1)"
+    outer = f"slot * {_SUB_SLOTS}L + " if "slot" in keys else ""
+    drop = ["lo", "span", "pieces"] + (["slot"] if "slot" in keys else [])
+    return rows.join(F.broadcast(cuts), keys, "left").selectExpr(
+        f"* except ({', '.join(drop)})", f"{outer}coalesce({piece}, 0) slot")
 
 
 def _local_history(rows: DataFrame, group: str) -> DataFrame:

@@ -53,7 +53,7 @@ def class_weights(df: DataFrame, label: str = "recovered") -> DataFrame:
 def logistic_pipeline(rows: int, balanced: bool = False, label: str = "recovered") -> Pipeline:
     """L2 logistic regression with unit inverse regularisation (regParam = 1/rows)."""
     estimator = LogisticRegression(
-        featuresCol="features", labelCol=label, maxIter=100, regParam=1.0 / max(rows, 1),
+        featuresCol="features", labelCol=label, maxIter=100, tol=1e-4, regParam=1.0 / max(rows, 1),
         elasticNetParam=0.0, standardization=False)
     if balanced:
         estimator = estimator.setWeightCol("weight")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..config import PRIORITIES
 from ..functions.scalars import double
 from .lookup import densify
-from .ordering import exact_percentiles
+from .ordering import exact_percentiles, materialize
 
 NUMERIC_DRIFT = ("payment_amount", "customer_tenure_months", "historical_success_rate")
 CATEGORICAL_DRIFT = ("failure_reason", "payment_method", "is_subscription")
@@ -129,7 +129,8 @@ def drift_report(df: DataFrame, reference: str = "is_reference") -> DataFrame:
     categorical = [c for c in CATEGORICAL_DRIFT if c in df.columns]
     bins = [part(df, columns, reference) for part, columns in (
         (_numeric_bins, numeric), (_category_bins, categorical)) if columns]
-    report = _psi_of_counts(reduce(DataFrame.unionByName, bins))
+    # a few counted rows, written so that the passes that count them run once
+    report = _psi_of_counts(materialize(reduce(DataFrame.unionByName, bins)))
     return report.selectExpr("feature", "type", "round(psi, 4) drift_metric_psi",
                              f"{drift_status('psi')} status")
 
