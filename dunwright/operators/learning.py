@@ -16,6 +16,7 @@ from .decide import score_with_probability
 from .evaluation import METRICS, all_metrics, stratified_folds
 from .ordering import materialize
 
+MODEL_COLUMNS = NUMERIC_FEATURES + CATEGORICAL_FEATURES
 PLAIN, CALIBRATED = "Uncalibrated LR", "Calibrated LR"
 
 
@@ -50,31 +51,39 @@ def class_weights(df: DataFrame, label: str = "recovered") -> DataFrame:
         "* except (_s)", f"_s.n / (2.0D * case when {label} = 1 then _s.pos else _s.neg end) weight")
 
 
-def logistic_pipeline(rows: int, balanced: bool = False, label: str = "recovered") -> Pipeline:
+def logistic_estimator(rows: int, balanced: bool = False, label: str = "recovered"
+                       ) -> LogisticRegression:
     """L2 logistic regression with unit inverse regularisation (regParam = 1/rows)."""
     estimator = LogisticRegression(
-        featuresCol="features", labelCol=label, maxIter=100, tol=1e-4, regParam=1.0 / max(rows, 1),
-        elasticNetParam=0.0, standardization=False)
-    if balanced:
-        estimator = estimator.setWeightCol("weight")
-    return Pipeline(stages=feature_stages() + [estimator])
+        featuresCol="features", labelCol=label, maxIter=100, tol=1e-4,
+        regParam=1.0 / max(rows, 1), elasticNetParam=0.0, standardization=False)
+    return estimator.setWeightCol("weight") if balanced else estimator
 
 
-def boosted_pipeline(label: str = "recovered", trees: int = 20, depth: int = 4) -> Pipeline:
-    """Gradient-boosted trees on the same features."""
-    return Pipeline(stages=feature_stages() + [GBTClassifier(
-        featuresCol="features", labelCol=label, maxIter=trees, maxDepth=depth, stepSize=0.3, seed=42)])
+def boosted_estimator(label: str = "recovered", trees: int = 20, depth: int = 4) -> GBTClassifier:
+    return GBTClassifier(featuresCol="features", labelCol=label, maxIter=trees, maxDepth=depth,
+                         stepSize=0.3, seed=42)
+
+
+def _fit(table: DataFrame, estimator, label: str, extra: list[str]) -> PipelineModel:
+    features = Pipeline(stages=feature_stages()).fit(table)
+    fitted = estimator.fit(features.transform(table).select("features", label, *extra))
+    return PipelineModel(stages=features.stages + [fitted])
 
 
 def train_logistic(df: DataFrame, balanced: bool = False, label: str = "recovered") -> PipelineModel:
-    data = model_inputs(df)
-    rows = df.count()
-    return logistic_pipeline(rows, balanced, label).fit(
-        class_weights(data, label) if balanced else data)
+    """Fit on a table written once; the stages pass over it several times."""
+    table = materialize(model_inputs(df).select(*MODEL_COLUMNS, label))
+    estimator = logistic_estimator(table.count(), balanced, label)
+    if balanced:
+        return _fit(class_weights(table, label), estimator, label, ["weight"])
+    return _fit(table, estimator, label, [])
 
 
 def train_boosted(df: DataFrame, label: str = "recovered", trees: int = 20) -> PipelineModel:
-    return boosted_pipeline(label, trees).fit(model_inputs(df))
+    """Gradient-boosted trees on the same features."""
+    table = materialize(model_inputs(df).select(*MODEL_COLUMNS, label))
+    return _fit(table, boosted_estimator(label, trees), label, [])
 
 
 def predict(model: PipelineModel, df: DataFrame, output: str = "model_score") -> DataFrame:

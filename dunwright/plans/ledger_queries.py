@@ -102,8 +102,12 @@ def action_lookup(t: Tables) -> DataFrame:
                               money("sum(expected_recovery * multiplier)", "effective_value"))])
 
 
-@query("same_population", """
-SELECT 'Blind Retry' AS left_side, 'Current Rule-Based Strategy' AS right_side, 0::BIGINT AS surplus_keys""")
+@query("same_population", _LEDGER_SQL + """, a AS (
+  SELECT payment_id FROM ledger WHERE strategy = 'Blind Retry'
+), b AS (SELECT payment_id FROM ledger WHERE strategy = 'Current Rule-Based Strategy'), d AS (
+  (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION (SELECT * FROM b EXCEPT ALL SELECT * FROM a))
+SELECT 'Blind Retry' AS left_side, 'Current Rule-Based Strategy' AS right_side,
+  count(*) AS surplus_keys FROM d""")
 def same_population(t: Tables) -> DataFrame:
     ledger = _ledger(t)
     side = lambda s: ledger.filter(F.col("strategy") == s)
