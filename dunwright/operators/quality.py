@@ -54,27 +54,34 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)]
 
 
-def _correlation(a: str, b: str) -> str:
-    return f"corr(cast({a} as double), cast({b} as double))"
+def _correlations(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """Pearson correlation of each column pair over the rows where both are known.
+
+    The pairs of a row are exploded inside the scan stage and folded into one small
+    map-side group per pair; one wide aggregate of all pairs would outgrow what the
+    JVM compiles.
+    """
+    names = sorted({c for pair in pairs for c in pair})
+    doubles = df.selectExpr(*[f"cast({c} as double) {c}" for c in names])
+    both = ", ".join(f"named_struct('x', {a}, 'y', {b})" for a, b in pairs)
+    grouped = doubles.selectExpr(f"posexplode(array({both})) as (i, v)").groupBy("i").agg(
+        F.expr("corr(v.x, v.y) correlation"))
+    return grouped.selectExpr(
+        f"element_at(array({texts(a for a, _ in pairs)}), i + 1) feature_a",
+        f"element_at(array({texts(b for _, b in pairs)}), i + 1) feature_b", "correlation")
 
 
 def leakage_check(df: DataFrame, target: str = "recovered", limit: float = 0.8) -> DataFrame:
     """Correlation of every numeric column with the target; large ones are suspicious."""
-    names = [c for c in numeric_columns(df) if c != target]
-    wide = df.agg(*[F.expr(f"{_correlation(c, target)} {c}") for c in names])
-    return wide.unpivot([], names, "feature", "correlation").selectExpr(
-        "*", f"coalesce(abs(correlation) > {double(limit)}, false) suspicious")
+    pairs = [(c, target) for c in numeric_columns(df) if c != target]
+    return _correlations(df, pairs).selectExpr(
+        "feature_a feature", "correlation",
+        f"coalesce(abs(correlation) > {double(limit)}, false) suspicious")
 
 
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Pearson correlations as rows ``(feature_a, feature_b, correlation)``, each pair once."""
-    names = columns or numeric_columns(df)
-    pairs = list(combinations(names, 2))
-    doubles = df.selectExpr(*[f"cast({c} as double) {c}" for c in names])
-    wide = doubles.agg(*[F.expr(f"corr({a}, {b}) c{i}") for i, (a, b) in enumerate(pairs)])
-    rows = ", ".join(f"named_struct('feature_a', '{a}', 'feature_b', '{b}', 'correlation', c{i})"
-                     for i, (a, b) in enumerate(pairs))
-    return wide.selectExpr(f"inline(array({rows}))")
+    return _correlations(df, list(combinations(columns or numeric_columns(df), 2)))
 
 
 # Constraint name -> SQL condition that breaks it, per stored table.
