@@ -15,21 +15,26 @@ from ..functions.scalars import double, texts
 from .lookup import rows_of
 
 
-def data_quality(df: DataFrame) -> DataFrame:
-    """One row: records, missing values (total and per column), duplicates, invalid rows.
+def surplus_copies(df: DataFrame) -> DataFrame:
+    """One row: how many full-row copies there are beyond the first.
 
-    Copies are collapsed before the shuffle, so even a row repeated a billion times
-    is one group; validation then runs once per distinct row, weighted by its count.
+    Only 64-bit hashes are shuffled for the whole table; rows are compared column by
+    column just where a hash occurs again, and copies are counted before that shuffle.
     """
+    hashed = df.withColumn("_h", F.expr(f"xxhash64({', '.join(df.columns)})"))
+    again = hashed.groupBy("_h").agg(F.expr("count(1) n")).filter("n > 1").select("_h")
+    copies = hashed.join(again, "_h", "left_semi").groupBy(*df.columns).agg(F.expr("count(1) n"))
+    return copies.agg(F.expr("coalesce(sum(n - 1), 0) duplicate_count"))
+
+
+def data_quality(df: DataFrame) -> DataFrame:
+    """One row: records, missing values (total and per column), duplicates, invalid rows."""
     floating = [f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float")]
     missing = lambda c: f"{c} is null" + (f" or isnan({c})" if c in floating else "")
-    weigh = lambda cond: f"coalesce(sum(case when {cond} then _n end), 0)"
-    copies = df.groupBy(*df.columns).agg(F.expr("count(1) _n"))
-    out = V.with_errors(copies, V.typed_fields(df)).agg(*[F.expr(e) for e in (
-        "coalesce(sum(_n), 0) total_records", "coalesce(sum(_n - 1), 0) duplicate_count",
-        f"{weigh('not is_valid')} validation_failure_count",
-        *[f"{weigh(missing(c))} missing_{c}" for c in df.columns])])
-    return out.selectExpr(
+    out = V.with_errors(df, V.typed_fields(df)).agg(*[F.expr(e) for e in (
+        "count(1) total_records", "count_if(not is_valid) validation_failure_count",
+        *[f"count_if({missing(c)}) missing_{c}" for c in df.columns])])
+    return out.withColumn("duplicate_count", surplus_copies(df).scalar()).selectExpr(
         "*", " + ".join(f"missing_{c}" for c in df.columns) + " missing_value_count",
         "case when total_records > 0 then round(validation_failure_count / total_records, 4) "
         "else 0.0D end validation_failure_rate")

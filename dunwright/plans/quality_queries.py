@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..config import NUMERIC_FEATURES
 from ..operators import decide as D, monitoring as M, quality as Q
+from ..operators.ordering import materialize
 from .registry import Tables, digits, money, query, whole
 
 # Rows of the payments with one field broken per residue of the event number.
@@ -112,7 +113,7 @@ SELECT count(*) AS total_records, count(*) - (SELECT count(*) FROM distinct_rows
       "failure_reason", "payment_method") else "") + ")" for n in _ORDER)} AS missing_value_count
 FROM copied""")
 def data_quality(t: Tables) -> DataFrame:
-    return Q.data_quality(_copied(t)).drop("missing_payment_id")
+    return Q.data_quality(materialize(_copied(t))).drop("missing_payment_id")
 
 
 @query("null_duplicate_totals", _COPIED_SQL + """
@@ -120,7 +121,7 @@ SELECT count(*) - count(failure_reason) + count(*) - count(recovery_attempts_so_
     + count(*) FILTER (WHERE isnan(payment_amount)) AS missing_values,
   count(*) - count(DISTINCT payment_id) AS duplicate_rows FROM copied""")
 def null_duplicate_totals(t: Tables) -> DataFrame:
-    return Q.data_quality(_copied(t)).selectExpr(
+    return Q.data_quality(materialize(_copied(t))).selectExpr(
         "missing_value_count missing_values", "duplicate_count duplicate_rows")
 
 
@@ -209,8 +210,6 @@ _REPORT_SQL = """SELECT feature, type, round(psi, 4) AS drift_metric_psi,
 
 def _sides(t: Tables) -> DataFrame:
     # three uses (percentiles, numeric bins, categories), so the narrow table is written once
-    from ..operators.ordering import materialize
-
     return materialize(t.payments.selectExpr(
         *M.NUMERIC_DRIFT, *M.CATEGORICAL_DRIFT, f"{_SPLIT} is_reference"))
 
@@ -303,8 +302,8 @@ SELECT count(*) AS total_records, 0::BIGINT AS missing_values, 0::BIGINT AS vali
   {digits('sum(recovery_probability)::DOUBLE / count(*)', 'mean_probability')},
   {money('sum(expected_recovery)', 'expected_recovery')} FROM scored""")
 def monitoring_overview(t: Tables) -> DataFrame:
-    quality = Q.data_quality(t.scored.drop("failed_at", "next_ok_ts"))
-    means = t.scored.agg(F.expr("cast(sum(recovery_probability) as double) / count(1) m"),
+    quality = Q.data_quality(t.scored_table.drop("failed_at", "next_ok_ts"))
+    means = t.scored_table.agg(F.expr("cast(sum(recovery_probability) as double) / count(1) m"),
                          F.expr("sum(expected_recovery) e"))
     return quality.withColumns({
         "m": means.select("m").scalar(), "e": means.select("e").scalar()}).selectExpr(
