@@ -14,7 +14,7 @@ from ..functions.scalars import join_factors
 from ..operators import store as S
 from ..operators.ordering import shared_folder
 from ..sources.store import ParquetStore
-from ..streaming import monitor, pipeline
+from ..streaming import decisions, monitor
 from .decision_queries import _PAYLOAD
 from .quality_queries import _BROKEN, _VALIDATED_SQL
 from .registry import Tables, digits, money, query, whole
@@ -24,12 +24,12 @@ _RECEIVED = "timestamp '2024-02-01 00:00:00'"
 
 
 def _run(t: Tables, feed: DataFrame, files: int = 3) -> ParquetStore:
-    """Stream JSON rows (``value``) through the decision pipeline, one file per batch."""
+    """Stream JSON rows (``value``) through the decision stream, one file per batch."""
     root = f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
     feed.repartition(files).write.text(f"{root}/feed")
     store = ParquetStore(t.spark, f"{root}/store")
-    jobs = pipeline.Pipeline(store, model_version="v1", received_at=_RECEIVED)
-    jobs.run(pipeline.read_event_stream(t.spark, f"{root}/feed", files_per_batch=1),
+    jobs = decisions.DecisionStream(store, model_version="v1", received_at=_RECEIVED)
+    jobs.run(decisions.read_event_stream(t.spark, f"{root}/feed", files_per_batch=1),
              f"{root}/checkpoint").awaitTermination()
     return store
 
@@ -53,8 +53,8 @@ SELECT payment_id, p5::DOUBLE AS model_probability, priority AS recovery_priorit
 def stream_decisions(t: Tables) -> DataFrame:
     """Event, decision, audit and outcome rows of a streamed feed, joined back."""
     store = _run(t, _clean_feed(t))
-    events, decisions = store.read("payment_events"), store.read("recovery_decisions")
-    return (events.select("event_id", "payment_id").join(decisions, "event_id")
+    events = store.read("payment_events").select("event_id", "payment_id")
+    return (events.join(store.read("recovery_decisions"), "event_id")
             .join(store.read("audit_records").select("decision_id", "audit_id"), "decision_id")
             .join(store.read("recovery_outcomes").select("decision_id", "selected_action"), "decision_id")
             .selectExpr("payment_id", "cast(model_probability as double) model_probability",
@@ -113,7 +113,7 @@ def stream_watermark_dedup(t: Tables) -> DataFrame:
     feed = t.payments.selectExpr(f"{_KEY} idempotency_key", "failed_at event_time")
     feed.repartition(3).write.parquet(f"{root}/feed")
     stream = t.spark.readStream.schema(feed.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/feed")
-    (pipeline.deduplicate(stream, delay="40 days").writeStream.format("parquet")
+    (decisions.deduplicate(stream, delay="40 days").writeStream.format("parquet")
      .option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint")
      .trigger(availableNow=True).start().awaitTermination())
     return t.spark.read.schema(feed.schema).parquet(f"{root}/out").groupBy("idempotency_key").agg(

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.history import HEAVY_ROWS, payments_from_events
-from ..schemas import AUDIT_RECORDS, FAILED_PAYMENTS, SCORED_PAYMENTS  # noqa: F401
+from ..schemas import FAILED_PAYMENTS
 
 
 def read_payments_csv(spark: SparkSession, path: str, schema=FAILED_PAYMENTS) -> DataFrame:
-    """Payments from CSV with a header; ``schema=SCORED_PAYMENTS`` for scored files."""
+    """Payments from CSV with a header; pass ``schemas.SCORED_PAYMENTS`` for scored files."""
     return spark.read.schema(schema).option("header", True).option(
         "enforceSchema", False).csv(path)
 

@@ -23,7 +23,7 @@ SMALL_BATCH = 200_000
 
 
 @dataclass(frozen=True)
-class Pipeline:
+class DecisionStream:
     """Settings of a decision stream over one store."""
 
     store: ParquetStore

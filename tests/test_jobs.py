@@ -12,7 +12,7 @@ from dunwright.plans import queries
 from dunwright.plans.registry import Tables
 from dunwright.sources import readers, writers
 from dunwright.sources.store import ParquetStore
-from dunwright.streaming import pipeline
+from dunwright.streaming import decisions
 from tests.conftest import SMALL
 from tests.test_validation import VALID
 
@@ -47,10 +47,10 @@ def test_stream_is_idempotent(spark, tmp_path):
     event = lambda key, pid: json.dumps({**VALID, "payment_id": pid, "idempotency_key": key})
     (feed / "1.json").write_text("\n".join([event("k1", "p1"), event("k1", "p1"), event("k2", "p2")]))
     store = ParquetStore(spark, str(tmp_path / "store"))
-    jobs = pipeline.Pipeline(store, received_at="timestamp '2024-02-01 00:00:00'")
+    jobs = decisions.DecisionStream(store, received_at="timestamp '2024-02-01 00:00:00'")
 
     def run():
-        jobs.run(pipeline.read_event_stream(spark, str(feed)), str(tmp_path / "ckpt")).awaitTermination()
+        jobs.run(decisions.read_event_stream(spark, str(feed)), str(tmp_path / "ckpt")).awaitTermination()
 
     run()
     (feed / "2.json").write_text("\n".join([event("k2", "p2"), event("k3", "p1"), '{"payment_id": "bad"}']))
@@ -64,7 +64,7 @@ def test_stream_is_idempotent(spark, tmp_path):
     keys = {r.idempotency_key for r in store.read("payment_events").collect()}
     assert keys == {"k1", "k2", "k3"}
     again = spark.sql("select 'k2' idempotency_key")
-    assert pipeline.duplicate_answers(again, store).count() == 1
+    assert decisions.duplicate_answers(again, store).count() == 1
     quarantined = spark.read.parquet(store.path("quarantine"))
     assert quarantined.count() == 1
 
@@ -73,7 +73,7 @@ def test_matching_keys_beyond_the_broadcast_limit(spark):
     batch = spark.sql("select explode(array('a', 'b', 'b')) idempotency_key")
     stored = spark.sql("select explode(array('b', 'c')) idempotency_key")
     for small in (0, 100):
-        rows = pipeline.matching_keys(batch, stored, small=small).collect()
+        rows = decisions.matching_keys(batch, stored, small=small).collect()
         assert [r.idempotency_key for r in rows] == ["b"]
 
 
