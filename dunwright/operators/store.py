@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.scalars import audit_id, stable_id, text, utc_text
@@ -86,8 +86,13 @@ def first_per_key(rows: DataFrame, key: list[str], order: list[str]) -> DataFram
     key *and* order, so copies of one key spread over all tasks.
     """
     winners = rows.groupBy(*key).agg(F.expr(f"min(struct({', '.join(order)})) _w")).selectExpr(
-        *key, "_w.*")
-    return rows.join(winners, key + order, "left_semi")
+        *[f"{k} _k_{k}" for k in key], *[f"_w.{c} _k_{c}" for c in order])
+    return rows.join(winners, _same(key + order), "left_semi")
+
+
+def _same(columns: list[str]) -> Column:
+    """Equality with the ``_k_`` columns of the other side; NULL equals NULL."""
+    return F.expr(" and ".join(f"{c} <=> _k_{c}" for c in columns))
 
 
 def insert_if_absent(incoming: DataFrame, existing: DataFrame, key: list[str],
@@ -99,9 +104,11 @@ def insert_if_absent(incoming: DataFrame, existing: DataFrame, key: list[str],
 def insert_outcome(incoming: DataFrame, existing: DataFrame, key: list[str], order: list[str]
                    ) -> DataFrame:
     """All incoming rows with ``is_duplicate``."""
-    new = insert_if_absent(incoming, existing, key, order).selectExpr(*key, *order, "true _new")
-    return incoming.join(new, key + order, "left").selectExpr(
-        "* except (_new)", "_new is null is_duplicate")
+    new = insert_if_absent(incoming, existing, key, order).selectExpr(
+        *[f"{c} _k_{c}" for c in key + order], "true _new")
+    helpers = ", ".join([f"_k_{c}" for c in key + order] + ["_new"])
+    return incoming.join(new, _same(key + order), "left").selectExpr(
+        f"* except ({helpers})", "_new is null is_duplicate")
 
 
 def latest_decision(decisions: DataFrame) -> DataFrame:

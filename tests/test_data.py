@@ -128,6 +128,12 @@ def test_insert_if_absent(spark):
     assert flags == {1: False, 2: True, 3: True, 4: False}
 
 
+def test_insert_keeps_rows_without_an_order_value(spark):
+    incoming = spark.sql("select * from values ('a', 1, null), ('b', 2, 5) t(k, n, at)")
+    rows = S.insert_if_absent(incoming, spark.sql("select 'x' k"), ["k"], ["at", "n"]).collect()
+    assert {r.k for r in rows} == {"a", "b"}
+
+
 def test_orphans_ignore_null_keys(spark):
     child = spark.sql("select explode(array('a', 'a', 'x', null)) k")
     assert [(r.k, r.rows) for r in Q.orphans(child, "k", spark.sql("select 'a' k")).collect()] == [("x", 1)]
