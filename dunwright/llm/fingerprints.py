@@ -57,11 +57,11 @@ def likeness(a: str, b: str) -> str:
 
 
 def containment(a: str, b: str) -> str:
-    """SQL: estimated share of a's set that b's set holds."""
+    """SQL: estimated share of a's set that b's set holds; null where no hash of a is below the cut."""
     cut = f"least({a}.bound, {b}.bound)"
     left = f"filter({a}.kept, h -> h < {cut})"
     return f"""case when size({a}.kept) = 0 then 1D
-        else size(array_intersect({left}, {b}.kept)) / cast(size({left}) as double) end"""
+        else try_divide(size(array_intersect({left}, {b}.kept)), cast(size({left}) as double)) end"""
 
 
 def as_text(s: str) -> str:
