@@ -27,7 +27,7 @@ _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
 _PLACES = mix(np.arange(1, 17, dtype=np.uint64) * _LENGTH) | np.uint64(1)
 
 
-def _powers(base: int, n: int) -> np.ndarray:
+def _multiples(base: int, n: int) -> np.ndarray:
     steps = np.full(n + 1, base, dtype=np.uint64)
     steps[0] = 1
     return np.multiply.accumulate(steps)
@@ -36,10 +36,11 @@ def _powers(base: int, n: int) -> np.ndarray:
 _cache: dict[str, np.ndarray] = {}
 
 
-def _both_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least n + 1 powers of the base and of its inverse."""
     if len(_cache.get("up", ())) <= n:
         size = max(n, 1 << 16) * 5 // 4
-        _cache.update(up=_powers(_BASE, size), down=_powers(_INVERSE, size))
+        _cache.update(up=_multiples(_BASE, size), down=_multiples(_INVERSE, size))
     return _cache["up"], _cache["down"]
 
 
@@ -64,7 +65,7 @@ class Spans:
         n = len(self.bytes)
         lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 1
         self.text_start = np.concatenate(([0], np.cumsum(lengths)))
-        up, self._down = _both_powers(n)
+        up, self._down = powers(n)
         self._sum = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum(_BYTES[self.bytes] * up[:n], out=self._sum[1:])
         gap = np.ones(n + 1, dtype=bool)

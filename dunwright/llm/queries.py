@@ -1,4 +1,4 @@
 """Importing this module registers every query of the package."""
 
-from . import fingerprints, html_templates, jaccard_join, kd_search, mixing, quality_classifier, token_counts, toxicity, url_rules  # noqa: F401
+from . import fingerprints, html_templates, jaccard_join, kd_search, mixing, quality_classifier, segmentation, token_counts, toxicity, url_rules  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
