@@ -15,8 +15,10 @@ intersection is at least 80 % of their union.  The join is exact (up to collisio
    than a linked set may lack.  Linked sets then share a signature.  The number of groups depends on the
    size class of the larger set, so sets sign for every size class that a linked set may be in.
 5. Classes with a common signature are verified on their sets.  A large group of near copies would make
-   a square of pairs, so classes first meet the most central one of their signature, components are built,
-   and only classes that are still in different components meet all others of their signature.
+   a square of pairs, so classes first meet the most central one of their signature, and components are
+   built.  Signatures whose classes are still in different components are pooled by the component that most
+   of them have; the classes outside of it are the queries, all classes of the pool the rows that they are
+   counted against, block by block of bounded size.  Only links leave a block.
 
 Shingles travel as packed arrays in hash ranges of bounded size.  A shingle that very many texts of one map
 task have is sent once as a witness, and its occurrences go straight on, so no hot shingle meets in a task.
@@ -44,6 +46,7 @@ FREQUENT = 16            # classes beyond which a shingle is frequent
 HOT = 16                 # classes of one flush beyond which only a witness is counted
 FLUSH = 1_000_000        # shingles that a map task holds
 RANGE_TOKENS = 1_000_000  # shingles per hash range, on average
+BLOCK_TOKENS = 500_000   # shingles of a block
 BROADCAST_ROWS = 1_000_000  # most rows (16 bytes each) that are broadcast, checked by a count
 _U = np.uint64
 
@@ -261,7 +264,8 @@ def signatures(n: int, rare: np.ndarray, often: np.ndarray) -> np.ndarray:
 
 
 def _signed(sets: DataFrame) -> DataFrame:
-    """(class, n, rare, often) to (signature, class, n, weight); weight: the share of frequent shingles."""
+    """(class, n, rare, often) to (signature, class, n, kept, weight): kept counts the shingles that others
+    have, weight is the share of frequent ones."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for cls, n, rare, often in zip(*(batch.column(c).to_pylist()
@@ -271,10 +275,11 @@ def _signed(sets: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(found), pa.array(np.full(len(found), cls), pa.int64()),
                      pa.array(np.full(len(found), n), pa.int64()),
+                     pa.array(np.full(len(found), len(rare) + len(often)), pa.int64()),
                      pa.array(np.full(len(found), len(often) / n), pa.float32())],
-                    ["signature", "class", "n", "weight"])
+                    ["signature", "class", "n", "kept", "weight"])
 
-    return sets.mapInArrow(run, "signature bigint, class bigint, n bigint, weight float")
+    return sets.mapInArrow(run, "signature bigint, class bigint, n bigint, kept bigint, weight float")
 
 
 def _unpack_sets(grouped: DataFrame) -> DataFrame:
@@ -306,7 +311,58 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             .filter("100 * common >= 80 * (both - common)").select("a", "b"))
 
 
-_NEAR_SIZES = "5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)"
+# 100 i >= 80 (n_a + n_b - i) for the intersection i, which no more than the kept shingles can be in
+_CAN_LINK = "9 * least(kept_a, kept_b) >= 4 * (n_a + n_b)"
+
+
+def _block_links(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Links (a, b) between the queries and the rows of a block."""
+    out_a, out_b = [], []
+    if len(left) and len(right):
+        rows = [np.array(t, dtype=np.int64) for t in right.column("tokens").to_pylist()]
+        sizes = right.column("n").to_numpy()
+        classes, labels = right.column("class").to_numpy(), right.column("label").to_numpy()
+        flat = np.concatenate(rows)
+        start = np.concatenate(([0], np.cumsum([len(r) for r in rows])[:-1]))
+        known, flat = np.unique(flat, return_inverse=True)
+        present = np.zeros(len(known), dtype=np.int64)
+        for cls, n, label, tokens in zip(*(left.column(c).to_pylist()
+                                           for c in ("class", "n", "label", "tokens"))):
+            tokens = np.array(tokens, dtype=np.int64)
+            at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
+            at = at[known[at] == tokens]
+            present[at] = 1
+            common = np.add.reduceat(present[flat], start)
+            present[at] = 0
+            hit = np.flatnonzero((labels != label) & (100 * common >= 80 * (n + sizes - common)))
+            out_a += [cls] * len(hit)
+            out_b += classes[hit].tolist()
+    return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+
+
+def _pool_links(placed: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between the classes of each pool that are in different components.
+
+    ``placed`` has main (the pool), class and label, one row per pool and class.
+    """
+    tokens = sets.selectExpr("class", "n", "concat(rare, often) tokens")
+    rows = placed.join(tokens, "class").selectExpr("main", "class", "label", "n", "tokens",
+                                                   "size(tokens) held", "label <> main asks")
+    rows = written(rows, "pools")
+    pools = rows.groupBy("main").agg(
+        F.expr(f"cast(1 + sum(held) div {BLOCK_TOKENS} as int) row_blocks"),
+        F.expr(f"cast(1 + sum(if(asks, held, 0)) div {BLOCK_TOKENS} as int) query_blocks"))
+    rows = rows.join(pools, "main")
+    own = "cast(pmod(xxhash64(class), {}) as int)"
+    queries = rows.filter("asks").selectExpr(  # new names for the same columns keep the two sides apart
+        "main main", "class class", "label label", "n n", "tokens tokens", f"{own.format('query_blocks')} i",
+        "explode(sequence(0, row_blocks - 1)) j")
+    against = rows.selectExpr(
+        "main", "class", "label", "n", "tokens", f"{own.format('row_blocks')} j",
+        "explode(sequence(0, query_blocks - 1)) i")
+    keys = ["main", "i", "j"]
+    return queries.groupBy(*keys).cogroup(against.groupBy(*keys)).applyInArrow(
+        _block_links, "a bigint, b bigint")
 
 
 def class_links(docs: DataFrame, sizes: DataFrame) -> DataFrame | None:
@@ -332,23 +388,20 @@ def class_links(docs: DataFrame, sizes: DataFrame) -> DataFrame | None:
     sets = written(_unpack_sets(grouped), "sets")
     signed = written(_signed(sets), "signatures")
     buckets = signed.groupBy("signature").agg(
-        F.expr("count(1) size"), F.expr("max(struct(weight, class, n)) best")).filter("size > 1") \
-        .selectExpr("signature", "best.class a", "best.n n_a")
-    star = (signed.selectExpr("signature", "class b", "n n_b").join(buckets, "signature")
-            .filter(f"a <> b and {_NEAR_SIZES}").select("a", "b").distinct())
+        F.expr("count(1) size"), F.expr("max(struct(weight, class, n, kept)) best")).filter("size > 1") \
+        .selectExpr("signature", "best.class a", "best.n n_a", "best.kept kept_a")
+    star = (signed.selectExpr("signature", "class b", "n n_b", "kept kept_b").join(buckets, "signature")
+            .filter(f"a <> b and {_CAN_LINK}").select("a", "b").distinct())
     links = written(_verified(star, sets), "links")
     labels = components(links)
-    # what is still apart: members of other components than the most frequent one of their signature
+    # what is still apart: signatures with several components, pooled by the most frequent one
     placed = signed.join(labels.selectExpr("node class", "label"), "class", "left").selectExpr(
-        "signature", "class", "n", "coalesce(label, class) label")
+        "signature", "class", "coalesce(label, class) label")
     mixed = placed.groupBy("signature", "label").agg(F.expr("count(1) size")).groupBy("signature").agg(
         F.expr("count(1) labels"), F.expr("max(struct(size, label)).label main")).filter("labels > 1")
-    placed = written(placed.join(mixed.select("signature", "main"), "signature"), "apart")
-    other = placed.filter("label <> main").selectExpr("signature", "class a", "n n_a", "label label_a")
-    cross = (other.join(placed.selectExpr("signature", "class b", "n n_b", "label label_b"), "signature")
-             .filter(f"label_a <> label_b and {_NEAR_SIZES}")
-             .selectExpr("least(a, b) a", "greatest(a, b) b").distinct())
-    return links.union(_verified(cross, sets))
+    pooled = placed.join(mixed.select("signature", "main"), "signature").select(
+        "main", "class", "label").distinct()
+    return links.union(_pool_links(pooled, sets))
 
 
 def near_components(docs: DataFrame) -> DataFrame:
