@@ -51,16 +51,17 @@ def sample_features(docs: DataFrame, labels: DataFrame, label: str, fold: tuple[
     return out
 
 
-def scored(docs: DataFrame, score: Callable[[list[bytes]], list[float]]) -> DataFrame:
-    """Append ``score`` to every row of ``docs`` (column text), whole texts, null read as empty."""
+def scored(docs: DataFrame, score: Callable[[list[bytes]], list[float]],
+           name: str = "score") -> DataFrame:
+    """Append the score to every row of ``docs`` (column text), whole texts, null read as empty."""
     small_batches(docs.sparkSession)
-    docs = docs.drop("score")
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
+    docs = docs.drop(name)
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(score(texts), pa.float64())], [*batch.schema.names, "score"])
+                [*batch.columns, pa.array(score(texts), pa.float64())], [*batch.schema.names, name])
 
     return docs.mapInArrow(run, schema)

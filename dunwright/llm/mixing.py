@@ -22,7 +22,7 @@ from .registry import query
 WEIGHTS = (5.0, 2.0, 1.0)
 BUDGET = 1.5     # times all words
 MOST = 2.0       # times a source's words
-RANGE_ROWS = 4000  # documents per digest range, on average
+RANGE_ROWS = 1000  # documents per digest range, on average
 SIZE = r"if(text is null, 0, regexp_count(text, '[^\\x20\\x09-\\x0D]+'))"
 
 
@@ -49,45 +49,51 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, budge
         .selectExpr("source", "source_size", "least(cap, w * final) target"))
 
 
-def mix_sources(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id",
-                keep: list[str] | None = None) -> DataFrame:
-    """Rows with size, source_size, target (of the source) and taken (words, repeats counted).
-
-    ``keep`` names the columns that travel through the two shuffles; by default all but the four.
-    """
-    names = ("size", "source_size", "target", "taken")
-    keep = keep if keep is not None else [c for c in docs.columns if c not in names]
-    digest = f"""sha2(concat_ws('\\n', '{seed}', cast({id_col} as string), text), 256)"""
+def _mixed(docs: DataFrame, keep: list[str], seed: str, id_col: str) -> DataFrame:
+    """The kept columns with _size, _source_size, _target and _taken; only they and the key are shuffled."""
+    digest = f"""sha2(concat_ws('\n', '{seed}', cast({id_col} as string), text), 256)"""
     width = 281474976710656 // (1 + docs.count() // RANGE_ROWS)  # of 48 bits
-    sized = docs.selectExpr(*[f"`{c}`" for c in keep], f"{SIZE} _size", f"{digest} _digest",
+    sized = docs.selectExpr(*[f"`{c}`" for c in keep], f"cast({SIZE} as bigint) _size", f"{digest} _digest",
                             "struct(source) _source").selectExpr(
         "*", f"cast(conv(left(_digest, 12), 16, 10) as bigint) div {width} _range")
-    ranges = sized.groupBy("_source", "_range").agg(F.expr("cast(sum(_size) as bigint) _words"))
-    sources = source_targets(ranges.groupBy("_source").agg(
-        F.expr("cast(sum(_words) as bigint) source_size"))
-        .selectExpr("_source.source source", "source_size"))
+    ranges = sized.groupBy("_source", "_range").agg(F.expr("sum(_size) _words"))
+    sources = source_targets(ranges.groupBy("_source").agg(F.expr("sum(_words) source_size"))
+                             .selectExpr("_source.source source", "source_size"))
     placed = ranges.selectExpr("_source", "_range", """coalesce(sum(_words) over (partition by _source
         order by _range rows between unbounded preceding and 1 preceding), 0) _offset""")
-    placed = placed.join(sources.selectExpr("struct(source) _source", "source_size", "target"), "_source")
+    placed = placed.join(sources.selectExpr(
+        "struct(source) _source", "source_size _source_size", "target _target"), "_source")
     taken = " + ".join(
-        f"greatest(0, least(_size, cast(round(target) as bigint) - {epoch} * source_size - _upto + _size))"
+        f"greatest(0, least(_size, cast(round(_target) as bigint) - {epoch} * _source_size - _upto + _size))"
         for epoch in range(int(MOST)))
     return (
         sized.join(placed, ["_source", "_range"])
         .selectExpr("*", """_offset + sum(_size) over (partition by _source, _range order by _digest
             rows between unbounded preceding and current row) _upto""")
-        .selectExpr(*[f"`{c}`" for c in keep], "cast(_size as bigint) size", "source_size", "target",
-                    f"cast({taken} as bigint) taken"))
+        .selectExpr(*[f"`{c}`" for c in keep], "_size", "_source_size", "_target",
+                    f"cast({taken} as bigint) _taken"))
+
+
+def mix_sources(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id",
+                keep: list[str] | None = None) -> DataFrame:
+    """Rows with size, source_size, target (of the source) and taken (words, repeats counted).
+
+    ``keep`` names the columns that travel through the shuffle; by default all but the four.
+    """
+    names = ("size", "source_size", "target", "taken")
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in names]
+    return _mixed(docs, keep, seed, id_col).selectExpr(
+        *[f"`{c}`" for c in keep], *[f"_{n} {n}" for n in names])
 
 
-def repeat_taken(docs: DataFrame) -> DataFrame:
+def repeat_taken(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id") -> DataFrame:
     """The mix itself: every document once per epoch that reaches it, with the columns of ``docs``.
 
     A document that the budget cuts is kept whole, so a source may give a part of one document more.
     """
-    return mix_sources(docs, keep=docs.columns).filter("taken > 0").selectExpr(
-        *[f"`{c}`" for c in docs.columns],
-        "explode(array_repeat(0, cast(ceil(taken / size) as int))) _copy").drop("_copy")
+    columns = [f"`{c}`" for c in docs.columns]
+    return _mixed(docs, docs.columns, seed, id_col).filter("_taken > 0").selectExpr(
+        *columns, "explode(array_repeat(0, cast(ceil(_taken / _size) as int))) _copy").drop("_copy")
 
 
 @query("op10_mixing", sql=r"""

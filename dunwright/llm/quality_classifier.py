@@ -177,9 +177,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality",
     return fit([r[0] for r in found], [np.frombuffer(r[1], dtype=np.int32) for r in found])
 
 
-def score_quality(docs: DataFrame, model: NaiveBayesSvm) -> DataFrame:
+def score_quality(docs: DataFrame, model: NaiveBayesSvm, name: str = "score") -> DataFrame:
     """Append ``score`` (0 to 1, high for good documents) to every row."""
-    return scored(docs, model.scores)
+    return scored(docs, model.scores, name)
 
 
 @query("op6_quality_classifier")

@@ -220,9 +220,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic",
     return fit([r[0] for r in found], [np.frombuffer(r[1], dtype=np.uint64) for r in found], pairs)
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
+def score_toxicity(docs: DataFrame, model: ToxicityModel, name: str = "score") -> DataFrame:
     """Append ``score`` (0 to 1, high for toxic documents) to every row."""
-    return scored(docs, model.scores)
+    return scored(docs, model.scores, name)
 
 
 @query("op3_toxicity")
