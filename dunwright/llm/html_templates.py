@@ -156,15 +156,16 @@ def extract_articles(pages: DataFrame, broadcast_hosts: int = BROADCAST_HOSTS) -
     small_batches(pages.sparkSession, 200)
     own = pages.drop("text", "n_chars")
     placed = own.selectExpr("*", f"{host_and_path('url')['host']} _host")
-    templates = written(deduce_templates(placed.selectExpr("_host host", "html")), "templates")
+    templates = written(deduce_templates(placed.selectExpr("_host host", "html")).selectExpr(
+        "host _site", "texts _texts", "content _content"), "templates")
     if templates.count() <= broadcast_hosts:
-        met = placed.join(F.broadcast(templates), F.expr("_host = host"), "left")
+        met = placed.join(F.broadcast(templates), F.expr("_host = _site"), "left")
     else:
         salted = placed.selectExpr("*", f"pmod(xxhash64(url, html), {SALTS}) _salt")
-        wanted = salted.select(F.col("_host").alias("host"), "_salt").distinct()
-        met = salted.join(wanted.join(templates, "host").withColumnRenamed("_salt", "salt"),
-                          F.expr("_host = host and _salt = salt"), "left").drop("_salt", "salt")
-    met = met.drop("_host", "host")
+        wanted = salted.selectExpr("_host _site", "_salt _part").distinct()
+        met = salted.join(wanted.join(templates, "_site"),
+                          F.expr("_host = _site and _salt = _part"), "left").drop("_salt", "_part")
+    met = met.drop("_host", "_site")
     schema = T.StructType([*own.schema.fields, T.StructField("text", T.StringType()),
                            T.StructField("n_chars", T.LongType())])
     kept = own.columns
@@ -172,7 +173,7 @@ def extract_articles(pages: DataFrame, broadcast_hosts: int = BROADCAST_HOSTS) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [article_text(html or "", set(texts or ()), content) for html, texts, content in zip(
-                *(batch.column(c).to_pylist() for c in ("html", "texts", "content")))]
+                *(batch.column(c).to_pylist() for c in ("html", "_texts", "_content")))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in kept] + [pa.array(found, pa.string()),
                                                    pa.array([len(t) for t in found], pa.int64())],

@@ -116,9 +116,9 @@ class Pieces:
             out.append((at[hit], np.full(len(hit), n, dtype=np.int64), found[hit]))
         return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, dtype=np.int64),) * 3
 
-    def decode(self, ids: list[int]) -> str:
-        """The text of a segmentation; its first space is the one that encoding added."""
-        return b"".join(map(self.bytes.__getitem__, ids))[1:].decode()
+    def decode(self, ids: list[int]) -> bytes:
+        """The UTF-8 text of a segmentation; its first space is the one that encoding added."""
+        return b"".join(map(self.bytes.__getitem__, ids))[1:]
 
 
 class Lattices:
@@ -165,7 +165,7 @@ class Lattices:
             piece = np.concatenate([piece, [-1 - ord(c) if c > "\x7f" else self.pieces.byte_id[ord(c)]
                                             for c in characters]])
             value = np.concatenate([value, [sum(byte_p[b] for b in c.encode()) for c in characters]])
-        order = np.lexsort((length, place, left[place]))  # nearest to the end first
+        order = np.argsort((left[place] << 37) | (place << 5) | length)  # nearest to the end first
         place, length, piece, value = place[order], length[order], piece[order], value[order]
         after = np.zeros(len(points) + 1)  # log of the sum over all segmentations from a place on
         distance = left[place]
@@ -177,14 +177,17 @@ class Lattices:
             best = np.maximum.reduceat(value[a:b], first)
             own = np.repeat(best, np.diff(np.append(first, b - a)))
             after[place[a:b][first]] = best + np.log(np.add.reduceat(np.exp(value[a:b] - own), first))
-        order = np.lexsort((-value, place))
-        place, length, piece, value = place[order], length[order], piece[order], value[order]
         log_p = np.minimum(value - after[place], 0.0)
+        unlikely = np.minimum(-log_p * (1 << 20), (1 << 30) - 1).astype(np.int64)
+        order = np.argsort((place << 36) | (unlikely << 5) | length)
+        place, length, piece, log_p = place[order], length[order], piece[order], log_p[order]
         first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
-        total = np.cumsum(np.exp(log_p))
-        before = np.append(0.0, total[first[1:] - 1])
-        share = np.minimum(total - np.repeat(before, np.diff(np.append(first, len(place)))), 1.0)
-        share[np.append(first[1:], len(place)) - 1] = 1.0
+        sizes_here = np.diff(np.append(first, len(place)))
+        share = np.exp(log_p)
+        for j in range(1, int(sizes_here.max(initial=1))):  # sums that depend on nothing but the place
+            at = first[sizes_here > j] + j
+            share[at] += share[at - 1]
+        share[first + sizes_here - 1] = 1.0
         n, m, base = len(points), len(place), self.n_places
         self._room(n, m)
         span = slice(self.n_edges, self.n_edges + m)
@@ -201,7 +204,7 @@ class Lattices:
         places = self.places
         new = set(words).difference(places)
         if new:
-            self.add(sorted(new))
+            self.add(list(new))
         return np.fromiter(map(places.__getitem__, words), dtype=np.int64, count=len(words))
 
 
@@ -413,12 +416,13 @@ def segment(docs: DataFrame, model: str, k: int = SAMPLES, seed: int = 1,
             for lo, hi in chunks(texts, 1 << 20):
                 for i, found in enumerate(sample_texts(lat, keys[lo:hi], texts[lo:hi], k), lo):
                     *paths, threshold = found
+                    whole = texts[i].encode()
                     for rank, (edges, log_p, value) in enumerate(paths, 1):
                         ids = _ids(lat, edges)
                         at.append(i)
                         rows.append((rank, len(ids), ids.astype("<i4").tobytes(), log_p, value,
                                      log_inclusion(log_p, threshold),
-                                     pieces.decode(ids.tolist()) == texts[i]))
+                                     pieces.decode(ids.tolist()) == whole))
             columns = list(zip(*rows)) or [[]] * 7
             kinds = [pa.int32(), pa.int32(), pa.binary(), pa.float64(), pa.float64(), pa.float64(), pa.bool_()]
             yield pa.RecordBatch.from_arrays(
