@@ -1,8 +1,7 @@
 """Model evaluation on scored tables: curves, metrics, calibration, folds.
 
-Rank metrics first count labels per distinct score.  Scores carry six digits, so a
-group never has more than 1,000,001 of them, and running sums over these are
-range-partitioned; no step orders the raw rows.
+Rank metrics first count labels per distinct score, compared as exact doubles of any size;
+running sums over these counts are range-partitioned, so no step orders the raw rows.
 """
 
 from __future__ import annotations
@@ -18,9 +17,8 @@ METRICS = ("accuracy", "precision", "recall", "f1", "roc_auc", "pr_auc", "brier"
 
 def _running_scores(df: DataFrame, by: list[str], label: str, score: str) -> DataFrame:
     """Distinct scores with own and running counts, best first, place and class totals."""
-    counts = df.groupBy(*by, F.expr(f"cast(round(cast({score} as double), 6) as decimal(7,6)) as score")
-                        ).agg(F.expr(f"count_if({label} = 1) pos"), F.expr(f"count_if({label} = 0) neg"),
-                              F.expr("1L one"))
+    counts = df.groupBy(*by, F.expr(f"cast({score} as double) as score")).agg(
+        F.expr(f"count_if({label} = 1) pos"), F.expr(f"count_if({label} = 0) neg"), F.expr("1L one"))
     return with_running_totals(counts, [F.desc("score")], {"tp": "pos", "fp": "neg", "place": "one"},
                                {"P": "pos", "N": "neg"}, by)
 
@@ -33,7 +31,7 @@ def roc_curve(df: DataFrame, label: str = "recovered", score: str = "recovery_pr
         *by, "score threshold", "tp", "fp", f"{ratio('tp', 'P')} tpr", f"{ratio('fp', 'N')} fpr")
     start = df.select(*by).distinct() if by else df.sparkSession.range(1)
     return points.unionByName(start.selectExpr(
-        *by, "cast(null as decimal(7,6)) threshold", "0L tp", "0L fp", "0.0D tpr", "0.0D fpr"))
+        *by, "cast(null as double) threshold", "0L tp", "0L fp", "0.0D tpr", "0.0D fpr"))
 
 
 def roc_corners(df: DataFrame, label: str = "recovered", score: str = "recovery_probability"
@@ -49,7 +47,7 @@ def roc_corners(df: DataFrame, label: str = "recovered", score: str = "recovery_
         "next_pos is null or next_pos <> pos or next_neg <> neg")
     points = kept.selectExpr("score threshold", f"{ratio('tp', 'P')} tpr", f"{ratio('fp', 'N')} fpr")
     return points.unionByName(df.sparkSession.range(1).selectExpr(
-        "cast(null as decimal(7,6)) threshold", "0.0D tpr", "0.0D fpr"))
+        "cast(null as double) threshold", "0.0D tpr", "0.0D fpr"))
 
 
 def rank_metrics(df: DataFrame, label: str = "recovered", score: str = "recovery_probability",

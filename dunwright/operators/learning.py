@@ -55,12 +55,12 @@ def logistic_estimator(rows: int, balanced: bool = False, label: str = "recovere
                        ) -> LogisticRegression:
     """L2 logistic regression with unit inverse regularisation (regParam = 1/rows)."""
     estimator = LogisticRegression(
-        featuresCol="features", labelCol=label, maxIter=100, tol=1e-4,
+        featuresCol="features", labelCol=label, maxIter=1000, tol=1e-4,
         regParam=1.0 / max(rows, 1), elasticNetParam=0.0, standardization=False)
     return estimator.setWeightCol("weight") if balanced else estimator
 
 
-def boosted_estimator(label: str = "recovered", trees: int = 20, depth: int = 4) -> GBTClassifier:
+def boosted_estimator(label: str = "recovered", trees: int = 100, depth: int = 6) -> GBTClassifier:
     return GBTClassifier(featuresCol="features", labelCol=label, maxIter=trees, maxDepth=depth,
                          stepSize=0.3, seed=42)
 
@@ -80,7 +80,7 @@ def train_logistic(df: DataFrame, balanced: bool = False, label: str = "recovere
     return _fit(table, estimator, label, [])
 
 
-def train_boosted(df: DataFrame, label: str = "recovered", trees: int = 20) -> PipelineModel:
+def train_boosted(df: DataFrame, label: str = "recovered", trees: int = 100) -> PipelineModel:
     """Gradient-boosted trees on the same features."""
     table = materialize(model_inputs(df).select(*MODEL_COLUMNS, label))
     return _fit(table, boosted_estimator(label, trees), label, [])
@@ -108,10 +108,10 @@ def fit_isotonic(scored: DataFrame, label: str = "recovered", score: str = "mode
                  ) -> IsotonicRegressionModel:
     """Isotonic fit on counted scores.
 
-    Rows are first averaged per six-digit score, with their number as weight; the
-    solution is the same and the fit sees at most 1,000,001 rows.
+    Rows of equal score are first averaged, with their number as weight; the solution is
+    the same.  Spark's solver pools neighbours in the tasks and finishes on the driver.
     """
-    counted = scored.groupBy(F.expr(f"round({score}, 6) as x")).agg(
+    counted = scored.groupBy(F.expr(f"cast({score} as double) as x")).agg(
         F.expr(f"avg(double({label})) y"), F.expr("double(count(1)) w"))
     return IsotonicRegression(featuresCol="x", labelCol="y", weightCol="w", predictionCol="_iso").fit(
         counted)
@@ -120,7 +120,7 @@ def fit_isotonic(scored: DataFrame, label: str = "recovered", score: str = "mode
 def apply_isotonic(model: IsotonicRegressionModel, scored: DataFrame, score: str, output: str
                    ) -> DataFrame:
     """Calibrated probability: linear between the fitted points, flat outside."""
-    ready = scored.withColumn("x", F.expr(f"round({score}, 6)"))
+    ready = scored.withColumn("x", F.expr(f"cast({score} as double)"))
     return model.transform(ready).drop("x").withColumnRenamed("_iso", output)
 
 

@@ -14,7 +14,6 @@ from .ordering import exact_percentiles, materialize
 NUMERIC_DRIFT = ("payment_amount", "customer_tenure_months", "historical_success_rate")
 CATEGORICAL_DRIFT = ("failure_reason", "payment_method", "is_subscription")
 EMPTY_SHARE = 0.0001  # stands in for a share of zero
-EDGE_DIGITS = 6
 
 
 def long_values(df: DataFrame, columns: list[str], keep: list[str] | None = None,
@@ -87,12 +86,14 @@ def _both_sides(rows: DataFrame, reference: str, kind: str) -> DataFrame:
         F.expr(f"count_if(not {reference}) cur"))
 
 
-def _numeric_bins(df: DataFrame, columns: list[str], reference: str, buckets: int = 10) -> DataFrame:
+def _numeric_bins(df: DataFrame, columns: list[str], reference: str, buckets: int = 10,
+                  edge_digits: int | None = None) -> DataFrame:
     values = long_values(df, columns, [reference])
     steps = [i / buckets for i in range(buckets + 1)]
     inner = exact_percentiles(values.filter(reference), steps).selectExpr(
         "feature",
-        f"array_distinct(transform(percentiles, e -> round(e, {EDGE_DIGITS}))) edges",
+        "array_distinct(percentiles) edges" if edge_digits is None
+        else f"array_distinct(transform(percentiles, e -> round(e, {edge_digits}))) edges",
     ).selectExpr(
         "feature", "case when size(edges) > 2 then slice(edges, 2, size(edges) - 2) "
                    "else cast(array() as array<double>) end inner_edges")
@@ -108,13 +109,14 @@ def _category_bins(df: DataFrame, columns: list[str], reference: str) -> DataFra
 
 
 def numeric_psi(df: DataFrame, columns: list[str], reference: str = "is_reference",
-                buckets: int = 10) -> DataFrame:
+                buckets: int = 10, edge_digits: int | None = None) -> DataFrame:
     """PSI of numeric columns between reference and current rows of one table.
 
     Bins are [edge, next edge) with outer edges open, edges the reference's
-    interpolated percentiles; fewer than two distinct edges give 0.
+    interpolated percentiles; fewer than two distinct edges give 0.  Edges are exact
+    unless ``edge_digits`` rounds them, for results that another engine has to repeat.
     """
-    return _psi_of_counts(_numeric_bins(df, columns, reference, buckets))
+    return _psi_of_counts(_numeric_bins(df, columns, reference, buckets, edge_digits))
 
 
 def categorical_psi(df: DataFrame, columns: list[str], reference: str = "is_reference"
@@ -123,12 +125,13 @@ def categorical_psi(df: DataFrame, columns: list[str], reference: str = "is_refe
     return _psi_of_counts(_category_bins(df, columns, reference))
 
 
-def drift_report(df: DataFrame, reference: str = "is_reference") -> DataFrame:
+def drift_report(df: DataFrame, reference: str = "is_reference",
+                 edge_digits: int | None = None) -> DataFrame:
     """Drift of the monitored features between two parts of one table."""
     numeric = [c for c in NUMERIC_DRIFT if c in df.columns]
     categorical = [c for c in CATEGORICAL_DRIFT if c in df.columns]
-    bins = [part(df, columns, reference) for part, columns in (
-        (_numeric_bins, numeric), (_category_bins, categorical)) if columns]
+    bins = [_numeric_bins(df, numeric, reference, edge_digits=edge_digits)] if numeric else []
+    bins += [_category_bins(df, categorical, reference)] if categorical else []
     # a few counted rows, written so that the passes that count them run once
     report = _psi_of_counts(materialize(reduce(DataFrame.unionByName, bins)))
     return report.selectExpr("feature", "type", "round(psi, 4) drift_metric_psi",

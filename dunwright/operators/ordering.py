@@ -9,6 +9,9 @@ sampling, so the numbering has to be frozen before two branches use it.
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -23,9 +26,9 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    import tempfile
-
+    # nothing is set and there is one machine: a folder for the life of this process
     folder = tempfile.mkdtemp(prefix="dunwright-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(folder)
     return folder
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.scalars import audit_id, stable_id, text, utc_text
@@ -13,6 +13,7 @@ from ..schemas import (
     STORE_TABLES,
 )
 from .lookup import rows_of
+from .ordering import materialize
 
 DEFAULT_STRATEGY = "Rule-Based Real-Time Default"
 OUTCOME_NOTE = "Synthetic simulation assumption, not a real transaction."
@@ -79,36 +80,40 @@ def model_rows(models: DataFrame, registered_at: str) -> DataFrame:
                    model_version_id=stable_id("model", "model_name", "model_version"), **optional)
 
 
-def first_per_key(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """The earliest row of each key; ``order`` must be unique inside a key.
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Rows written once with a number of their own, so that exact copies can be told apart."""
+    return materialize(rows.withColumn("_row", F.expr("monotonically_increasing_id()")))
+
 
-    The winner's order columns are found by a combining aggregate and joined back on
-    key *and* order, so copies of one key spread over all tasks.
+def _winners(numbered: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """Per key the number of its earliest row (the first copy among equals), as ``_won``.
+
+    Found by a combining aggregate and joined back on the unique number, so copies of one
+    key spread over all tasks.
     """
-    winners = rows.groupBy(*key).agg(F.expr(f"min(struct({', '.join(order)})) _w")).selectExpr(
-        *[f"{k} _k_{k}" for k in key], *[f"_w.{c} _k_{c}" for c in order])
-    return rows.join(winners, _same(key + order), "left_semi")
+    return numbered.groupBy(*key).agg(F.expr(f"min(struct({', '.join([*order, '_row'])}))._row _won"))
 
 
-def _same(columns: list[str]) -> Column:
-    """Equality with the ``_k_`` columns of the other side; NULL equals NULL."""
-    return F.expr(" and ".join(f"{c} <=> _k_{c}" for c in columns))
+def first_per_key(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """The earliest row of each key, one of them if it has exact copies."""
+    numbered = _numbered(rows)
+    return numbered.join(_winners(numbered, key, order).select("_won"), F.expr("_row = _won"),
+                         "left_semi").drop("_row")
 
 
 def insert_if_absent(incoming: DataFrame, existing: DataFrame, key: list[str],
                      order: list[str]) -> DataFrame:
     """Rows to append: first of each key in the batch, whose key is not stored yet."""
-    return first_per_key(incoming, key, order).join(existing.select(*key), key, "left_anti")
+    return insert_outcome(incoming, existing, key, order).filter("not is_duplicate").drop("is_duplicate")
 
 
 def insert_outcome(incoming: DataFrame, existing: DataFrame, key: list[str], order: list[str]
                    ) -> DataFrame:
-    """All incoming rows with ``is_duplicate``."""
-    new = insert_if_absent(incoming, existing, key, order).selectExpr(
-        *[f"{c} _k_{c}" for c in key + order], "true _new")
-    helpers = ", ".join([f"_k_{c}" for c in key + order] + ["_new"])
-    return incoming.join(new, _same(key + order), "left").selectExpr(
-        f"* except ({helpers})", "_new is null is_duplicate")
+    """All incoming rows with ``is_duplicate``: copies, later rows of a key and stored keys."""
+    numbered = _numbered(incoming)
+    new = _winners(numbered, key, order).join(existing.select(*key), key, "left_anti").select("_won")
+    return numbered.join(new, F.expr("_row = _won"), "left").selectExpr(
+        "* except (_row, _won)", "_won is null is_duplicate")
 
 
 def latest_decision(decisions: DataFrame) -> DataFrame:

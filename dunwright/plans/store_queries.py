@@ -103,6 +103,7 @@ _FEED_SQL = f""", feed AS (
   SELECT DISTINCT idempotency_key FROM feed WHERE failed_at < timestamp '2024-01-11 00:00:00'
 ), incoming AS (
   SELECT * FROM feed WHERE failed_at >= timestamp '2024-01-09 00:00:00'
+  UNION ALL SELECT * FROM feed WHERE failed_at >= timestamp '2024-01-09 00:00:00' AND event_id % 3 = 0
 ), ranked AS (
   SELECT *, row_number() OVER (PARTITION BY idempotency_key ORDER BY failed_at, payment_id) = 1
     AND idempotency_key NOT IN (SELECT idempotency_key FROM stored) AS is_new FROM incoming)"""
@@ -111,7 +112,8 @@ _FEED_SQL = f""", feed AS (
 def _feed(t: Tables) -> tuple[DataFrame, DataFrame]:
     feed = t.payments.selectExpr("*", f"{_KEY} idempotency_key")
     stored = feed.filter("failed_at < timestamp '2024-01-11 00:00:00'").select("idempotency_key").distinct()
-    return feed.filter("failed_at >= timestamp '2024-01-09 00:00:00'"), stored
+    copies = f"explode(array_repeat(0, if({_NUMBER} % 3 = 0, 2, 1))) _copy"  # delivered again, unchanged
+    return feed.filter("failed_at >= timestamp '2024-01-09 00:00:00'").selectExpr("*", copies).drop("_copy"), stored
 
 
 @query("idempotent_insert", _FEED_SQL + " SELECT payment_id, idempotency_key, NOT is_new AS is_duplicate FROM ranked")

@@ -1,7 +1,7 @@
 """Streaming jobs over the event log's payments, run to completion and read back.
 
-The feed is written once as JSON files in the shared folder, read as a stream of
-several micro-batches, and the stored result is compared with plain batch SQL.
+The feed is delivered as JSON files to the shared folder in time order, piece by piece, and
+the result that several runs of the stream store is compared with plain batch SQL.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scalars import join_factors
 from ..operators import store as S
-from ..operators.ordering import shared_folder
+from ..operators.ordering import materialize, shared_folder
 from ..sources.store import ParquetStore
 from ..streaming import decisions, monitor
 from .decision_queries import _PAYLOAD
@@ -23,25 +23,38 @@ from .store_queries import _FEED_SQL, _KEY
 _RECEIVED = "timestamp '2024-02-01 00:00:00'"
 
 
-def _run(t: Tables, feed: DataFrame, files: int = 3) -> ParquetStore:
-    """Stream JSON rows (``value``) through the decision stream, one file per batch."""
-    root = f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
-    feed.repartition(files).write.text(f"{root}/feed")
-    store = ParquetStore(t.spark, f"{root}/store")
+def _stream(t: Tables, root: str, store: ParquetStore, name: str, feed: DataFrame, pieces: int) -> None:
+    """Deliver JSON rows (``value``) in time order, piece by piece, each to a run of the stream."""
     jobs = decisions.DecisionStream(store, model_version="v1", received_at=_RECEIVED)
-    jobs.run(decisions.read_event_stream(t.spark, f"{root}/feed", files_per_batch=1),
-             f"{root}/checkpoint").awaitTermination()
+    feed = materialize(feed.selectExpr(
+        "value", "failed_at", "payment_id", f"(day(failed_at) - 1) * {pieces} div 31 piece"))
+    for k in range(pieces):
+        (feed.filter(f"piece = {k}").repartitionByRange("failed_at", "payment_id")
+         .sortWithinPartitions("failed_at", "payment_id").select("value")
+         .write.mode("append").text(f"{root}/feed-{name}"))
+        jobs.run(decisions.read_event_stream(t.spark, f"{root}/feed-{name}", files_per_batch=100_000),
+                 f"{root}/checkpoint-{name}").awaitTermination()
+
+
+def _store(t: Tables) -> tuple[str, ParquetStore]:
+    root = f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
+    return root, ParquetStore(t.spark, f"{root}/store")
+
+
+def _run(t: Tables, feed: DataFrame, pieces: int = 3) -> ParquetStore:
+    root, store = _store(t)
+    _stream(t, root, store, "a", feed, pieces)
     return store
 
 
 def _clean_feed(t: Tables) -> DataFrame:
-    return t.payments.selectExpr("payment_id idempotency_key", *_PAYLOAD).selectExpr(
-        "to_json(struct(*)) value")
+    return t.payments.selectExpr("struct(failed_at) _at", "payment_id idempotency_key", *_PAYLOAD).selectExpr(
+        "to_json(struct(* except (_at))) value", "_at.failed_at failed_at", "payment_id")
 
 
 def _keyed_feed(t: Tables) -> DataFrame:
-    return t.payments.selectExpr(f"{_KEY} idempotency_key", *_PAYLOAD).selectExpr(
-        "to_json(struct(*)) value")
+    return t.payments.selectExpr("struct(failed_at) _at", f"{_KEY} idempotency_key", *_PAYLOAD).selectExpr(
+        "to_json(struct(* except (_at))) value", "_at.failed_at failed_at", "payment_id")
 
 
 @query("stream_decisions", f"""
@@ -63,35 +76,52 @@ def stream_decisions(t: Tables) -> DataFrame:
                         "audit_id", "selected_action"))
 
 
-@query("stream_dedup", _FEED_SQL + """
-SELECT idempotency_key, 1::BIGINT AS events, 1::BIGINT AS decisions FROM feed GROUP BY idempotency_key""")
-def stream_dedup(t: Tables) -> DataFrame:
-    """Repeated keys, inside and across micro-batches, leave one event and one decision."""
-    store = _run(t, _keyed_feed(t))
-    events = store.read("payment_events").select("idempotency_key", "event_id")
+def _winners(store: ParquetStore) -> DataFrame:
+    """Per key the stored payment and the numbers of its events and decisions."""
+    events = store.read("payment_events").select("idempotency_key", "event_id", "payment_id")
     return (events.join(store.read("recovery_decisions").select("event_id", "decision_id"), "event_id", "left")
             .groupBy("idempotency_key").agg(
-                F.expr("count(distinct event_id) events"), F.expr("count(decision_id) decisions")))
+                F.expr("min(payment_id) payment_id"), F.expr("count(distinct event_id) events"),
+                F.expr("count(decision_id) decisions")))
+
+
+@query("stream_dedup", _FEED_SQL + """
+SELECT idempotency_key, payment_id, 1::BIGINT AS events, 1::BIGINT AS decisions FROM feed
+QUALIFY row_number() OVER (PARTITION BY idempotency_key ORDER BY failed_at, payment_id) = 1""")
+def stream_dedup(t: Tables) -> DataFrame:
+    """Repeated keys, inside and across micro-batches, leave the first one's event and decision."""
+    return _winners(_run(t, _keyed_feed(t)))
+
+
+@query("stream_two_sources", _FEED_SQL + """
+SELECT idempotency_key, payment_id, 1::BIGINT AS events, 1::BIGINT AS decisions FROM feed
+QUALIFY row_number() OVER (PARTITION BY idempotency_key
+  ORDER BY event_id % 2, failed_at, payment_id) = 1""")
+def stream_two_sources(t: Tables) -> DataFrame:
+    """Two streams with checkpoints of their own fill one store: first even numbers, then everything."""
+    root, store = _store(t)
+    feed = _keyed_feed(t)
+    _stream(t, root, store, "even", feed.filter("cast(substring(payment_id, 5) as bigint) % 2 = 0"), 2)
+    _stream(t, root, store, "all", feed, 2)
+    return _winners(store)
 
 
 @query("stream_status", """
 SELECT substr(sha256('event|' || payment_id), 1, 32) AS event_id, 'AUDIT_WRITTEN' AS processing_status
 FROM payments""")
 def stream_status(t: Tables) -> DataFrame:
-    return S.current_status(_run(t, _clean_feed(t), files=2).read("event_status_log"))
+    return S.current_status(_run(t, _clean_feed(t), pieces=2).read("event_status_log"))
 
 
 @query("stream_quarantine", _VALIDATED_SQL + """
-SELECT errors, count(*) AS events FROM validated
-WHERE errors <> '' AND (payment_amount IS NULL OR NOT (isnan(payment_amount) OR isinf(payment_amount)))
-GROUP BY errors""")
+SELECT errors, count(*) AS events FROM validated WHERE errors <> '' GROUP BY errors""")
 def stream_quarantine(t: Tables) -> DataFrame:
     """Invalid events of a feed with broken fields, by message."""
-    broken = t.payments.selectExpr("payment_id", *_BROKEN).filter(
-        "not isnan(payment_amount) and payment_amount < double('infinity')")
+    broken = t.payments.selectExpr("struct(failed_at) _at", "payment_id", *_BROKEN)
     store = _run(t, broken.selectExpr(
-        "to_json(struct(*), map('ignoreNullFields', 'false')) value"), files=2)
-    return t.spark.read.parquet(store.path("quarantine")).groupBy(
+        "to_json(struct(* except (_at)), map('ignoreNullFields', 'false')) value",
+        "_at.failed_at failed_at", "payment_id"), pieces=2)
+    return decisions.quarantined(store).groupBy(
         F.expr("concat_ws('; ', errors) as errors")).agg(F.expr("count(1) events"))
 
 
@@ -102,7 +132,7 @@ UNION ALL SELECT 'audit_records', count(*) FROM payments
 UNION ALL SELECT 'recovery_outcomes', count(*) FROM payments
 UNION ALL SELECT 'model_versions', 1""")
 def stream_table_counts(t: Tables) -> DataFrame:
-    return _run(t, _clean_feed(t), files=2).counts()
+    return _run(t, _clean_feed(t), pieces=2).counts()
 
 
 @query("stream_watermark_dedup", _FEED_SQL + """
@@ -111,7 +141,8 @@ def stream_watermark_dedup(t: Tables) -> DataFrame:
     """Streaming dedup with bounded state; the delay spans the whole month here."""
     root = f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
     feed = t.payments.selectExpr(f"{_KEY} idempotency_key", "failed_at event_time")
-    feed.repartition(3).write.parquet(f"{root}/feed")
+    for half in ("<", ">="):
+        feed.filter(f"day(event_time) {half} 16").write.mode("append").parquet(f"{root}/feed")
     stream = t.spark.readStream.schema(feed.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/feed")
     (decisions.deduplicate(stream, delay="40 days").writeStream.format("parquet")
      .option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint")
@@ -137,7 +168,8 @@ def window_monitor(t: Tables) -> DataFrame:
 def stream_window_monitor(t: Tables) -> DataFrame:
     """The same windows from a stream in several micro-batches."""
     root = f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
-    t.scored.drop("next_ok_ts").repartition(3).write.parquet(f"{root}/feed")
+    for half in ("<", ">="):
+        t.scored.drop("next_ok_ts").filter(f"day(failed_at) {half} 16").write.mode("append").parquet(f"{root}/feed")
     schema = t.spark.read.parquet(f"{root}/feed").schema
     stream = t.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/feed")
     monitor.run_window_monitor(stream, f"{root}/windows", f"{root}/checkpoint",

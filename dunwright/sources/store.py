@@ -1,25 +1,27 @@
-"""The five decision tables as Parquet folders, one sub-folder per written batch."""
+"""The five decision tables as Parquet folders, one sub-folder per stream and batch."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..operators.store import conform, table_counts
 from ..schemas import EVENT_STATUS_LOG, STORE_TABLES
 
 _SCHEMAS = {**STORE_TABLES, "event_status_log": EVENT_STATUS_LOG}
+_PLACE = [StructField("stream", StringType()), StructField("batch_id", LongType())]
 
 
 @dataclass(frozen=True)
 class ParquetStore:
     """Tables under one folder on storage every executor can reach.
 
-    A batch is written to ``table/batch_id=N`` and replaces what an earlier, failed
-    run of the same batch left there.  Readers that decide on inserts look at other
-    batches only, so running a batch again gives the same rows once.
+    A batch of a stream is written to ``table/stream=S/batch_id=N``; running it again
+    replaces its own rows and no others.  A batch counts once its entry in ``commits`` is
+    there, which is written last: readers join on it, so they see whole batches only.
     """
 
     spark: SparkSession
@@ -28,24 +30,39 @@ class ParquetStore:
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
-    def exists(self, table: str) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(table))
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
-
-    def read(self, table: str, before_batch: int | None = None) -> DataFrame:
-        """All rows, or those of earlier batches; empty when nothing is stored."""
-        schema = _SCHEMAS[table]
-        if not self.exists(table):
-            return self.spark.createDataFrame([], schema)
-        with_batch = StructType(schema.fields + [StructField("batch_id", LongType())])
-        df = self.spark.read.schema(with_batch).parquet(self.path(table))
-        if before_batch is not None:
-            df = df.filter(F.col("batch_id") < before_batch)
-        return df.drop("batch_id")
-
-    def write_batch(self, table: str, rows: DataFrame, batch_id: int) -> None:
+    def batch_path(self, table: str, stream: str, batch_id: int) -> str:
+        return f"{self.path(table)}/stream={stream}/batch_id={batch_id}"
+
+    def _raw(self, table: str, schema: StructType) -> DataFrame:
+        """All written rows with their stream and batch; empty when nothing was written."""
+        placed = StructType(schema.fields + _PLACE)
+        try:
+            return self.spark.read.schema(placed).parquet(self.path(table))
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], placed)
+
+    def read(self, table: str, other_than: tuple[str, int] | None = None,
+             schema: StructType | None = None) -> DataFrame:
+        """Rows of committed batches, without those of the batch ``other_than``."""
+        rows = self._raw(table, schema or _SCHEMAS[table])
+        commits = self._raw("commits", StructType([StructField("done", LongType())])).select(
+            "stream", "batch_id").distinct()  # one row per batch
+        rows = rows.join(commits, ["stream", "batch_id"], "left_semi")
+        if other_than is not None:
+            stream, batch_id = other_than
+            rows = rows.filter(~((F.col("stream") == stream) & (F.col("batch_id") == batch_id)))
+        return rows.drop("stream", "batch_id")
+
+    def write_batch(self, table: str, rows: DataFrame, stream: str, batch_id: int) -> None:
         conform(rows, _SCHEMAS[table]).write.mode("overwrite").parquet(
-            f"{self.path(table)}/batch_id={batch_id}")
+            self.batch_path(table, stream, batch_id))
+
+    def commit(self, stream: str, batch_id: int) -> None:
+        """Publish a batch; nothing of it is read before."""
+        self.spark.range(1).selectExpr("id done").write.mode("overwrite").parquet(
+            self.batch_path("commits", stream, batch_id))
 
     def counts(self) -> DataFrame:
         """Row counts of the five tables, zero for those never written."""

@@ -1,16 +1,21 @@
 """Event stream to decisions: parse, validate, quarantine, decide, audit, store.
 
 The stream itself keeps no state.  Exactly-once per idempotency key comes from the
-store: every micro-batch inserts only keys no earlier batch stored, and a batch that
-runs again replaces its own output.
+store: every micro-batch inserts only keys that no other committed batch of any stream
+stored, and a batch that runs again replaces its own output.  A stream is known by an id
+that is kept beside its checkpoint, so a new checkpoint never meets another's batches.
+Streams that share a store must not run at the same time: keys are compared with
+committed batches only.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType, TimestampType
 
 from ..config import PolicyConfig, TraceConfig
 from ..functions.scalars import stable_id, text
@@ -18,8 +23,9 @@ from ..operators import decide, store as S
 from ..sources.store import ParquetStore
 
 EVENT_TEXT = "value string"
-# Below this many rows in a batch its keys are broadcast to filter the stored keys.
-SMALL_BATCH = 200_000
+QUARANTINE = StructType([
+    StructField("raw_event_payload", StringType()), StructField("idempotency_key", StringType()),
+    StructField("errors", ArrayType(StringType())), StructField("received_at", TimestampType())])
 
 
 @dataclass(frozen=True)
@@ -36,57 +42,60 @@ class DecisionStream:
 
     def run(self, events: DataFrame, checkpoint: str, available_now: bool = True) -> StreamingQuery:
         """Start the stream of JSON text rows (column ``value``)."""
-        writer = (events.writeStream.foreachBatch(self.process_batch)
+        stream = stream_id(self.store.spark, checkpoint)
+        writer = (events.writeStream
+                  .foreachBatch(lambda raw, batch_id: self.process_batch(raw, batch_id, stream))
                   .option("checkpointLocation", checkpoint))
         return (writer.trigger(availableNow=True) if available_now else writer).start()
 
-    def process_batch(self, raw: DataFrame, batch_id: int) -> None:
-        """Decide one micro-batch and write it to ``batch_id`` of every table.
+    def process_batch(self, raw: DataFrame, batch_id: int, stream: str = "default") -> None:
+        """Decide one micro-batch and write it as the stream's batch of every table.
 
         Rows without any key get a UUID, and times default to now; both are fixed by
-        writing the parsed batch before anything else reads it.
+        writing the parsed batch before anything else reads it.  Of the events with one key
+        the first in the feed wins: by file, place in the file and row.
         """
         store = self.store
-        parsed = decide.resolve_idempotency(decide.parse_events(raw)).selectExpr(
-            "*", f"{self.received_at} _received", "uuid() _row",
+        place = "file_path, file_block_start" if "file_path" in raw.columns else "1"
+        placed = raw.selectExpr("value", f"struct({place}, monotonically_increasing_id()) _place")
+        parsed = decide.resolve_idempotency(decide.parse_events(placed)).selectExpr(
+            "*", f"{self.received_at} _received",
         ).selectExpr("* except (payment_id)", "coalesce(payment_id, uuid()) payment_id")
-        incoming = _frozen(parsed, f"{store.path('incoming')}/batch_id={batch_id}")
+        incoming = _frozen(parsed, store.batch_path("incoming", stream, batch_id))
         incoming.filter("not is_valid").selectExpr(
             "raw_event_payload", "idempotency_key", "errors", "_received received_at",
-        ).write.mode("overwrite").parquet(f"{store.path('quarantine')}/batch_id={batch_id}")
+        ).write.mode("overwrite").parquet(store.batch_path("quarantine", stream, batch_id))
 
-        valid = incoming.filter("is_valid")
-        known = store.read("payment_events", before_batch=batch_id).select("idempotency_key")
-        new = S.first_per_key(valid, ["idempotency_key"], ["_received", "_row"]).join(
-            matching_keys(valid, known), "idempotency_key", "left_anti")
+        own = (stream, batch_id)
+        known = store.read("payment_events", other_than=own).select("idempotency_key")
+        new = S.insert_if_absent(incoming.filter("is_valid"), known, ["idempotency_key"], ["_place"])
         scored = decide.run_bounded_recovery(decide.score_payments(new), self.policy)
         traced = decide.decision_trace(
             scored.withColumnRenamed("decision_reason", "policy_reason"), self.trace)
         model_id = stable_id("model", text(self.model_name), text(self.model_version))
         decided = _frozen(
             S.with_decision_id(traced, self.strategy),
-            f"{store.path('decided')}/batch_id={batch_id}")
+            store.batch_path("decided", stream, batch_id))
 
-        # Decision, audit and outcome rows first, the event rows last: an event is only
-        # "known" to later batches once everything about it is stored.
         decisions = S.decision_rows(decided, "_received", model_id, self.strategy)
-        store.write_batch("recovery_decisions", decisions, batch_id)
+        store.write_batch("recovery_decisions", decisions, *own)
         store.write_batch("audit_records", S.audit_rows(decisions.join(
-            decided.select("decision_id", "payment_id"), "decision_id")), batch_id)
-        store.write_batch("recovery_outcomes", S.outcome_rows(decided, "_received"), batch_id)
+            decided.select("decision_id", "payment_id"), "decision_id")), *own)
+        store.write_batch("recovery_outcomes", S.outcome_rows(decided, "_received"), *own)
         versions = self.store.spark.sql(
             f"select {text(self.model_name)} model_name, {text(self.model_version)} model_version")
-        stored_models = store.read("model_versions", before_batch=batch_id)
+        stored_models = store.read("model_versions", other_than=own)
         store.write_batch("model_versions", S.insert_if_absent(
             S.model_rows(versions, self.received_at), stored_models,
-            ["model_name", "model_version"], ["model_version_id"]), batch_id)
+            ["model_name", "model_version"], ["model_version_id"]), *own)
         event_rows = S.event_rows(decided, "_received")
         store.write_batch("event_status_log", event_rows.selectExpr(
             "event_id", "inline(array(struct('RECEIVED' as processing_status, 0 as step),"
             " struct('DECISIONED' as processing_status, 1 as step),"
             " struct('AUDIT_WRITTEN' as processing_status, 2 as step)))",
-            "event_received_at changed_at"), batch_id)
-        store.write_batch("payment_events", event_rows, batch_id)
+            "event_received_at changed_at"), *own)
+        store.write_batch("payment_events", event_rows, *own)
+        store.commit(*own)
 
 
 def _frozen(df: DataFrame, path: str) -> DataFrame:
@@ -94,17 +103,21 @@ def _frozen(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def matching_keys(batch: DataFrame, stored: DataFrame, key: str = "idempotency_key",
-                  small: int = SMALL_BATCH) -> DataFrame:
-    """Stored keys that occur in the batch.
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id of the stream with this checkpoint, made and kept beside it on first use."""
+    path = f"{checkpoint.rstrip('/')}-stream-id"
+    try:
+        return spark.read.schema("id string").parquet(path).first().id
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+    spark.sql("select replace(uuid(), '-', '') id").write.parquet(path)
+    return spark.read.schema("id string").parquet(path).first().id
 
-    A small batch (checked) is broadcast, so the stored keys are filtered where they
-    are read; a larger one meets them in an ordinary shuffle join.
-    """
-    keys = batch.select(key).distinct()
-    if batch.limit(small + 1).count() <= small:
-        keys = F.broadcast(keys)
-    return stored.join(keys, key, "left_semi")
+
+def quarantined(store: ParquetStore) -> DataFrame:
+    """Invalid events of committed batches."""
+    return store.read("quarantine", schema=QUARANTINE)
 
 
 def deduplicate(events: DataFrame, key: str = "idempotency_key", event_time: str = "event_time",
@@ -114,9 +127,10 @@ def deduplicate(events: DataFrame, key: str = "idempotency_key", event_time: str
 
 
 def read_event_stream(spark: SparkSession, folder: str, files_per_batch: int = 100) -> DataFrame:
-    """JSON-lines files of a folder as a stream of text rows."""
+    """JSON-lines files of a folder as a stream of text rows with their place in the feed."""
     return spark.readStream.schema(EVENT_TEXT).option(
-        "maxFilesPerTrigger", files_per_batch).text(folder)
+        "maxFilesPerTrigger", files_per_batch).text(folder).selectExpr(
+        "value", "_metadata.file_path file_path", "_metadata.file_block_start file_block_start")
 
 
 def duplicate_answers(batch: DataFrame, store: ParquetStore) -> DataFrame:

@@ -1,6 +1,9 @@
 """History, ordering, monitoring, store, audit and evaluation on small data with known answers."""
 
+import bisect
 import math
+import statistics
+from collections import Counter
 import random
 
 import numpy as np
@@ -66,14 +69,32 @@ def test_exact_percentiles_equal_numpy(spark):
         assert np.allclose(got[name], np.percentile(values, np.linspace(0, 100, 11)), atol=1e-9)
 
 
-def numpy_psi(expected, actual):
-    edges = np.unique(np.percentile(expected, np.linspace(0, 100, 11)))
-    if len(edges) < 2:
-        return 0.0
-    edges[0], edges[-1] = -np.inf, np.inf
-    e, a = (np.histogram(x, edges)[0] / len(x) for x in (expected, actual))
-    e, a = (np.where(x == 0, 0.0001, x) for x in (e, a))
-    return float(np.sum((a - e) * np.log(a / e)))
+def psi_by_counting(reference, current):
+    """Decile cuts from the standard library, rows counted one by one."""
+    cuts = sorted({min(reference), *statistics.quantiles(reference, n=10, method="inclusive"), max(reference)})[1:-1]
+    counts = [Counter(bisect.bisect_right(cuts, v) for v in side) for side in (reference, current)]
+    total = 0.0
+    for place in range(len(cuts) + 1):
+        was, now = ((c[place] or 0.0001 * len(side)) / len(side) for c, side in zip(counts, (reference, current)))
+        total += (now - was) * math.log(now / was)
+    return total
+
+
+def test_psi_of_a_hand_worked_table(spark):
+    """Deciles of 0 to 10 are 1 to 9: eleven reference rows in bins of one, the last of two."""
+    rows = [(float(v), True) for v in range(11)] + [(0.5, False), (9.5, False), (9.7, False), (20.0, False)]
+    got = M.numeric_psi(spark.createDataFrame(rows, "x double, is_reference boolean"), ["x"]).first().psi
+    want = (1 / 4 - 1 / 11) * math.log(11 / 4) + 8 * (0.0001 - 1 / 11) * math.log(0.0011) \
+        + (3 / 4 - 2 / 11) * math.log(33 / 8)
+    assert math.isclose(got, want, rel_tol=1e-9)
+
+
+def test_psi_sees_drift_of_tiny_values(spark):
+    rows = [(1e-8 * (1 + i / 100), True) for i in range(100)] + [(3e-8 * (1 + i / 100), False) for i in range(100)]
+    df = spark.createDataFrame(rows, "x double, is_reference boolean")
+    scaled = df.selectExpr("x * 1e9 x", "is_reference")
+    tiny, large = (M.numeric_psi(d, ["x"]).first().psi for d in (df, scaled))
+    assert math.isclose(tiny, large, rel_tol=1e-9) and tiny > 1
 
 
 @pytest.mark.parametrize("shift", [1.0, 1.3, 10.0])
@@ -83,7 +104,7 @@ def test_numeric_psi(spark, shift):
     df = spark.createDataFrame([(float(x), True) for x in ref] + [(float(x), False) for x in cur],
                                "x double, is_reference boolean")
     got = M.numeric_psi(df, ["x"]).collect()[0].psi
-    assert math.isclose(got, numpy_psi(ref, cur), abs_tol=1e-6)
+    assert math.isclose(got, psi_by_counting(ref.tolist(), cur.tolist()), abs_tol=1e-6)
 
 
 def test_psi_of_the_same_and_of_constant_data(spark, scored):
@@ -128,6 +149,16 @@ def test_insert_if_absent(spark):
     assert flags == {1: False, 2: True, 3: True, 4: False}
 
 
+def test_exact_copies_are_one_insert(spark):
+    copied = spark.sql("select * from values ('a', 1), ('a', 1), ('a', 1), ('b', 2), ('b', 2), ('c', 3) t(k, n)")
+    stored = spark.sql("select 'b' k")
+    rows = S.insert_if_absent(copied, stored, ["k"], ["n"]).collect()
+    assert sorted((r.k, r.n) for r in rows) == [("a", 1), ("c", 3)]
+    flags = Counter((r.k, r.is_duplicate) for r in S.insert_outcome(copied, stored, ["k"], ["n"]).collect())
+    assert flags == {("a", False): 1, ("a", True): 2, ("b", True): 2, ("c", False): 1}
+    assert S.first_per_key(copied, ["k"], ["n"]).count() == 3
+
+
 def test_insert_keeps_rows_without_an_order_value(spark):
     incoming = spark.sql("select * from values ('a', 1, null), ('b', 2, 5) t(k, n, at)")
     rows = S.insert_if_absent(incoming, spark.sql("select 'x' k"), ["k"], ["at", "n"]).collect()
