@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..config import (
-    MANUAL_OR_STOP, MANUAL_REVIEW, REMINDER, RETRY, STOP,
+    MANUAL_OR_STOP, MANUAL_REVIEW, REMINDER, RETRY, STATE_EDGES, STOP,
     Bands, PolicyConfig, TraceConfig,
 )
 from .scalars import clip, dec, double, fixed, is_finite, rupees, rupees_plain, text, texts
@@ -115,6 +115,14 @@ def state_path(policy_decision: str, recovered: str) -> str:
         "end")
 
 
+def invalid_steps(path: str) -> str:
+    """Number of state changes of an array path that the transition table does not allow."""
+    edges = texts([f"{a} {b}" for a, b in STATE_EDGES])
+    last = f"greatest(size({path}) - 1, 0)"
+    steps = f"zip_with(slice({path}, 1, {last}), slice({path}, 2, {last}), (a, b) -> concat(a, ' ', b))"
+    return f"size(filter({steps}, s -> s not in ({edges})))"
+
+
 def retry_net_value(expected: str, config: TraceConfig = TraceConfig()) -> str:
     return f"({expected} - {dec(config.effective_retry_cost)})"
 

@@ -131,8 +131,10 @@ def benchmark_ledger(scored: DataFrame, threshold: Column | float,
             f"else {dec(0, 10, 2)} end action_cost")
         .selectExpr(
             "*", f"case when recovered_flag then payment_amount else {dec(0)} end recovered_amount",
-            "case when policy_decision is not null then element_at("
-            f"{D.state_path('policy_decision', 'recovered_flag')}, -1) end final_state"))
+            "case when policy_decision is not null then "
+            f"{D.state_path('policy_decision', 'recovered_flag')} end state_history")
+        .selectExpr("* except (state_history)", "element_at(state_history, -1) final_state",
+                    f"if(state_history is null, 0, {D.invalid_steps('state_history')}) invalid_steps"))
 
 
 def strategy_benchmark(ledger: DataFrame, config: PolicyConfig = PolicyConfig()) -> DataFrame:
@@ -159,7 +161,8 @@ def strategy_benchmark(ledger: DataFrame, config: PolicyConfig = PolicyConfig())
         "count_if(final_state = 'CLOSED') outcomes_closed",
         "count_if(final_state = 'STOPPED') outcomes_stopped",
         "count_if(final_state = 'MANUAL_REVIEW') outcomes_manual_review",
-        f"count_if({bounded} and not verified) outcomes_pending")])
+        f"count_if({bounded} and not verified) outcomes_pending",
+        "sum(invalid_steps) invalid_state_transitions")])
     net, at_risk = "simulated_recovered_revenue - action_cost", "total_payment_value"
     return sums.selectExpr(
         "*", f"{at_risk} revenue_at_risk", f"{net} net_recovered_revenue",
@@ -169,9 +172,7 @@ def strategy_benchmark(ledger: DataFrame, config: PolicyConfig = PolicyConfig())
         f"{ratio('action_cost', 'total_payments')} average_action_cost",
         f"{ratio('verified_outcome_count', 'total_payments')} verification_rate",
         f"{ratio(net, at_risk)} recovery_efficiency",
-        f"{config.max_recovery_attempts}L configured_maximum_automatic_attempts",
-        # paths are built from allowed edges only; quality.conformance checks real logs
-        "0L invalid_state_transitions")
+        f"{config.max_recovery_attempts}L configured_maximum_automatic_attempts")
 
 
 def guardrail_counts(benchmark: DataFrame) -> DataFrame:

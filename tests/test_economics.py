@@ -94,3 +94,11 @@ def test_free_retries_have_no_roi(spark, scored):
 def test_rule_based_recovers_less_than_blind(spark, scored):
     rows = {r.strategy: r for r in S.strategy_comparison(scored).collect()}
     assert rows["Current Rule-Based"].expected_recovery < rows["Blind Retry"].expected_recovery
+
+
+def test_forbidden_state_changes_are_counted(spark):
+    from dunwright.functions.decisions import invalid_steps
+
+    paths = spark.sql("select array('FAILED', 'CLOSED') p union all select array('FAILED', 'ASSESSED', 'STOPPED') "
+                      "union all select array('FAILED', 'NOWHERE', 'CLOSED') union all select array('FAILED')")
+    assert [r.n for r in paths.selectExpr(f"{invalid_steps('p')} n").collect()] == [1, 0, 2, 0]
