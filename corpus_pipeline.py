@@ -14,6 +14,7 @@ from dunwright.llm import jaccard_join, mixing, quality_classifier, segmentation
 from dunwright.llm.common import written
 
 _SCORE = "_stage_score"
+WORD_TABLE = 2_000_000  # edges of solved words a task; small, as heaps have grown in the stages before
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +45,8 @@ def segment(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: sampled segmentations of every document of the mix."""
     import public_tokenizers
 
-    return segmentation.digests(segmentation.segment(docs, public_tokenizers.path(segmentation.MODEL)))
+    return segmentation.digests(segmentation.segment(
+        docs, public_tokenizers.path(segmentation.MODEL), most_edges=WORD_TABLE))
 
 
 STAGES = [("quality", keep_good), ("toxicity", keep_civil), ("near_copies", keep_one_of_near_copies),

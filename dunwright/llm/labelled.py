@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -43,12 +44,12 @@ def sample_features(docs: DataFrame, labels: DataFrame, label: str, fold: tuple[
     found = (docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``rows`` rows
              .select("_place", "doc_id", "label", "text")
              .mapInArrow(run, "_place bigint, doc_id bigint, label int, own binary, more binary"))
-    seen, out = set(), []
-    for r in sorted(found.collect(), key=lambda r: (r["_place"], r["doc_id"], r["label"], bytes(r["own"]))):
-        if (r["doc_id"], r["label"], bytes(r["own"])) not in seen:
-            seen.add((r["doc_id"], r["label"], bytes(r["own"])))
-            out.append((r["label"], bytes(r["own"]), bytes(r["more"])))
-    return out
+    rows_found = {}  # by place, id, label and digest of the features: one of equal rows stays
+    for r in found.toLocalIterator():
+        own = bytes(r["own"])
+        rows_found[r["_place"], r["doc_id"], r["label"], hashlib.sha256(own).digest()] = (
+            r["label"], own, bytes(r["more"]))
+    return [rows_found[k] for k in sorted(rows_found)]
 
 
 def scored(docs: DataFrame, score: Callable[[list[bytes]], list[float]],

@@ -38,7 +38,7 @@ from .registry import query
 MODEL = "piece_bpe_32k.model"
 SAMPLES = 2
 SHARPNESS = 0.5  # power of the piece probabilities; 1 would nearly always give the likeliest segmentation
-MOST_EDGES = 8_000_000  # of the table of solved words; then it starts anew
+MOST_EDGES = 8_000_000  # of a task's table of solved words (16 bytes each); then it starts anew
 _SPACE, _RAW = "▁", "\udc81"  # the mark for a space, and what stands for that character in a text
 _WORD = re.compile("▁*[^▁\n]+|▁+|\n")
 _U = np.uint64
@@ -124,8 +124,8 @@ class Pieces:
 class Lattices:
     """Solved words: per place, its next pieces with cumulative conditional probabilities."""
 
-    def __init__(self, pieces: Pieces):
-        self.pieces = pieces
+    def __init__(self, pieces: Pieces, most_edges: int = MOST_EDGES):
+        self.pieces, self.most_edges = pieces, most_edges
         self.clear()
 
     def clear(self) -> None:
@@ -296,7 +296,7 @@ def _side_nodes(lat: Lattices, path: _Path, start: int, key: int, use: int, k: i
 
 def sample_texts(lat: Lattices, keys: list[int], texts: list[str], k: int) -> list[list[tuple]]:
     """Per text, up to k of (edges, log probability, perturbed value) and last the threshold."""
-    if lat.n_edges > MOST_EDGES:
+    if lat.n_edges > lat.most_edges:
         lat.clear()
     words = [words_of(t) for t in texts]
     sizes = np.array([len(w) for w in words], dtype=np.int64)
@@ -399,7 +399,7 @@ SEGMENTS = ("rank int, n_pieces int, ids binary, log_prob double, perturbed doub
 
 
 def segment(docs: DataFrame, model: str, k: int = SAMPLES, seed: int = 1,
-            key: str = "doc_id") -> DataFrame:
+            key: str = "doc_id", most_edges: int = MOST_EDGES) -> DataFrame:
     """(key, text) to the key and up to k rows: rank, n_pieces, ids (packed 32-bit little-endian piece
     ids), log_prob, perturbed, log_inclusion, and whether decoding the ids gave the text."""
     small_batches(docs.sparkSession, 200)
@@ -407,13 +407,13 @@ def segment(docs: DataFrame, model: str, k: int = SAMPLES, seed: int = 1,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(model)
-        lat = Lattices(pieces)
+        lat = Lattices(pieces, most_edges)
         for batch in batches:
             column = batch.column(key)
             texts = [t or "" for t in batch.column("text").to_pylist()]
             keys = [row_key(v, seed) for v in column.to_pylist()]
             at, rows = [], []
-            for lo, hi in chunks(texts, 1 << 20):
+            for lo, hi in chunks(texts, 1 << 19):
                 for i, found in enumerate(sample_texts(lat, keys[lo:hi], texts[lo:hi], k), lo):
                     *paths, threshold = found
                     whole = texts[i].encode()

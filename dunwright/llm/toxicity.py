@@ -116,13 +116,24 @@ def _vocabulary(rows: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.n
 
     Evidence scales an indicator, so the ridge falls on doubtful features most.
     """
-    keys, at = np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *rows]), return_inverse=True)
-    label = np.repeat(y, [len(r) for r in rows])
-    n1 = np.bincount(at, weights=label, minlength=len(keys))
-    n = np.bincount(at, minlength=len(keys))
     share = y.mean()
+    found = []
+    for part in range(16):  # a sixteenth of the hash range at a time bounds the memory
+        low, high = np.uint64(part << 60), np.uint64((part + 1 << 60) - 1)
+        cuts = [r[np.searchsorted(r, low):np.searchsorted(r, high, side="right")] for r in rows]
+        none = np.zeros(0, dtype=np.uint64)
+        keys, n = np.unique(np.concatenate([none, *cuts]), return_counts=True)
+        keys, n = keys[n >= LEAST_DOCUMENTS], n[n >= LEAST_DOCUMENTS]
+        toxic, times = np.unique(np.concatenate([none, *[c for c, v in zip(cuts, y) if v == 1]]),
+                                 return_counts=True)
+        n1 = np.zeros(len(keys))
+        if len(toxic):
+            at = np.minimum(np.searchsorted(toxic, keys), len(toxic) - 1)
+            n1 = np.where(toxic[at] == keys, times[at], 0).astype(float)
+        found.append((keys, n, n1))
+    keys, n, n1 = (np.concatenate(c) for c in zip(*found))
     z = (n1 - n * share) / np.sqrt(n * share * (1 - share) + 1)
-    kept = np.flatnonzero((n >= LEAST_DOCUMENTS) & (np.abs(z) > LEAST_EVIDENCE))
+    kept = np.flatnonzero(np.abs(z) > LEAST_EVIDENCE)
     kept = kept[np.argsort(np.abs(z[kept]), kind="stable")]  # the best is written last into a shared slot
     table = np.zeros(1 << SLOTS_BITS, dtype=np.uint64)
     slot = (keys[kept] >> np.uint64(64 - SLOTS_BITS)).astype(np.int64)
@@ -155,6 +166,7 @@ def fit(labels: list[int], rows: list[np.ndarray],
     y = np.array(labels, dtype=float)
     if not len(y) or y.min() == y.max():
         return _constant(float(y.mean()) if len(y) else 0.0)
+    rows = [np.unique(r) for r in rows]
     table, evidence = _vocabulary(rows, y)
     model = ToxicityModel(table, np.zeros(0, dtype=np.float32), 0.0)
     used = [model.slots(r) for r in rows]
