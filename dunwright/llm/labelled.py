@@ -45,7 +45,9 @@ def sample_features(docs: DataFrame, labels: DataFrame, label: str, fold: tuple[
              .select("_place", "doc_id", "label", "text")
              .mapInArrow(run, "_place bigint, doc_id bigint, label int, own binary, more binary"))
     rows_found = {}  # by place, id, label and digest of the features: one of equal rows stays
-    for r in found.toLocalIterator():
+    collected = found.collect()  # features of at most ``rows`` rows
+    while collected:  # rows are let go as they are taken over
+        r = collected.pop()
         own = bytes(r["own"])
         rows_found[r["_place"], r["doc_id"], r["label"], hashlib.sha256(own).digest()] = (
             r["label"], own, bytes(r["more"]))

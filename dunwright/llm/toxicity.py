@@ -166,7 +166,7 @@ def fit(labels: list[int], rows: list[np.ndarray],
     y = np.array(labels, dtype=float)
     if not len(y) or y.min() == y.max():
         return _constant(float(y.mean()) if len(y) else 0.0)
-    rows = [np.unique(r) for r in rows]
+    rows = [r if (r[1:] > r[:-1]).all() else np.unique(r) for r in rows]
     table, evidence = _vocabulary(rows, y)
     model = ToxicityModel(table, np.zeros(0, dtype=np.float32), 0.0)
     used = [model.slots(r) for r in rows]
