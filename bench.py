@@ -17,6 +17,7 @@ HEADLINES = (
     "prediction_summary", "correlation_matrix", "recovery_rates", "audit_records", "audit_summary",
     "idempotent_insert", "latest_decision", "lineage", "transition_conformance", "roc_auc",
     "calibration_curve", "stratified_folds", "linear_attribution", "event_responses",
+    "customer_history_features", "stream_decisions", "stream_dedup", "train_lr",
 )
 
 
