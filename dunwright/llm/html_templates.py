@@ -3,9 +3,10 @@
 The tokens of a page are its elements (by path, class and id) and its text runs (by path and text).  A
 token's occurrence vector says how often each page of the host has it; vectors are compared by sums of
 page hashes, which combine before they are shuffled.  Tokens with equal vectors are an equivalence class.
-The class of the page itself, once on every page, is the skeleton of the host's template; a further class is
-valid when it has an element, occurs at most once a page, on at least ``LEAST_PAGES`` distinct pages and a
-twentieth of the host's pages: it nests in the skeleton as an optional part.  Texts of valid classes belong to the
+Vectors go over the distinct pages of a host: copies of one page are one page.  The class of the page itself,
+once on every page, is the skeleton of the host's template; a further class is valid when it has an element,
+occurs at most once a page, on at least ``LEAST_PAGES`` distinct pages and a twentieth of the host's distinct
+pages: it nests in the skeleton as an optional part.  Texts of valid classes belong to the
 template, everything else is content of slots.
 
 The article is read from the slots below the host's content element: ``article``, else ``main``, else the
@@ -13,7 +14,7 @@ deepest skeleton element that holds most of the host's varying text.  Parts that
 ids name as menus, headers, footers, sidebars, notices, adverts, forms or comments are left out.
 
 Null and empty pages give an empty text; a null or odd URL belongs to the host ''.  Pages of any length are read
-whole, repeated pages count once in the distinct pages and are all returned, extra columns are kept
+whole, repeated pages count once in every statistic and are all returned, extra columns are kept
 (``text n_chars`` are replaced), empty tables give empty results.  A host with a third of all pages is no hot
 task: statistics are combined, and pages meet their template by broadcast below ``BROADCAST_HOSTS`` hosts
 (a counted, not assumed, number), else by host and salt.
@@ -36,6 +37,7 @@ LEAST_PAGES = 10        # distinct pages of a host before a repeated text can be
 LEAST_SHARE = 0.05      # of a host's pages that a class must have; bounds the size of a template
 MOST_TEXT = 0.7         # of the varying text, below the content element
 BROADCAST_HOSTS = 10_000
+BROADCAST_REPEATS = 100_000  # pages with copies whose digests are broadcast, checked by a count
 SALTS = 32
 
 
@@ -73,7 +75,7 @@ def page_tokens(html: str) -> dict[int, list]:
 
 
 _STATISTICS = ("host string, token bigint, element boolean, depth int, role string, pages bigint, "
-               "total bigint, once boolean, chars bigint, sum_1 bigint, sum_2 bigint, some binary")
+               "total bigint, once boolean, chars bigint, sum_1 bigint, sum_2 bigint")
 
 
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,7 +88,7 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for token, (n, element, depth, chars, role) in page_tokens(html or "").items():
                 row = held.get((host, token))
                 if row is None:
-                    row = held[host, token] = [element, depth, role, 0, 0, True, 0, 0, 0, digest]
+                    row = held[host, token] = [element, depth, role, 0, 0, True, 0, 0, 0]
                 mixed = (key * 0x9E3779B97F4A7C15 + n * 0xBF58476D1CE4E5B9) & (1 << 64) - 1
                 row[3] += 1
                 row[4] += n
@@ -95,33 +97,42 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 row[7] += mixed >> 33
                 row[8] += (mixed & (1 << 33) - 1) >> 2
         rows = [(host, token, *row) for (host, token), row in held.items()]
-        columns = list(zip(*rows)) or [[]] * 12
+        columns = list(zip(*rows)) or [[]] * 11
         kinds = [pa.string(), pa.int64(), pa.bool_(), pa.int32(), pa.string(), pa.int64(), pa.int64(),
-                 pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+                 pa.bool_(), pa.int64(), pa.int64(), pa.int64()]
         names = [c.split()[0] for c in _STATISTICS.split(", ")]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
 
-def deduce_templates(pages: DataFrame) -> DataFrame:
+def distinct_pages(pages: DataFrame, broadcast_repeats: int = BROADCAST_REPEATS) -> DataFrame:
+    """(host, html) without repeats; null and empty pages are one.  Only pages with copies are shuffled."""
+    keyed = pages.selectExpr("host", "coalesce(html, '') html").selectExpr("*", "md5(html) digest")
+    repeated = written(keyed.groupBy("host", "digest").agg(F.expr("count(1) copies")).filter("copies > 1")
+                       .select("host", "digest"), "repeated")
+    one = lambda df: df.groupBy("host", "digest").agg(F.expr("first(html) html")).select("host", "html")
+    if repeated.count() > broadcast_repeats:
+        return one(keyed)
+    digests = F.broadcast(repeated)
+    return keyed.join(digests, ["host", "digest"], "left_anti").select("host", "html").union(
+        one(keyed.join(digests, ["host", "digest"], "left_semi")))
+
+
+def deduce_templates(pages: DataFrame, broadcast_repeats: int = BROADCAST_REPEATS) -> DataFrame:
     """(host, html) to one row per host: host, texts (template texts), content (role)."""
-    sums = pages.select("host", "html").mapInArrow(_statistics, _STATISTICS).groupBy(
+    sums = distinct_pages(pages, broadcast_repeats).mapInArrow(_statistics, _STATISTICS).groupBy(
         "host", "token", "element").agg(*[F.expr(e) for e in (
             "min(depth) depth", "first(role) role", "sum(pages) pages", "sum(total) total",
-            "bool_and(once) once", "sum(chars) chars", "sum(sum_1) sum_1", "sum(sum_2) sum_2",
-            "approx_count_distinct(some) different")])
+            "bool_and(once) once", "sum(chars) chars", "sum(sum_1) sum_1", "sum(sum_2) sum_2")])
     sums = written(sums.filter(f"token = 0 or element or pages >= {LEAST_PAGES}"), "tokens")
     hosts = sums.filter("token = 0").selectExpr(
         "host", "pages all_pages", "sum_1 all_1", "sum_2 all_2", "total all_total")
-    distinct = pages.selectExpr("host", "xxhash64(html) h").groupBy("host").agg(
-        F.expr("approx_count_distinct(h) different_pages"))
-    known = sums.filter("token <> 0").join(hosts.join(distinct, "host"), "host")
+    known = sums.filter("token <> 0").join(hosts, "host")
     skeleton = "sum_1 = all_1 and sum_2 = all_2 and pages = all_pages and total = all_total"
     content = known.filter(f"element and once and chars > 0 and {skeleton}")
     most = content.groupBy("host").agg(F.expr("max(chars) most"))
     content = content.join(most, "host").filter(f"chars >= {MOST_TEXT} * most").groupBy("host").agg(
         F.expr("max(struct(depth, chars, role)).role content"))
-    valid = known.filter(f"""once and different_pages >= {LEAST_PAGES}
-        and pages >= greatest({LEAST_PAGES}, {LEAST_SHARE} * all_pages)""") \
+    valid = known.filter(f"once and pages >= greatest({LEAST_PAGES}, {LEAST_SHARE} * all_pages)") \
         .groupBy("host", "pages", "sum_1", "sum_2").agg(
             F.expr("bool_or(element) nested"), F.expr("collect_list(if(element, null, token)) texts")) \
         .filter("nested and size(texts) > 0").groupBy("host").agg(

@@ -47,6 +47,18 @@ def test_repeated_text_of_a_template_is_dropped_and_of_few_pages_kept(spark):
     assert all(t.endswith("Read more stories") for t in extract(spark, copies).values())
 
 
+@pytest.mark.parametrize("repeats", [html_templates.BROADCAST_REPEATS, 0])
+def test_copies_of_a_page_keep_their_article(spark, repeats):
+    page = "<body><div>Site</div><article id='post-{0}'><p>Alone {0}</p><p>More {0}</p></article></body>"
+    rows = [(i, "http://h.net/", page.format(i)) for i in range(12)] + [(i, "http://h.net/", page.format("c")) for i in range(12, 42)]
+    assert extract(spark, rows) == {i: f"Alone {n} More {n}" for i in range(42) for n in [i if i < 12 else "c"]}
+    pages = spark.createDataFrame([("h", h) for _, _, h in rows] + [("g", rows[0][2]), ("h", None), ("h", ""), ("", "x"), ("", "x")],
+                                  "host string, html string")
+    found = [tuple(r) for r in html_templates.distinct_pages(pages, repeats).collect()]
+    assert len(found) == len(set(found)) and ("h", "") in found and ("g", rows[0][2]) in found
+    assert sum(h == "h" for h, _ in found) == 14 and found.count(("", "x")) == 1
+
+
 def test_odd_pages(spark):
     rows = [(1, None, None), (2, "x", ""), (3, "http://a/", "plain text &lt;b&gt; only"), (4, "http://a/", "<p>a<p>b"),
             (5, "http://b/", "<article><p>" + "w " * 60_000 + "</article>"), (6, "http://c/", "<script>never closed"),
