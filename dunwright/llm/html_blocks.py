@@ -17,7 +17,8 @@ SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
             "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BOUNDS = frozenset("table ul ol dl article section div body html main aside nav footer header td th".split())
 
-# Elements, roles, and words of class and id attributes that mark what is not the article.
+# Elements, roles, and class and id tokens that mark what is not the article.  A token marks when
+# all of its parts are such words ('cookie-notice', not 'has-sidebar').
 BOILERPLATE_TAGS = frozenset("""head nav aside footer form script style noscript template iframe button
     select textarea dialog menu svg math title""".split())
 BOILERPLATE_ROLES = frozenset("""navigation banner complementary contentinfo search form dialog
@@ -27,6 +28,9 @@ BOILERPLATE_WORDS = frozenset("""ad ads advert adverts advertisement advertising
     subscribe signup sidebar sidenav menu menus nav navbar navigation topnav breadcrumb breadcrumbs
     footer masthead topbar comment comments commentlist respond reply replies disqus share sharing social
     related recommended widget widgets toolbar pagination pager login search""".split())
+# Of these, words whose articles are not the page's own; below the others a layout may hold the article.
+OTHERS_WORDS = frozenset("""ad ads advert adverts advertisement advertising adbox sponsor sponsored promo
+    promotion comment comments commentlist respond reply replies disqus related recommended""".split())
 HEADER_WORDS = frozenset(["header", "siteheader", "pageheader"])
 
 _TOKEN = re.compile(
@@ -39,7 +43,8 @@ _SPACE = re.compile(r"\s+")
 
 
 class Element:
-    __slots__ = ("tag", "role", "parent", "boilerplate", "header", "content", "depth")
+    __slots__ = ("tag", "role", "parent", "boilerplate", "certain", "words", "others", "header", "content",
+                 "depth")
 
     def __init__(self, tag: str, attributes: str, parent: Element | None):
         self.tag, self.parent = tag, parent
@@ -50,13 +55,17 @@ class Element:
         label = " ".join(sorted(found.get("class", "").split())) + "#" + found.get("id", "")
         self.depth = parent.depth + 1 if parent else 0
         self.role = f"{parent.role if parent else ''}/{tag}.{label}"
-        words = set(_WORD.findall(found.get("class", ""))) | set(_WORD.findall(found.get("id", "")))
+        tokens = [_WORD.findall(t) for t in f"{found.get('class', '')} {found.get('id', '')}".split()]
         self.content = 3 if tag == "article" else 2 if tag == "main" or found.get("role") == "main" \
             else 1 if found.get("itemprop") == "articlebody" else 0
-        own = (tag in BOILERPLATE_TAGS or found.get("role") in BOILERPLATE_ROLES
-               or (tag not in ("html", "body") and bool(words & BOILERPLATE_WORDS)))
-        self.boilerplate = own or bool(parent and parent.boilerplate)
-        self.header = tag == "header" or bool(words & HEADER_WORDS) or bool(
+        named = [] if tag in ("html", "body") else [t for t in tokens if t and BOILERPLATE_WORDS.issuperset(t)]
+        # marked by an element or role; number of elements from the root that words mark
+        self.certain = (tag in BOILERPLATE_TAGS or found.get("role") in BOILERPLATE_ROLES
+                        or bool(parent and parent.certain))
+        self.words = (parent.words if parent else 0) + bool(named)
+        self.others = any(not OTHERS_WORDS.isdisjoint(t) for t in named) or bool(parent and parent.others)
+        self.boilerplate = self.certain or self.words > 0
+        self.header = tag == "header" or any("".join(t) in HEADER_WORDS for t in tokens) or bool(
             parent and parent.header and not self.content)
 
     def within(self, role: str) -> bool:

@@ -10,8 +10,9 @@ pages: it nests in the skeleton as an optional part.  Texts of valid classes bel
 template, everything else is content of slots.
 
 The article is read from the slots below the host's content element: ``article``, else ``main``, else the
-deepest skeleton element that holds most of the host's varying text.  Parts that elements, roles, classes or
-ids name as menus, headers, footers, sidebars, notices, adverts, forms or comments are left out.
+deepest skeleton element that holds most of the host's varying text.  Parts that elements, roles, or whole class
+or id tokens name as menus, headers, footers, sidebars, notices, adverts, forms or comments are left out.  Such
+a token on or above a content element does not hide it for good (``article_text``).
 
 Null and empty pages give an empty text; a null or odd URL belongs to the host ''.  Pages of any length are read
 whole, repeated pages count once in every statistic and are all returned, extra columns are kept
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .common import small_batches, written
-from .html_blocks import blocks
+from .html_blocks import Element, blocks
 from .registry import query
 from .url_rules import host_and_path
 
@@ -141,25 +142,50 @@ def deduce_templates(pages: DataFrame, broadcast_repeats: int = BROADCAST_REPEAT
         "host", "coalesce(texts, cast(array() as array<bigint>)) texts", "content")
 
 
+def _marked_content(elements: list[Element], others: bool) -> set[Element]:
+    """Content elements that only words mark, those with the fewest marks; ``others``: of other articles too."""
+    found = [e for e in elements if e.content and e.words and not e.certain and (others or not e.others)]
+    least = min((e.words for e in found), default=0)
+    level = max((e.content for e in found if e.words == least), default=0)
+    return {e for e in found if e.words == least and e.content == level}
+
+
+def _below(e: Element, roots: set[Element]) -> Element | None:
+    while e is not None and e not in roots:
+        e = e.parent
+    return e
+
+
 def article_text(html: str, texts: set[int], content: str | None) -> str:
-    """The article of one page, given its host's template."""
+    """The article of one page, given its host's template.
+
+    What lies below an element that words mark is left out, except content elements: when they have more
+    text than the page has without them, or no other content element is there, they are the article or a
+    part of it.  Those of comments, adverts and related articles are it only when there is no other text.
+    """
     runs, elements = blocks(html)
+    runs = [(e, text) for e, text in runs if not e.certain and _text(e.role, text) not in texts]
     level = max((e.content for e in elements if not e.boilerplate), default=0)
-    roots = {e.role for e in elements if e.content == level and not e.boilerplate} if level else set()
-    out = []
-    for e, text in runs:
-        if e.boilerplate or _text(e.role, text) in texts:
+    roots = {e for e in elements if e.content == level and not e.boilerplate} if level else set()
+    plain = [not e.boilerplate and (
+        _below(e, roots) is not None if roots else not e.header and (content is None or e.within(content)))
+        for e, _ in runs]
+    held = sum(len(text) for (_, text), p in zip(runs, plain) if p)
+    for others in (False, True):
+        marked = _marked_content(elements, others)
+        if not marked or (others and held):
             continue
-        if roots:
-            up = e
-            while up is not None and up.role not in roots:
-                up = up.parent
-            if up is None:
-                continue
-        elif e.header or (content is not None and not e.within(content)):
+        tops = [_below(e, marked) for e, _ in runs]
+        opened = [top is not None and e.words == top.words for (e, _), top in zip(runs, tops)]
+        more = sum(len(text) for (_, text), o in zip(runs, opened) if o)
+        if not more or (roots and more <= held):
             continue
-        out.append(text)
-    return " ".join(out)
+        if not roots and more >= held:
+            plain = opened
+        else:
+            plain = [p or o for p, o in zip(plain, opened)]
+        held += more
+    return " ".join(text for (_, text), p in zip(runs, plain) if p)
 
 
 def extract_articles(pages: DataFrame, broadcast_hosts: int = BROADCAST_HOSTS) -> DataFrame:

@@ -59,6 +59,23 @@ def test_copies_of_a_page_keep_their_article(spark, repeats):
     assert sum(h == "h" for h, _ in found) == 14 and found.count(("", "x")) == 1
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<div class='layout with-sidebar'><article>Long text</article></div>", "Long text"),
+    ("<article class='post comments-open'><p>Long text</article>", "Long text"),
+    ("<article class='post has-header'><p>Long text</article>", "Long text"),
+    ("<div class='content-with-menu'><p>Long text</div>", "Long text"),
+    ("<div id='search-results'><main>Long text</main></div>", "Long text"),
+    ("<h1>Top</h1><div class='sidebar'><article>Long text<p class='share'>Share</p></article></div>", "Long text"),
+    ("<article class='widget'>Long text<div class='comments'><article>Nice</article></div></article>", "Long text"),
+    ("<main><h1>Top</h1><div class='search'><article>Long text</article></div></main>", "Top Long text"),
+    ("<main>Long text<div class='sidebar'><article>Short</article></div></main>", "Long text"),
+    ("<p>Long text<div class='comments'><article>Nice, and much longer</article></div>", "Long text"),
+    ("<div class='related'><article>Long text</article></div>", "Long text"),
+    ("<p>Long text<div class='cookie-notice'>Yes?</div><aside><article>Side, longer</article></aside>", "Long text")])
+def test_class_words_do_not_hide_the_article(page, text):
+    assert html_templates.article_text(f"<body>{page}</body>", set(), None) == text
+
+
 def test_odd_pages(spark):
     rows = [(1, None, None), (2, "x", ""), (3, "http://a/", "plain text &lt;b&gt; only"), (4, "http://a/", "<p>a<p>b"),
             (5, "http://b/", "<article><p>" + "w " * 60_000 + "</article>"), (6, "http://c/", "<script>never closed"),
