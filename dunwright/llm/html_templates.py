@@ -5,8 +5,8 @@ token's occurrence vector says how often each page of the host has it; vectors a
 page hashes, which combine before they are shuffled.  Tokens with equal vectors are an equivalence class.
 Vectors go over the distinct pages of a host: copies of one page are one page.  The class of the page itself,
 once on every page, is the skeleton of the host's template; a further class is valid when it has an element,
-occurs at most once a page, on at least ``LEAST_PAGES`` distinct pages and a twentieth of the host's distinct
-pages: it nests in the skeleton as an optional part.  Texts of valid classes belong to the
+occurs at most once a page, on at least ``LEAST_PAGES`` distinct pages, however many the host has: it nests in
+the skeleton as an optional part.  Texts of valid classes belong to the
 template, everything else is content of slots.
 
 The article is read from the slots below the host's content element: ``article``, else ``main``, else the
@@ -17,8 +17,9 @@ a token on or above a content element does not hide it for good (``article_text`
 Null and empty pages give an empty text; a null or odd URL belongs to the host ''.  Pages of any length are read
 whole, repeated pages count once in every statistic and are all returned, extra columns are kept
 (``text n_chars`` are replaced), empty tables give empty results.  A host with a third of all pages is no hot
-task: statistics are combined, and pages meet their template by broadcast below ``BROADCAST_HOSTS`` hosts
-(a counted, not assumed, number), else by host and salt.
+task: statistics are combined, and pages meet their template by broadcast below ``BROADCAST_HOSTS`` hosts and
+``BROADCAST_TEXTS`` template texts (counted, not assumed, numbers), else by host and salt.  A host with more than
+``HOST_TEXTS`` template texts has no array of them: its pages' texts meet them by host, token and salt.
 """
 
 from __future__ import annotations
@@ -35,9 +36,10 @@ from .registry import query
 from .url_rules import host_and_path
 
 LEAST_PAGES = 10        # distinct pages of a host before a repeated text can be part of its template
-LEAST_SHARE = 0.05      # of a host's pages that a class must have; bounds the size of a template
 MOST_TEXT = 0.7         # of the varying text, below the content element
 BROADCAST_HOSTS = 10_000
+BROADCAST_TEXTS = 1_000_000  # most template texts (8 bytes each) that are broadcast
+HOST_TEXTS = 2_000      # most template texts that travel beside a page
 BROADCAST_REPEATS = 100_000  # pages with copies whose digests are broadcast, checked by a count
 SALTS = 32
 
@@ -118,8 +120,12 @@ def distinct_pages(pages: DataFrame, broadcast_repeats: int = BROADCAST_REPEATS)
         one(keyed.join(digests, ["host", "digest"], "left_semi")))
 
 
-def deduce_templates(pages: DataFrame, broadcast_repeats: int = BROADCAST_REPEATS) -> DataFrame:
-    """(host, html) to one row per host: host, texts (template texts), content (role)."""
+def deduce_templates(pages: DataFrame, host_texts: int = HOST_TEXTS,
+                     broadcast_repeats: int = BROADCAST_REPEATS) -> tuple[DataFrame, DataFrame]:
+    """(host, html) to one row per host (host, n_texts, texts, content), and all template texts (host, token).
+
+    ``texts`` is null when a host has more than ``host_texts`` of them; ``content`` is a role.
+    """
     sums = distinct_pages(pages, broadcast_repeats).mapInArrow(_statistics, _STATISTICS).groupBy(
         "host", "token", "element").agg(*[F.expr(e) for e in (
             "min(depth) depth", "first(role) role", "sum(pages) pages", "sum(total) total",
@@ -133,13 +139,20 @@ def deduce_templates(pages: DataFrame, broadcast_repeats: int = BROADCAST_REPEAT
     most = content.groupBy("host").agg(F.expr("max(chars) most"))
     content = content.join(most, "host").filter(f"chars >= {MOST_TEXT} * most").groupBy("host").agg(
         F.expr("max(struct(depth, chars, role)).role content"))
-    valid = known.filter(f"once and pages >= greatest({LEAST_PAGES}, {LEAST_SHARE} * all_pages)") \
-        .groupBy("host", "pages", "sum_1", "sum_2").agg(
-            F.expr("bool_or(element) nested"), F.expr("collect_list(if(element, null, token)) texts")) \
-        .filter("nested and size(texts) > 0").groupBy("host").agg(
-            F.expr("flatten(collect_list(texts)) texts"))
-    return hosts.select("host").join(content, "host", "left").join(valid, "host", "left").selectExpr(
-        "host", "coalesce(texts, cast(array() as array<bigint>)) texts", "content")
+    classes = ["host", "pages", "sum_1", "sum_2"]
+    possible = known.filter(f"once and pages >= {LEAST_PAGES}")
+    nested = possible.groupBy(*classes).agg(
+        F.expr("bool_or(element) nested"), F.expr("count_if(not element) texts")) \
+        .filter("nested and texts > 0").select(*classes)
+    tokens = written(possible.filter("not element").join(nested, classes, "left_semi").select("host", "token"),
+                     "template-texts")
+    counts = tokens.groupBy("host").agg(F.expr("count(1) n_texts"))
+    few = tokens.join(counts.filter(f"n_texts <= {host_texts}"), "host", "left_semi").groupBy("host").agg(
+        F.expr("collect_list(token) texts"))
+    found = hosts.select("host").join(content, "host", "left").join(counts, "host", "left").join(few, "host", "left")
+    return found.selectExpr(
+        "host", "coalesce(n_texts, 0) n_texts",
+        "if(n_texts is null, cast(array() as array<bigint>), texts) texts", "content"), tokens
 
 
 def _marked_content(elements: list[Element], others: bool) -> set[Element]:
@@ -188,24 +201,55 @@ def article_text(html: str, texts: set[int], content: str | None) -> str:
     return " ".join(text for (_, text), p in zip(runs, plain) if p)
 
 
-def extract_articles(pages: DataFrame, broadcast_hosts: int = BROADCAST_HOSTS) -> DataFrame:
+def _run_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(page, host, html) to page, host and the distinct tokens of its text runs."""
+    for batch in batches:
+        for page, host, html in zip(*(batch.column(c).to_pylist() for c in ("page", "host", "html"))):
+            found = list({_text(e.role, text) for e, text in blocks(html or "")[0]})
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([page] * len(found), pa.string()), pa.array([host] * len(found), pa.string()),
+                 pa.array(found, pa.int64())], ["page", "host", "token"])
+
+
+def _own_texts(met: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Pages of hosts with large templates, with those template texts that they have themselves."""
+    pages = written(met.drop("_texts").selectExpr("*", "uuid() _page"), "large-template-pages")
+    runs = pages.selectExpr("_page page", "_host host", "html").mapInArrow(
+        _run_tokens, "page string, host string, token bigint").selectExpr("*", f"pmod(xxhash64(page), {SALTS}) salt")
+    salted = tokens.selectExpr("host", "token", f"explode(sequence(0L, {SALTS - 1}L)) salt")
+    own = runs.join(salted, ["host", "token", "salt"], "left_semi").groupBy("page").agg(
+        F.expr("collect_list(token) _texts"))
+    return pages.join(own, F.expr("_page = page"), "left").drop("page", "_page")
+
+
+def extract_articles(pages: DataFrame, broadcast_hosts: int = BROADCAST_HOSTS,
+                     host_texts: int = HOST_TEXTS) -> DataFrame:
     """Append text and n_chars to every row (columns url and html)."""
     small_batches(pages.sparkSession, 200)
     own = pages.drop("text", "n_chars")
     placed = own.selectExpr("*", f"{host_and_path('url')['host']} _host")
-    templates = written(deduce_templates(placed.selectExpr("_host host", "html")).selectExpr(
-        "host _site", "texts _texts", "content _content"), "templates")
-    if templates.count() <= broadcast_hosts:
+    templates, tokens = deduce_templates(placed.selectExpr("_host host", "html"), host_texts)
+    templates = written(templates.selectExpr(
+        "host _site", "n_texts _n_texts", "texts _texts", "content _content"), "templates")
+    hosts, texts, largest = templates.agg(
+        F.expr("count(1)"), F.expr(f"coalesce(sum(if(_n_texts <= {host_texts}, _n_texts, 0)), 0)"),
+        F.expr("coalesce(max(_n_texts), 0)")).first()
+    if hosts <= broadcast_hosts and texts <= BROADCAST_TEXTS:
         met = placed.join(F.broadcast(templates), F.expr("_host = _site"), "left")
     else:
         salted = placed.selectExpr("*", f"pmod(xxhash64(url, html), {SALTS}) _salt")
         wanted = salted.selectExpr("_host _site", "_salt _part").distinct()
         met = salted.join(wanted.join(templates, "_site"),
                           F.expr("_host = _site and _salt = _part"), "left").drop("_salt", "_part")
-    met = met.drop("_host", "_site")
+    kept = own.columns
+    needed = [*kept, "_texts", "_content"]
+    if largest > host_texts:
+        large = _own_texts(met.filter("_texts is null"), tokens).select(needed)
+        met = met.filter("_texts is not null").select(needed).unionByName(large)
+    else:
+        met = met.select(needed)
     schema = T.StructType([*own.schema.fields, T.StructField("text", T.StringType()),
                            T.StructField("n_chars", T.LongType())])
-    kept = own.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -59,6 +59,14 @@ def test_copies_of_a_page_keep_their_article(spark, repeats):
     assert sum(h == "h" for h, _ in found) == 14 and found.count(("", "x")) == 1
 
 
+@pytest.mark.parametrize("host_texts", [html_templates.HOST_TEXTS, 0])
+def test_a_notice_on_few_pages_of_a_large_host_is_dropped(spark, host_texts):
+    notice = "<div class='box'><p>Read this first</p></div>"
+    rows = [(i, "http://h.net/", f"<body><article><p>Own {i}</p>{notice if i < 12 else ''}</article></body>") for i in range(260)]
+    got = extract(spark, rows + [(260, "http://g.net/", "<p>Own 260</p>")], host_texts=host_texts)
+    assert got == {i: f"Own {i}" for i in range(261)}
+
+
 @pytest.mark.parametrize("page, text", [
     ("<div class='layout with-sidebar'><article>Long text</article></div>", "Long text"),
     ("<article class='post comments-open'><p>Long text</article>", "Long text"),
