@@ -42,10 +42,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def segment(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4: sampled segmentations of every document of the mix."""
+    """Operator 4: sampled segmentations of every document of the mix, as piece ids."""
     import public_tokenizers
 
-    return segmentation.digests(segmentation.segment(
+    return segmentation.with_digests(segmentation.segment(
         docs, public_tokenizers.path(segmentation.MODEL), most_edges=WORD_TABLE))
 
 

@@ -16,7 +16,7 @@ per task and kept in a bounded table; texts are taken whole and sampled for many
 
 Null and empty texts give one empty segmentation with probability 1.  Texts with fewer than k segmentations
 give all of them, each included for certain.  Repeated rows repeat their samples; null keys are a key.
-Decoding returns the exact text.  Empty tables give empty results.
+Decoding stored ids returns the exact text.  Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, types as T
 
 from .common import chunks, small_batches
 from .hashing import mix, powers
@@ -432,15 +432,31 @@ def segment(docs: DataFrame, model: str, k: int = SAMPLES, seed: int = 1,
     return docs.select(key, "text").mapInArrow(run, f"`{key}` {kind}, {SEGMENTS}")
 
 
-def digests(segments: DataFrame) -> DataFrame:
-    """Segments with the digest of their ids in place of the ids."""
-    return segments.selectExpr("doc_id", "rank", "n_pieces", "sha2(ids, 256) ids_sha256", "log_prob",
+def with_digests(segments: DataFrame) -> DataFrame:
+    """Segments with their ids and the digest of these."""
+    return segments.selectExpr("doc_id", "rank", "n_pieces", "ids", "sha2(ids, 256) ids_sha256", "log_prob",
                                "perturbed", "log_inclusion", "decoded")
 
 
+def decode(segments: DataFrame, model: str, ids: str = "ids", text: str = "text") -> DataFrame:
+    """Append the text of packed piece ids, as ``segment`` returns and stores them; null ids give null."""
+    small_batches(segments.sparkSession, 200)
+    own = segments.drop(text)
+    schema = T.StructType([*own.schema.fields, T.StructField(text, T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = Pieces(model)
+        for batch in batches:
+            found = [None if packed is None else pieces.decode(np.frombuffer(packed, dtype="<i4").tolist()).decode()
+                     for packed in batch.column(ids).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], schema.names)
+
+    return own.mapInArrow(run, schema)
+
+
 @query("op4_segmentation")
 def op4_segmentation(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
-    return digests(segment(docs, public_tokenizers.path(MODEL)))
+    return with_digests(segment(docs, public_tokenizers.path(MODEL)))

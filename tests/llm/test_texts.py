@@ -179,6 +179,21 @@ def test_registered_segments_decode(spark):
     assert got.filter("not decoded").count() == 0 and got.select("doc_id", "ids_sha256").distinct().count() == 400
 
 
+def test_stored_ids_decode_to_the_texts(spark, documents):
+    import public_tokenizers
+
+    model = public_tokenizers.path(segmentation.MODEL)
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for found in (QUERIES["op4_segmentation"](spark, SMALL), corpus_pipeline.STAGES[-1][1](spark, docs, SMALL)):
+        got = segmentation.decode(written(found, "test"), model).collect()
+        assert len(got) == 2 * len(texts) and all(r.text == texts[r.doc_id] for r in got)
+    odd = documents([(1, "漢字 ▁ 🎉\n"), (2, None), (3, "")])
+    rows = segmentation.segment(odd, model).selectExpr("doc_id", "if(doc_id = 3, null, ids) ids", "'x' text")
+    got = segmentation.decode(rows, model).collect()
+    assert {(r.doc_id, r.text) for r in got} == {(1, "漢字 ▁ 🎉\n"), (2, ""), (3, None)}
+
+
 def test_chunks_hold_every_text_once():
     texts = [b"x" * n for n in (5, 0, 30, 2, 2, 2)]
     spans = list(chunks(texts, 8))
