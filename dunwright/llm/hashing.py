@@ -88,7 +88,7 @@ class Spans:
         words = self.words()
         whole = np.zeros(max(0, len(words) - k + 1), dtype=np.uint64)
         for j in range(k):
-            whole += words[j:len(words) - k + 1 + j] * _PLACES[j]
+            whole += words[j:j + len(whole)] * _PLACES[j]
         whole = mix(whole)
         out = []
         for a, b in zip(self.first[:-1].tolist(), self.first[1:].tolist()):

@@ -34,7 +34,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .common import chunks, small_batches, written
 from .components import components
@@ -405,29 +405,64 @@ def class_links(docs: DataFrame, sizes: DataFrame) -> DataFrame | None:
 
 
 def near_components(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) to one row per document: doc_id, n_shingles, component_id, class."""
+    """(doc_id, text) to one row per document: doc_id, n_shingles, component_id, class, component.
+
+    ``component`` is a class of the component; unlike ids, which may repeat, it tells components apart.
+    """
     small_batches(docs.sparkSession)
     sizes = written(set_sizes(docs), "set-sizes")
-    classes = sizes.filter("class is not null").groupBy("class").agg(F.expr("min(doc_id) first_id"))
+    classes = sizes.filter("class is not null").groupBy("class").agg(F.expr("min(doc_id) first_id")) \
+        .selectExpr("class", "first_id", "class component")
     links = class_links(docs, sizes)
     if links is not None:
         labels = components(links)
         named = classes.join(labels.selectExpr("node class", "label"), "class", "left") \
             .selectExpr("class", "first_id", "coalesce(label, class) label")
         smallest = named.groupBy("label").agg(F.expr("min(first_id) smallest"))
-        classes = named.join(smallest, "label").selectExpr("class", "smallest first_id")
+        classes = named.join(smallest, "label").selectExpr("class", "smallest first_id", "label component")
     return sizes.join(classes, "class", "left").selectExpr(
-        "doc_id", "n_shingles", "if(class is null, doc_id, first_id) component_id", "class")
+        "doc_id", "n_shingles", "if(class is null, doc_id, first_id) component_id", "class", "component")
+
+
+def _with_class(docs: DataFrame) -> DataFrame:
+    """Append _class, the digest of the text's set, null for the empty set."""
+    schema = T.StructType([*docs.schema.fields, T.StructField("_class", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [set_class(s) if len(s) else None for s in shingle_sets(_texts(batch))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], schema.names)
+
+    return docs.mapInArrow(run, schema)
 
 
 def one_per_component(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id names their component; of rows with such an id, the first text stays."""
+    """One row of ``docs`` per component: of the rows with the smallest id, that of the smallest class and text.
+
+    Rows without words are components of their own by id; those without an id too all stay.  Ids that occur
+    once select their rows; texts of null and repeated ids are told apart by the digests of their sets.
+    """
     found = written(near_components(docs), "near")
-    kept = found.filter("doc_id <=> component_id").groupBy("doc_id").agg(F.expr("count(1) copies"))
-    rows, copies = kept.agg(F.expr("count(1)"), F.expr("coalesce(max(copies), 0)")).first()
-    kept = kept.select("doc_id")
-    chosen = docs.join(F.broadcast(kept) if rows <= BROADCAST_ROWS else kept, "doc_id", "left_semi")
-    return chosen if copies <= 1 else chosen.dropDuplicates(["doc_id"])
+    heads = found.filter("doc_id <=> component_id")
+    chosen = heads.filter("class is not null").groupBy("component").agg(
+        F.expr("min(struct(class, doc_id)) head")).selectExpr("head.doc_id", "head.class").unionByName(
+        heads.filter("class is null").select("doc_id", "class").distinct())
+    repeated = written(found.groupBy("doc_id").agg(F.expr("count(1) copies"))
+                       .filter("copies > 1 or doc_id is null").select("doc_id"), "repeated")
+    odd = not repeated.isEmpty()
+    kept = chosen.select("doc_id").filter("doc_id is not null")
+    kept = written(kept.join(repeated, "doc_id", "left_anti") if odd else kept, "kept")
+    chosen_docs = docs.join(F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept, "doc_id", "left_semi")
+    if not odd:
+        return chosen_docs
+    several = _with_class(docs.join(repeated, "doc_id", "left_semi").unionByName(docs.filter("doc_id is null")))
+    nameless = several.filter("doc_id is null and _class is null").select(docs.columns)
+    first = several.filter("doc_id is not null or _class is not null").groupBy(
+        F.col("doc_id").alias("_id"), "_class").agg(F.expr(
+            f"min_by(struct({', '.join(f'`{c}`' for c in docs.columns)}), coalesce(text, '')) _row"))
+    wanted = chosen.selectExpr("doc_id _head", "class _head_class")
+    first = first.join(wanted, F.expr("_id <=> _head and _class <=> _head_class"), "left_semi").select("_row.*")
+    return chosen_docs.unionByName(first).unionByName(nameless)
 
 
 @query("op2_jaccard_join")

@@ -101,6 +101,18 @@ def test_join_keeps_one_row_per_component(documents):
     assert kept.columns[-1] == "size"
 
 
+def test_join_keeps_rows_of_null_and_repeated_ids(documents):
+    near = "a b c d e f g h i j k l m n o p q r s t u v w x"
+    rows = [(None, "one two three four five six"), (None, "One two  three four five six"), (None, "seven eight"), (None, ""), (None, None),
+            (5, "red green blue"), (5, "north south west"), (5, "north south west"), (5, ""), (5, None),  # unlinked texts of one id
+            (1, near), (3, near + " y"), (3, "top bottom"),  # a near copy whose id heads another component
+            (7, "left right"), (8, "left right"), (None, "left right")]
+    kept = jaccard_join.one_per_component(documents(rows, "'c' class", "1 size")).select("doc_id", "text").collect()
+    assert sorted((str(r.doc_id), r.text or "") for r in kept) == sorted([
+        ("None", "One two  three four five six"), ("None", "seven eight"), ("None", ""), ("None", ""), ("5", "red green blue"),
+        ("5", "north south west"), ("5", ""), ("1", near), ("3", "top bottom"), ("7", "left right")])
+
+
 def test_join_of_empty_and_unlinked_tables(documents):
     assert found_components(documents([])) == {}
     assert found_components(documents([(1, "a b"), (2, "c d")])) == {1: (1, 1), 2: (1, 2)}
