@@ -32,8 +32,7 @@ SELECT payment_id, {whole('past_successful_payments')}, {whole('past_failed_paym
   {whole('time_since_last_success_days')}, {whole('days_overdue')},
   {whole('recovery_attempts_so_far')} FROM payments""")
 def customer_history_features(t: Tables) -> DataFrame:
-    """History with heavy customers cut into slots (a low limit, so that many are)."""
-    return Tables(t.spark, t.folder, heavy_rows=12).payments.selectExpr(
+    return t.payments.selectExpr(
         "payment_id", "historical_success_rate", *[whole(c) for c in (
             "past_successful_payments", "past_failed_payments", "customer_tenure_months",
             "time_since_last_success_days", "days_overdue", "recovery_attempts_so_far")])

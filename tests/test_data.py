@@ -10,11 +10,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as contract
 from dunwright.config import STATE_EDGES
 from dunwright.operators import (
     audit as A, evaluation as E, history as H, monitoring as M, ordering as O, quality as Q, store as S,
 )
 from dunwright.operators.lookup import keep_matching
+from dunwright.plans.registry import Tables
+from tests.conftest import SMALL
 
 
 @pytest.mark.parametrize("heavy", [300, 9])
@@ -50,6 +53,15 @@ def test_cut_up_history_equals_whole(spark, heavy):
     assert got == expected
 
 
+def test_registered_history_has_the_production_limit_and_equals_slots(spark, monkeypatch):
+    limits, whole = [], H.customer_timeline
+    monkeypatch.setattr(H, "customer_timeline", lambda *a, **b: limits.append(b["heavy_rows"]) or whole(*a, **b))
+    got = contract.queries()["customer_history_features"](spark, SMALL)
+    assert limits == [H.HEAVY_ROWS]
+    slots = Tables(spark, SMALL, heavy_rows=12).payments.selectExpr(*[f"cast({c} as {t}) {c}" for c, t in got.dtypes])
+    assert limits[1:] == [12] and sorted(map(str, got.collect())) == sorted(map(str, slots.collect()))
+
+
 def test_global_rank(spark):
     values = [random.Random(5).randint(0, 50) for _ in range(2000)]
     df = spark.createDataFrame(list(enumerate(values)), "id int, v int").repartition(7)
