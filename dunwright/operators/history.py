@@ -1,9 +1,10 @@
 """Customer history at failure time and the observed-recovery label.
 
-Both look along one customer's events in time order.  A customer can own a third
-of all rows, so heavy customers are cut into time slots: each slot is summarised,
-the summaries are scanned in order, and what a slot inherits is joined back.
-Light customers are one slot and inherit nothing.
+Both look along one customer's events in time order.  A customer can own a third of all rows, and all of them
+may fall on one instant, so the events are cut into even ranges of (customer, time, event id).  The history is
+scanned inside every range; the last row of a customer that goes on in another range sums the range up; these
+few summaries (at most two a range, and one for each range that a customer fills) are composed in order, and
+what a range inherits is joined back to its failures.
 """
 
 from __future__ import annotations
@@ -11,138 +12,104 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scalars import padded_id
-from .ordering import materialize
+from .ordering import even_ranges, materialize
 
-HEAVY_ROWS = 2_000_000  # a customer with more rows than this is cut into slots
+RANGES_A_TASK = 4       # ranges for every shuffle partition
 _DAY = 86_400_000_000   # microseconds
 
 
 def customer_timeline(events: DataFrame, fail: str = "error", ok: str = "purchase",
-                      heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+                      ranges: int | None = None) -> DataFrame:
     """History columns for every failure of an event log.
 
-    ``events(customer, ts, event_id, kind, …)``; kinds other than ``fail`` and ``ok``
-    only count for the first-seen time.  Returns the failures with ``first_ts,
-    succ_before, fail_before, last_ok_ts, run_first_ts, run_fails, next_ok_ts`` added.
+    ``events(customer, ts, event_id, kind, …)``; kinds other than ``fail`` and ``ok`` only count for
+    the first-seen time.  Returns the failures with ``first_ts, succ_before, fail_before, last_ok_ts,
+    run_first_ts, run_fails, next_ok_ts`` added.
 
-    Customer ranges are aggregated and written first (one row per customer), because
-    they decide whether any customer has to be cut up.
+    The log is read and shuffled once; the local history is written, and its summaries are a filter on it.
     """
-    counted = f"kind in ('{fail}', '{ok}')"
-    ranges = materialize(events.groupBy("customer").agg(
-        F.expr("min(ts) first_ts"), F.expr(f"count_if({counted}) rows"),
-        F.expr(f"min(case when {counted} then unix_micros(ts) end) lo"),
-        F.expr(f"max(case when {counted} then unix_micros(ts) end) hi")))
-    rows = events.filter(counted).selectExpr("* except (kind)", f"kind = '{fail}' failed", "1 mark")
-    # One extra row per customer carries the first-seen time into the same shuffle.
-    firsts = ranges.filter("rows > 0").selectExpr("customer", "first_ts ts", "0 mark")
-
-    heavy = ranges.filter(F.col("rows") > heavy_rows)
-    if heavy.isEmpty():
-        local = _local_history(rows.unionByName(firsts, allowMissingColumns=True), "customer")
-        return local.filter("failed").selectExpr(
-            "* except (mark, failed, prior_failed, fail_at_ok)",
-            "fail_before - coalesce(fail_at_ok, 0) run_fails")
-
-    # Cut heavy customers' time into equal slots, then any slot that is still too full once
-    # more.  Cuts number at most all rows / heavy_rows each, which bounds the broadcasts.
-    for keys in (["customer"], ["customer", "slot"]):
-        cuts = heavy.selectExpr(*keys, "lo", "hi - lo + 1 span", f"ceil(rows / {heavy_rows}D) pieces")
-        rows, firsts = _slotted(rows, cuts, keys), _slotted(firsts, cuts, keys)
-        if keys == ["customer"]:
-            chosen = F.broadcast(heavy.select("customer"))
-            heavy = materialize(
-                rows.select("customer", "slot", "ts").join(chosen, "customer", "left_semi")
-                .groupBy("customer", "slot").agg(
-                    F.expr("count(1) rows"), F.expr("min(unix_micros(ts)) lo"),
-                    F.expr("max(unix_micros(ts)) hi")).filter(F.col("rows") > heavy_rows))
-    local = _local_history(rows.unionByName(firsts, allowMissingColumns=True), "customer, slot")
-
-    cut_up = rows.select("customer", "slot", "ts", "event_id", "failed", "mark").unionByName(
-        firsts, allowMissingColumns=True).join(chosen, "customer", "left_semi")
-    # One row per slot: at most all rows / heavy_rows plus one per cut, twice over.
-    carried = materialize(_inherited(_local_history(cut_up, "customer, slot")))
+    spark = events.sparkSession
+    wanted = ranges or RANGES_A_TASK * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = ("customer", "unix_micros(ts)", "event_id")
+    cuts = even_ranges(events.selectExpr("customer", "unix_micros(ts) at", "event_id"), wanted)
+    rows = events.selectExpr(
+        "* except (kind)", f"coalesce(kind = '{fail}', false) failed", f"coalesce(kind = '{ok}', false) paid",
+        f"{cuts.number(*keys)} part")
+    local = materialize(
+        _local_history(rows, "part, customer").withColumn(
+            "sums_up", F.expr(f"is_last and {cuts.splits('customer')}"))
+        .filter("failed or sums_up"))
+    carried = F.broadcast(_inherited(local.filter("sums_up")))  # bounded by the number of ranges
     return _combined(local.filter("failed"), carried)
 
 
-_SUB_SLOTS = 2 ** 24  # room for the second cut inside a slot number
-
-
-def _slotted(rows: DataFrame, cuts: DataFrame, keys: list[str]) -> DataFrame:
-    """Number the time slots in order; the second cut refines the first one's numbers."""
-    piece = "least(floor(cast(greatest(unix_micros(ts) - lo, 0) as double) * pieces / span), pieces - 1)"
-    outer = f"slot * {_SUB_SLOTS}L + " if "slot" in keys else ""
-    drop = ["lo", "span", "pieces"] + (["slot"] if "slot" in keys else [])
-    return rows.join(F.broadcast(cuts), keys, "left").selectExpr(
-        f"* except ({', '.join(drop)})", f"{outer}coalesce({piece}, 0) slot")
-
-
 def _local_history(rows: DataFrame, group: str) -> DataFrame:
     """History inside one group; one shuffle, one sort per direction."""
-    forward = f"partition by {group} order by ts, mark, event_id"
+    forward = f"partition by {group} order by ts, event_id"
     before = f"{forward} rows between unbounded preceding and 1 preceding"
     upto = f"{forward} rows between unbounded preceding and current row"
     # Running forwards over descending order avoids the quadratic "following" frame.
-    after = (f"partition by {group} order by ts desc, mark desc, event_id desc "
+    after = (f"partition by {group} order by ts desc, event_id desc "
              "rows between unbounded preceding and 1 preceding")
     first_pass = rows.selectExpr(
         "*",
-        f"coalesce(sum(cast(not failed as bigint)) over ({before}), 0) succ_before",
+        f"coalesce(sum(cast(paid as bigint)) over ({before}), 0) succ_before",
         f"coalesce(sum(cast(failed as bigint)) over ({before}), 0) fail_before",
-        f"min(case when mark = 0 then ts end) over ({upto}) first_ts",
-        f"max(case when not failed then ts end) over ({before}) last_ok_ts",
-        f"lag(failed) over ({forward}) prior_failed")
+        f"min(ts) over ({upto}) first_ts",
+        f"min(case when paid then ts end) over ({upto}) first_ok_ts",
+        f"max(case when paid then ts end) over ({before}) last_ok_ts")
     second_pass = first_pass.selectExpr(
         "*",
         # failures up to the latest success; grows along the order, so max() is the latest
-        f"max(case when not failed then fail_before end) over ({upto}) fail_at_ok",
-        f"max(case when failed and not coalesce(prior_failed, false) then ts end) "
-        f"over ({upto}) run_first_ts")
-    return second_pass.selectExpr(
-        "*", f"min(case when not failed then ts end) over ({after}) next_ok_ts")
-
-
-def _inherited(local: DataFrame) -> DataFrame:
-    """What each slot of a heavy customer inherits from the slots around it."""
-    slots = local.groupBy("customer", "slot").agg(*[F.expr(e) for e in (
-        "count_if(not failed) oks", "count_if(failed) fails", "min(first_ts) first_ts",
-        "min(case when not failed then ts end) first_ok",
-        "max(case when not failed then ts end) last_ok",
-        "max(fail_at_ok) fail_at_ok", "max(run_first_ts) last_run")])
-    by_slot = "partition by customer order by slot"
-    before = f"{by_slot} rows between unbounded preceding and 1 preceding"
+        f"max(case when paid then fail_before end) over ({upto}) fail_at_ok")
+    third_pass = second_pass.selectExpr(
+        "*",
+        # a run starts with the first failure after the latest success
+        f"max(case when failed and fail_before = coalesce(fail_at_ok, 0) then ts end) over ({upto})"
+        " run_first_ts")
+    return third_pass.selectExpr(
+        "*", f"min(case when paid then ts end) over ({after}) next_ok_ts",
+        f"count(1) over ({after}) = 0 is_last")
+
+
+def _inherited(last_rows: DataFrame) -> DataFrame:
+    """What each range of a customer inherits from those around it, from the last row of each."""
+    sums = last_rows.selectExpr(
+        "customer", "part", "succ_before + cast(paid as int) oks", "fail_before + cast(failed as int) fails",
+        "first_ts", "first_ok_ts first_ok", "case when paid then ts else last_ok_ts end last_ok",
+        "fail_at_ok", "run_first_ts last_run")
+    by_part = "partition by customer order by part"
+    before = f"{by_part} rows between unbounded preceding and 1 preceding"
     upto = "rows between unbounded preceding and current row"
-    # Failures still open at the end of a slot started in it (after its last success),
-    # or earlier when the slot has no success; an epoch is a stretch without success.
+    # Failures still open at the end of a range started in it (after its last success),
+    # or earlier when the range has no success; an epoch is a stretch without success.
     return (
-        slots
+        sums
         .selectExpr(
             "*",
             f"coalesce(sum(oks) over ({before}), 0) c_oks",
             f"coalesce(sum(fails) over ({before}), 0) c_fails",
             f"min(first_ts) over ({before}) c_first",
             f"max(last_ok) over ({before}) c_last_ok",
-            "min(first_ok) over (partition by customer order by slot desc "
+            "min(first_ok) over (partition by customer order by part desc "
             "rows between unbounded preceding and 1 preceding) c_next_ok",
-            f"sum(cast(oks > 0 as int)) over ({by_slot} {upto}) epoch",
+            f"sum(cast(oks > 0 as int)) over ({by_part} {upto}) epoch",
             "case when oks = 0 or fails > fail_at_ok then last_run end own_open")
         .selectExpr(
             "*",
             f"max(case when oks > 0 then c_fails + fail_at_ok end) over ({before}) c_fail_at_ok",
-            f"min(own_open) over (partition by customer, epoch order by slot {upto}) open_after")
+            f"min(own_open) over (partition by customer, epoch order by part {upto}) open_after")
         .selectExpr(
-            "customer", "slot", "c_oks", "c_fails", "c_first", "c_last_ok", "c_fail_at_ok",
-            "c_next_ok", f"lag(open_after) over ({by_slot}) c_open"))
+            "customer c_customer", "part c_part", "c_oks", "c_fails", "c_first", "c_last_ok", "c_fail_at_ok",
+            "c_next_ok", f"lag(open_after) over ({by_part}) c_open"))
 
 
 def _combined(fails: DataFrame, carried: DataFrame) -> DataFrame:
-    """Local history plus the inherited part (absent for light customers)."""
-    keep = ("slot", "mark", "failed", "prior_failed", "fail_at_ok", "fail_before", "succ_before",
-            "first_ts", "last_ok_ts", "run_first_ts", "next_ok_ts", "c_oks", "c_fails", "c_first",
-            "c_last_ok", "c_fail_at_ok", "c_next_ok", "c_open")
-    # a written table of bounded size; Spark broadcasts it when its files are small
-    return fails.join(carried, ["customer", "slot"], "left").selectExpr(
-        f"* except ({', '.join(keep)})",
+    """Local history plus the inherited part (absent for customers inside one range)."""
+    helpers = ("part", "failed", "paid", "is_last", "sums_up", "first_ok_ts", "fail_at_ok")
+    replaced = ("fail_before", "succ_before", "first_ts", "last_ok_ts", "run_first_ts", "next_ok_ts")
+    return fails.join(carried, F.expr("part = c_part and customer <=> c_customer"), "left").selectExpr(
+        f"* except ({', '.join([*helpers, *replaced, *[c for c in carried.columns]])})",
         "coalesce(c_fails, 0) + fail_before fail_before",
         "coalesce(c_oks, 0) + succ_before succ_before",
         "coalesce(c_first, first_ts) first_ts",
@@ -175,7 +142,7 @@ def history_features(timeline: DataFrame, label_days: int = 3) -> DataFrame:
         " as int) recovered")
 
 
-def payments_from_events(events: DataFrame, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+def payments_from_events(events: DataFrame, ranges: int | None = None) -> DataFrame:
     """Failed payments out of the driver's event log (one row per 'error' event)."""
     # Only compact payload, and only of failures, goes through the shuffle.
     log = events.selectExpr(
@@ -184,7 +151,7 @@ def payments_from_events(events: DataFrame, heavy_rows: int = HEAVY_ROWS) -> Dat
         " cast(round(greatest(10.0D, least(50000.0D, value * 100)), 2) as decimal(14,2)) end"
         " payment_amount",
         "case when event_type = 'error' then cast(get_json_object(props, '$.k') as int) % 10 end k")
-    return history_features(customer_timeline(log, heavy_rows=heavy_rows)).selectExpr(
+    return history_features(customer_timeline(log, ranges=ranges)).selectExpr(
         f"{padded_id('pay_', 'event_id', 10)} payment_id",
         "concat('cust_', customer) customer_id",
         "payment_amount",

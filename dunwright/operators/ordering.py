@@ -10,12 +10,17 @@ sampling, so the numbering has to be frozen before two branches use it.
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..functions.scalars import text
+
+SAMPLED = 32  # keys sampled per range
 _LOCAL_BITS = 33  # monotonically_increasing_id: partition in the high bits, row in the low 33
 
 
@@ -49,6 +54,49 @@ def _numbered(df: DataFrame, order: list[Column]) -> DataFrame:
         f"_mid & {(1 << _LOCAL_BITS) - 1} _row"))
 
 
+@dataclass(frozen=True)
+class Ranges:
+    """Even ranges of a table along some columns, found from a sample and held as literals.
+
+    ``number`` is the range of a row as an expression: ranges become a column that can be grouped and
+    partitioned by, without a shuffle of their own, and retried tasks agree on them.
+    """
+
+    bounds: list[str]  # JSON of the first key of every range but the first
+    schema: str
+
+    def _search(self, holds: str) -> str:
+        """How many bounds ``_bound`` satisfy ``holds``, which is true of the first ones only (binary search)."""
+        n = len(self.bounds)
+        if not n:
+            return "0"
+        table = f"from_json({text('[' + ','.join(self.bounds) + ']')}, {text(self.schema)})"
+        steps = ", ".join(str(1 << i) for i in range(n.bit_length() - 1, -1, -1))
+        holds = re.sub(r"\b_bound\b", f"{table}[lo + step - 1]", holds)
+        return f"aggregate(array({steps}), 0, (lo, step) -> if(lo + step <= {n} and {holds}, lo + step, lo))"
+
+    def number(self, *keys: str) -> str:
+        return self._search(f"_bound <= struct({', '.join(keys)})")
+
+    def splits(self, column: str) -> str:
+        """Whether rows with this row's value of the first column can lie in more than one range."""
+        return f"{self._search(f'(_bound.{column} <=> {column} or _bound.{column} < {column} or _bound.{column} is null)')}" \
+               f" > {self._search(f'(_bound.{column} < {column} or _bound.{column} is null and {column} is not null)')}"
+
+
+def even_ranges(keys: DataFrame, parts: int) -> Ranges:
+    """About ``parts`` ranges of equally many rows; at most ``SAMPLED`` keys a range reach the driver."""
+    rows = keys.count()
+    schema = f"array<{keys.schema.simpleString()}>"
+    if rows == 0 or parts < 2:
+        return Ranges([], schema)
+    sample = keys.sample(min(1.0, parts * SAMPLED / rows), seed=11)
+    step = max(1, min(rows // parts, SAMPLED))
+    found = sample.agg(F.expr(f"""array_distinct(transform(filter(sort_array(collect_list(struct(*))),
+        (x, i) -> i % {step} = {step} - 1), x -> to_json(x, map('ignoreNullFields', 'false'))))""")).first()[0]
+    return Ranges(found, schema)
+
+
 def with_global_rank(df: DataFrame, order: list[Column], rank: str = "rank") -> DataFrame:
     """Append the 1-based position of every row in a total order.
 

@@ -9,7 +9,6 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.decide import score_payments
-from ..operators.history import HEAVY_ROWS
 from ..operators.ordering import materialize
 from ..sources.readers import payments_from_event_table
 
@@ -23,7 +22,6 @@ class Tables:
 
     spark: SparkSession
     folder: str
-    heavy_rows: int = HEAVY_ROWS
 
     @cached_property
     def events(self) -> DataFrame:
@@ -31,7 +29,7 @@ class Tables:
 
     @cached_property
     def payments(self) -> DataFrame:
-        return payments_from_event_table(self.spark, self.folder, self.heavy_rows)
+        return payments_from_event_table(self.spark, self.folder)
 
     @cached_property
     def scored(self) -> DataFrame:

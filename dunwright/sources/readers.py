@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators.history import HEAVY_ROWS, payments_from_events
+from ..operators.history import payments_from_events
 from ..schemas import FAILED_PAYMENTS
 
 
@@ -35,10 +35,9 @@ def read_jdbc(spark: SparkSession, url: str, table: str, *, partition_column: st
                            numPartitions=partitions, properties=properties or {})
 
 
-def payments_from_event_table(spark: SparkSession, folder: str, heavy_rows: int = HEAVY_ROWS
-                              ) -> DataFrame:
+def payments_from_event_table(spark: SparkSession, folder: str) -> DataFrame:
     """Failed payments derived from ``events.parquet`` in a data folder."""
-    return payments_from_events(spark.read.parquet(f"{folder}/events.parquet"), heavy_rows)
+    return payments_from_events(spark.read.parquet(f"{folder}/events.parquet"))
 
 
 def to_json_events(payments: DataFrame, payload: list[str]) -> DataFrame:

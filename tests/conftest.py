@@ -1,5 +1,7 @@
+import io
 import os
 import sys
+from contextlib import redirect_stdout
 
 import pytest
 
@@ -10,6 +12,13 @@ from dunwright.session import local_session  # noqa: E402
 SMALL = "/root/testdata/sf0.001"
 
 
+def explain(df) -> str:
+    out = io.StringIO()
+    with redirect_stdout(out):
+        df.explain("formatted")
+    return out.getvalue()
+
+
 @pytest.fixture(scope="session")
 def spark():
     return local_session(app="tests")

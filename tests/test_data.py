@@ -16,18 +16,17 @@ from dunwright.operators import (
     audit as A, evaluation as E, history as H, monitoring as M, ordering as O, quality as Q, store as S,
 )
 from dunwright.operators.lookup import keep_matching
-from dunwright.plans.registry import Tables
-from tests.conftest import SMALL
+from tests.conftest import SMALL, explain
 
 
-@pytest.mark.parametrize("heavy", [300, 9])
-def test_cut_up_history_equals_whole(spark, heavy):
+@pytest.mark.parametrize("ranges", [1, 7, 300])
+def test_history_over_ranges_equals_whole(spark, ranges):
     """Bursts, equal times and one customer with most of the rows."""
-    r = random.Random(heavy)
+    r = random.Random(ranges)
     rows = []
     for i in range(1200):
-        user = 0 if r.random() < 0.5 else r.randint(1, 9)
-        us = r.randint(0, 40) if user == 0 and r.random() < 0.6 else r.randint(0, 10 ** 9)
+        user = 0 if r.random() < 0.5 else r.choice([None, *range(1, 9)])
+        us = r.choice([5, 5, r.randint(0, 40)]) if user == 0 and r.random() < 0.6 else r.randint(0, 10 ** 9)
         rows.append((user, us, i, r.choice(["error", "purchase", "view"])))
     events = O.materialize(spark.createDataFrame(
         rows, "customer long, us long, event_id long, kind string").selectExpr(
@@ -47,19 +46,44 @@ def test_cut_up_history_equals_whole(spark, heavy):
             elif kind == "purchase":
                 ok, run, last_ok = ok + 1, 0, us
     micros = lambda c: F.expr(f"unix_micros({c})")
-    got = {r[0]: tuple(r)[1:] for r in H.customer_timeline(events, heavy_rows=heavy).select(
+    got = {r[0]: tuple(r)[1:] for r in H.customer_timeline(events, ranges=ranges).select(
         "event_id", "succ_before", "fail_before", micros("first_ts"), micros("last_ok_ts"),
         micros("run_first_ts"), "run_fails", micros("next_ok_ts")).collect()}
     assert got == expected
 
 
-def test_registered_history_has_the_production_limit_and_equals_slots(spark, monkeypatch):
-    limits, whole = [], H.customer_timeline
-    monkeypatch.setattr(H, "customer_timeline", lambda *a, **b: limits.append(b["heavy_rows"]) or whole(*a, **b))
-    got = contract.queries()["customer_history_features"](spark, SMALL)
-    assert limits == [H.HEAVY_ROWS]
-    slots = Tables(spark, SMALL, heavy_rows=12).payments.selectExpr(*[f"cast({c} as {t}) {c}" for c, t in got.dtypes])
-    assert limits[1:] == [12] and sorted(map(str, got.collect())) == sorted(map(str, slots.collect()))
+def test_history_of_one_instant_and_of_nothing(spark):
+    """Every event of one customer at one moment is still cut into ranges."""
+    burst = spark.range(2000).selectExpr("1L customer", "timestamp_micros(77) ts", "id event_id",
+                                         "if(id % 50 = 49, 'purchase', 'error') kind")
+    ranges = O.even_ranges(burst.selectExpr("customer", "unix_micros(ts) at", "event_id"), 20)
+    sizes = [x["count"] for x in burst.groupBy(F.expr(ranges.number("customer", "unix_micros(ts)", "event_id")))
+             .count().collect()]
+    assert len(sizes) >= 15 and max(sizes) < 400
+    got = {x.event_id: x for x in H.customer_timeline(burst, ranges=20).collect()}
+    assert len(got) == 1960
+    for i, x in got.items():
+        assert (x.succ_before, x.fail_before, x.run_fails) == (i // 50, i - i // 50, i % 50)
+        assert (x.last_ok_ts is None) == (i < 50) and x.next_ok_ts is not None
+    assert H.customer_timeline(burst.limit(0)).count() == 0
+
+
+def test_history_reads_the_events_once(spark, monkeypatch):
+    """The written table is one scan and one exchange of the log; queries read it and nothing else."""
+    plans, write = [], H.materialize
+    monkeypatch.setattr(H, "materialize", lambda df: plans.append(explain(df)) or write(df))
+    final = explain(contract.queries()["score_payments"](spark, SMALL))
+    assert len(plans) == 1 and plans[0].count("events.parquet") == 1
+    assert plans[0].count("ENSURE_REQUIREMENTS") == 1 and "REPARTITION" not in plans[0]
+    assert "events.parquet" not in final and "CartesianProduct" not in final
+
+
+def test_ranges_find_places_and_split_values(spark):
+    keys = spark.sql("select * from values (null, 1), ('a', 2), ('a', 3), ('b', 4), ('é', 5), ('é', 6) t(k, n)")
+    ranges = O.Ranges(['{"k":"a","n":3}', '{"k":"é","n":6}'], f"array<{keys.schema.simpleString()}>")
+    got = keys.selectExpr("k", "n", f"{ranges.number('k', 'n')} r", f"{ranges.splits('k')} s").collect()
+    assert {(r.n, r.r) for r in got} == {(1, 0), (2, 0), (3, 1), (4, 1), (5, 1), (6, 2)}
+    assert {r.k for r in got if r.s} == {"a", "é"}
 
 
 def test_global_rank(spark):
