@@ -106,6 +106,25 @@ def stream_two_sources(t: Tables) -> DataFrame:
     return _winners(store)
 
 
+@query("stream_state_dedup", _FEED_SQL + """
+SELECT idempotency_key, payment_id, 1::BIGINT AS events, 1::BIGINT AS decisions FROM feed
+QUALIFY row_number() OVER (PARTITION BY idempotency_key ORDER BY event_id % 3, payment_id) = 1""")
+def stream_state_dedup(t: Tables) -> DataFrame:
+    """Deliveries out of time order, the first of them twice; state drops what it has just seen.
+
+    A key's first event is its first by delivery, then by text (which starts with key and payment).
+    """
+    root, store = _store(t)
+    feed = materialize(_keyed_feed(t).selectExpr("value", "cast(substring(payment_id, 5) as bigint) % 3 piece"))
+    jobs = decisions.DecisionStream(store, model_version="v1", received_at=_RECEIVED)
+    for k in (0, 0, 1, 2):
+        feed.filter(f"piece = {k}").select("value").write.mode("append").text(f"{root}/feed")
+        events = decisions.read_event_stream(t.spark, f"{root}/feed", files_per_batch=100_000)
+        jobs.run(decisions.first_arrivals(events, "1 day", ("value",)), f"{root}/checkpoint",
+                 mode="update").awaitTermination()
+    return _winners(store)
+
+
 @query("stream_status", """
 SELECT substr(sha256('event|' || payment_id), 1, 32) AS event_id, 'AUDIT_WRITTEN' AS processing_status
 FROM payments""")

@@ -8,10 +8,13 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from ..functions.scalars import text
 from ..operators.store import conform, table_counts
 from ..schemas import EVENT_STATUS_LOG, STORE_TABLES
+from .key_index import KeyIndex
 
 _SCHEMAS = {**STORE_TABLES, "event_status_log": EVENT_STATUS_LOG}
+_COMMIT = StructType([StructField("done", LongType()), StructField("key_group", StringType())])
 _PLACE = [StructField("stream", StringType()), StructField("batch_id", LongType())]
 
 
@@ -47,8 +50,7 @@ class ParquetStore:
              schema: StructType | None = None) -> DataFrame:
         """Rows of committed batches, without those of the batch ``other_than``."""
         rows = self._raw(table, schema or _SCHEMAS[table])
-        commits = self._raw("commits", StructType([StructField("done", LongType())])).select(
-            "stream", "batch_id").distinct()  # one row per batch
+        commits = self.commits().select("stream", "batch_id").distinct()  # one row per batch
         rows = rows.join(commits, ["stream", "batch_id"], "left_semi")
         if other_than is not None:
             stream, batch_id = other_than
@@ -59,10 +61,26 @@ class ParquetStore:
         conform(rows, _SCHEMAS[table]).write.mode("overwrite").parquet(
             self.batch_path(table, stream, batch_id))
 
-    def commit(self, stream: str, batch_id: int) -> None:
-        """Publish a batch; nothing of it is read before."""
-        self.spark.range(1).selectExpr("id done").write.mode("overwrite").parquet(
+    @property
+    def keys(self) -> KeyIndex:
+        return KeyIndex(self.spark, self.path("key_index"))
+
+    def commits(self) -> DataFrame:
+        """Committed batches, with the group of the key index that holds their keys."""
+        return self._raw("commits", _COMMIT)
+
+    def known_keys(self, keys: DataFrame, own: tuple[str, int]) -> DataFrame:
+        """Stored keys, without those of the batch ``own``; complete for the given ``keys`` (column ``key``)."""
+        return self.keys.lookup(keys, self.commits(), own)
+
+    def commit(self, stream: str, batch_id: int, keys: DataFrame | None = None) -> None:
+        """Publish a batch and the keys (column ``key``) it added; nothing of it is read before."""
+        group = None if keys is None else self.keys.add(keys, stream, batch_id)
+        named = "cast(null as string)" if group is None else text(group)
+        self.spark.range(1).selectExpr("id done", f"{named} key_group").write.mode("overwrite").parquet(
             self.batch_path("commits", stream, batch_id))
+        if group is not None:
+            self.keys.compact_if_due(self.commits())
 
     def counts(self) -> DataFrame:
         """Row counts of the five tables, zero for those never written."""

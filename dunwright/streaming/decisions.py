@@ -1,8 +1,10 @@
 """Event stream to decisions: parse, validate, quarantine, decide, audit, store.
 
-The stream itself keeps no state.  Exactly-once per idempotency key comes from the
-store: every micro-batch inserts only keys that no other committed batch of any stream
-stored, and a batch that runs again replaces its own output.  A stream is known by an id
+Exactly-once per idempotency key comes from the store: every micro-batch inserts only keys
+that no other committed batch of any stream stored (asked of the store's key index), and a
+batch that runs again replaces its own output.  With ``recent`` the stream also keeps the keys
+of the running time window as state, so that repeats soon after the first event never reach
+the store.  A stream is known by an id
 that is kept beside its checkpoint, so a new checkpoint never meets another's batches.
 Streams that share a store must not run at the same time: keys are compared with
 committed batches only.
@@ -13,7 +15,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType, TimestampType
 
@@ -23,6 +25,7 @@ from ..operators import decide, store as S
 from ..sources.store import ParquetStore
 
 EVENT_TEXT = "value string"
+FEED_PLACE = ("file_modification_time", "file_path", "file_block_start")
 QUARANTINE = StructType([
     StructField("raw_event_payload", StringType()), StructField("idempotency_key", StringType()),
     StructField("errors", ArrayType(StringType())), StructField("received_at", TimestampType())])
@@ -39,11 +42,15 @@ class DecisionStream:
     trace: TraceConfig = TraceConfig()
     policy: PolicyConfig = PolicyConfig()
     received_at: str = "current_timestamp()"  # SQL text; a literal makes runs repeatable
+    recent: str | None = None  # length of the windows of arrival in which repeats are dropped by state
 
-    def run(self, events: DataFrame, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-        """Start the stream of JSON text rows (column ``value``)."""
+    def run(self, events: DataFrame, checkpoint: str, available_now: bool = True,
+            mode: str = "append") -> StreamingQuery:
+        """Start the stream of JSON text rows (column ``value``); ``mode`` fits what was done to it before."""
         stream = stream_id(self.store.spark, checkpoint)
-        writer = (events.writeStream
+        if self.recent is not None:
+            events, mode = first_arrivals(events, self.recent), "update"
+        writer = (events.writeStream.outputMode(mode)
                   .foreachBatch(lambda raw, batch_id: self.process_batch(raw, batch_id, stream))
                   .option("checkpointLocation", checkpoint))
         return (writer.trigger(availableNow=True) if available_now else writer).start()
@@ -53,22 +60,29 @@ class DecisionStream:
 
         Rows without any key get a UUID, and times default to now; both are fixed by
         writing the parsed batch before anything else reads it.  Of the events with one key
-        the first in the feed wins: by file, place in the file and row.
+        the first in the feed wins: by time and name of its file, place in it, and row.
         """
         store = self.store
-        place = "file_path, file_block_start" if "file_path" in raw.columns else "1"
-        placed = raw.selectExpr("value", f"struct({place}, monotonically_increasing_id()) _place")
+        place = [*(c for c in FEED_PLACE if c in raw.columns), "monotonically_increasing_id()"]
+        placed = raw.selectExpr("value", f"struct({', '.join(place)}) _place")
         parsed = decide.resolve_idempotency(decide.parse_events(placed)).selectExpr(
             "*", f"{self.received_at} _received",
         ).selectExpr("* except (payment_id)", "coalesce(payment_id, uuid()) payment_id")
         incoming = _frozen(parsed, store.batch_path("incoming", stream, batch_id))
+        if incoming.isEmpty():  # a batch that only moves the watermark; nothing of it is ever read
+            return
         incoming.filter("not is_valid").selectExpr(
             "raw_event_payload", "idempotency_key", "errors", "_received received_at",
         ).write.mode("overwrite").parquet(store.batch_path("quarantine", stream, batch_id))
 
         own = (stream, batch_id)
-        known = store.read("payment_events", other_than=own).select("idempotency_key")
-        new = S.insert_if_absent(incoming.filter("is_valid"), known, ["idempotency_key"], ["_place"])
+        valid = incoming.filter("is_valid")
+        model_key = text(f"model|{self.model_name}|{self.model_version}")
+        known = store.known_keys(valid.selectExpr("concat('event|', idempotency_key) key").union(
+            store.spark.sql(f"select {model_key} key")), own)
+        new = S.insert_if_absent(
+            valid, known.filter("key like 'event|%'").selectExpr("substring(key, 7) idempotency_key"),
+            ["idempotency_key"], ["_place"])
         scored = decide.run_bounded_recovery(decide.score_payments(new), self.policy)
         traced = decide.decision_trace(
             scored.withColumnRenamed("decision_reason", "policy_reason"), self.trace)
@@ -82,12 +96,10 @@ class DecisionStream:
         store.write_batch("audit_records", S.audit_rows(decisions.join(
             decided.select("decision_id", "payment_id"), "decision_id")), *own)
         store.write_batch("recovery_outcomes", S.outcome_rows(decided, "_received"), *own)
-        versions = self.store.spark.sql(
-            f"select {text(self.model_name)} model_name, {text(self.model_version)} model_version")
-        stored_models = store.read("model_versions", other_than=own)
-        store.write_batch("model_versions", S.insert_if_absent(
-            S.model_rows(versions, self.received_at), stored_models,
-            ["model_name", "model_version"], ["model_version_id"]), *own)
+        versions = store.spark.sql(f"select {text(self.model_name)} model_name, "
+                                   f"{text(self.model_version)} model_version, {model_key} key")
+        new_models = versions.join(known, "key", "left_anti")
+        store.write_batch("model_versions", S.model_rows(new_models, self.received_at), *own)
         event_rows = S.event_rows(decided, "_received")
         store.write_batch("event_status_log", event_rows.selectExpr(
             "event_id", "inline(array(struct('RECEIVED' as processing_status, 0 as step),"
@@ -95,7 +107,8 @@ class DecisionStream:
             " struct('AUDIT_WRITTEN' as processing_status, 2 as step)))",
             "event_received_at changed_at"), *own)
         store.write_batch("payment_events", event_rows, *own)
-        store.commit(*own)
+        store.commit(*own, decided.selectExpr("concat('event|', idempotency_key) key").union(
+            new_models.select("key")))
 
 
 def _frozen(df: DataFrame, path: str) -> DataFrame:
@@ -126,11 +139,31 @@ def deduplicate(events: DataFrame, key: str = "idempotency_key", event_time: str
     return events.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([key])
 
 
+def first_arrivals(events: DataFrame, window: str, order: tuple[str, ...] | None = None) -> DataFrame:
+    """Of the valid events with one key in a window of arrival, the first one, in the batch it came in.
+
+    The rows keep ``events``' columns.  Time is the batch's own, so no event is ever late; a
+    window's keys leave the state once it is over, and a later repeat goes to the store like a new event.
+    Invalid events and events without a key all pass.  Events of one batch are ordered by ``order``
+    (by default place in the feed, then text).
+    """
+    order = order or tuple(c for c in (*FEED_PLACE, "value") if c in events.columns)
+    row = f"struct({', '.join(events.columns)}) _row"
+    keyed = decide.parse_events(events.selectExpr("value", row, f"struct({', '.join(order)}) _order"))
+    keyed = decide.resolve_idempotency(keyed).selectExpr(
+        "_row", "_order", "if(is_valid, concat('key|', idempotency_key), uuid()) _key",
+        "current_timestamp() _arrived")
+    return (keyed.withWatermark("_arrived", "0 seconds")
+            .groupBy("_key", F.window("_arrived", window)).agg(
+                F.expr("min_by(_row, _order) _row"), F.expr("min(_arrived) first"), F.expr("max(_arrived) last"))
+            .filter("first = last").select("_row.*"))  # in update mode, only keys that are new in this batch
+
+
 def read_event_stream(spark: SparkSession, folder: str, files_per_batch: int = 100) -> DataFrame:
     """JSON-lines files of a folder as a stream of text rows with their place in the feed."""
     return spark.readStream.schema(EVENT_TEXT).option(
         "maxFilesPerTrigger", files_per_batch).text(folder).selectExpr(
-        "value", "_metadata.file_path file_path", "_metadata.file_block_start file_block_start")
+        "value", *[f"_metadata.{c} {c}" for c in FEED_PLACE])
 
 
 def duplicate_answers(batch: DataFrame, store: ParquetStore) -> DataFrame:
