@@ -18,8 +18,8 @@ def audit_records(df: DataFrame, strategy: str, timestamp: str | None = None,
                   trace: TraceConfig = TraceConfig()) -> DataFrame:
     """17-column audit rows of scored or simulated payments.
 
-    Absent columns take their defaults; a caller-supplied timestamp makes the
-    audit ids repeatable.
+    Absent columns take their defaults, a supplied expected value stays as it is; a
+    caller-supplied timestamp makes the audit ids repeatable.
     """
     have = set(df.columns)
     or_else = lambda name, default: (
@@ -33,7 +33,7 @@ def audit_records(df: DataFrame, strategy: str, timestamp: str | None = None,
         "_moment": F.expr(moment),
         "_action": F.expr(action),
     }).withColumn("_value", F.expr(
-        f"cast({or_else('payment_amount', dec(0))} * _p as decimal(20,8))"))
+        f"cast({or_else('expected_recovery', or_else('payment_amount', dec(0)) + ' * _p')} as decimal(20,8))"))
     return base.selectExpr(
         f"{audit_id('_id', text(strategy), '_moment')} audit_id",
         "_id payment_id", "_moment timestamp", "_p model_probability",

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..config import BENCHMARK_ACTIONS, Bands, PolicyConfig, TraceConfig
+from ..config import BENCHMARK_ACTIONS, DEFAULT_STRATEGY, Bands, PolicyConfig, TraceConfig
 from ..functions import decisions as D, validation as V
-from ..functions.scalars import dec, keyed_uniform, text, truthy
+from ..functions.scalars import (
+    audit_id, dec, join_factors, keyed_uniform, stable_id, text, truthy, utc_text,
+)
 from .lookup import action_value
+from .ordering import materialize
+from .prioritize import with_priority
 
 
 def drop_identifiers(df: DataFrame) -> DataFrame:
@@ -32,9 +36,12 @@ def score_payments(df: DataFrame, bands: Bands = Bands()) -> DataFrame:
 
 
 def score_with_probability(df: DataFrame, probability: str, bands: Bands = Bands()) -> DataFrame:
-    """Attach decisions to a probability column that comes from any model."""
+    """Attach decisions to a model's probability (SQL text, see ``compiled.model_sql``).
+
+    An output that is no number gives a NULL probability.
+    """
     return with_decisions(df.withColumn("recovery_probability", F.expr(
-        f"cast(round(cast({probability} as double), 6) as decimal(7,6))")), bands)
+        f"try_cast(round(try_cast({probability} as double), 6) as decimal(7,6))")), bands)
 
 
 def apply_policy(scored: DataFrame, config: PolicyConfig = PolicyConfig()) -> DataFrame:
@@ -126,40 +133,68 @@ def parse_events(raw: DataFrame, value: str = "value") -> DataFrame:
                              "recovery_attempts_so_far", "is_subscription")])
 
 
-_STORED = ("struct<recommended_action:string,recovery_priority:string,"
+_ANSWER = ("struct<recommended_action:string,recovery_priority:string,"
            "model_probability:double,expected_recovery:double>")
 
 
 def respond(events: DataFrame, known: DataFrame | None = None,
             trace: TraceConfig = TraceConfig(), policy: PolicyConfig = PolicyConfig(),
-            model_version: str = "unversioned") -> DataFrame:
+            model_version: str = "unversioned", probability: str | None = None,
+            order: tuple[str, ...] | None = None, strategy: str = DEFAULT_STRATEGY,
+            answered_at: str | None = None) -> DataFrame:
     """One nested response per validated event (success, error or duplicate).
 
-    ``known`` holds stored decisions by ``idempotency_key`` (see
-    ``store.stored_decisions``); events found there answer with the stored decision.
+    ``known`` holds stored decisions by ``idempotency_key`` (see ``store.stored_decisions``); events found
+    there answer with the stored decision.  With ``order`` (columns that order the feed) an event that
+    comes after an answered one of the same key answers with that one's decision.  ``probability``
+    is a model as SQL text; without it the scorecard decides.  ``answered_at`` is a moment in ISO text.
     """
-    decided = run_bounded_recovery(score_payments(resolve_idempotency(events)), policy)
+    model = probability or D.scorecard_probability()
+    resolved = resolve_idempotency(events).selectExpr("*", f"try_cast({model} as double) _output")
+    scored = score_payments(resolved) if probability is None else score_with_probability(resolved, "_output")
+    decided = run_bounded_recovery(scored, policy)
     traced = decision_trace(decided.withColumnRenamed("decision_reason", "policy_reason"), trace)
-    if known is None:
-        answered = traced.selectExpr("*", f"cast(null as {_STORED}) _stored")
-    else:
-        stored = known.selectExpr(
+    answered = traced.selectExpr("*", f"cast(null as {_ANSWER}) _stored") if known is None else traced.join(
+        known.selectExpr(
             "idempotency_key", "named_struct('recommended_action', recommended_action,"
             " 'recovery_priority', recovery_priority,"
             " 'model_probability', cast(model_probability as double),"
-            " 'expected_recovery', cast(expected_recovery as double)) _stored")
-        answered = traced.join(stored, "idempotency_key", "left")
-
-    flagged = answered.selectExpr(
-        "*", "_stored is not null _duplicate",
-        f"case when is_valid and _stored is null then "
-        f"{V.probability_error('recovery_probability')} end _bad_output",
-    ).selectExpr("*", "is_valid and not _duplicate and _bad_output is null _fresh")
+            " 'expected_recovery', cast(expected_recovery as double)) _stored"), "idempotency_key", "left")
+    checked = answered.selectExpr("*", f"{V.probability_error('_output')} _complaint")
+    flagged = (checked.withColumn("_repeated", F.lit(False)) if order is None
+               else _repeats(checked, order)).selectExpr(
+        "*", "is_valid and (_stored is not null or _repeated) _duplicate").selectExpr(
+        "*", "case when is_valid and not _duplicate then _complaint end _bad_output").selectExpr(
+        "*", "is_valid and not _duplicate and _bad_output is null _fresh")
+    return _responses(with_priority(flagged), model_version, strategy, answered_at)
+
+
+def _repeats(checked: DataFrame, order: tuple[str, ...]) -> DataFrame:
+    """Flag events after the first answered one of their key, and hand them its decision.
+
+    Written once, with row numbers that tell copies apart; the first of each key is found by a
+    combining aggregate.
+    """
+    rows = materialize(checked.selectExpr("*", f"struct({', '.join(order)}, monotonically_increasing_id()) _place"))
+    answer = ("named_struct('recommended_action', recommended_action, 'recovery_priority', priority,"
+              " 'model_probability', cast(recovery_probability as double),"
+              " 'expected_recovery', cast(expected_recovery as double))")
+    first = rows.filter("is_valid and _complaint is null and _stored is null").groupBy("idempotency_key").agg(
+        F.expr("min(_place) _first"), F.expr(f"min_by({answer}, _place) _answer"))
+    return rows.join(first, "idempotency_key", "left").selectExpr(
+        "* except (_first, _answer, _stored)", "coalesce(_place > _first, false) _repeated",
+        "coalesce(_stored, case when _place > _first then _answer end) _stored")
+
+
+def _responses(flagged: DataFrame, model_version: str, strategy: str, answered_at: str | None) -> DataFrame:
     fresh = lambda fields: f"case when _fresh then struct({fields}) end"
     either = lambda stored, new: (
         f"case when _duplicate then struct({stored}) when _fresh then struct({new}) end")
     as_double = lambda c: f"cast({c} as double) {c}"
-    return flagged.selectExpr(
+    moment = text(answered_at) if answered_at else utc_text()
+    event_id = stable_id("event", "idempotency_key")
+    decision_id = stable_id("decision", event_id, text(strategy))
+    return flagged.selectExpr("*", f"{moment} _moment").selectExpr(
         "struct(payment_id, customer_id, idempotency_key, idempotency_key_source) event_identity",
         "struct(is_valid and _bad_output is null as is_valid,"
         " case when _bad_output is not null then array(_bad_output) else errors end as errors)"
@@ -177,9 +212,20 @@ def respond(events: DataFrame, known: DataFrame | None = None,
               " policy_reason as decision_reason, simulated_recovered, action_cost,"
               " recovered_amount, net_recovered_revenue, verification_status, final_state,"
               " state_history") + " bounded_recovery",
-        "struct(_duplicate as is_duplicate) persistence",
+        fresh("priority_value, priority_tier, priority_explanation") + " business_priority",
+        fresh(f"{audit_id('payment_id', text(strategy), '_moment')} as audit_id, payment_id,"
+              " _moment as timestamp, recovery_probability as model_probability,"
+              " priority as recovery_priority, recommended_action, selected_threshold as decision_threshold,"
+              " effective_retry_cost, expected_recovery, expected_retry_net_value, decision_reason,"
+              f" {join_factors('key_input_factors')} as key_input_factors, {text(strategy)} as strategy_name,"
+              " simulated_recovered, recovered_amount as simulated_recovered_revenue, action_cost,"
+              " net_recovered_revenue") + " audit_record",
+        f"struct(_duplicate as is_duplicate, case when _duplicate or _fresh then {event_id} end as event_id,"
+        f" case when _fresh then {decision_id} end as decision_id,"
+        " case when _duplicate then 'duplicate_detected' when _fresh then 'new' end as idempotency_status)"
+        " persistence",
         "struct(case when not is_valid or _bad_output is not null then 'error'"
         " when _duplicate then 'duplicate' else 'success' end as status,"
         " case when not is_valid then 'validation_error'"
         " when _bad_output is not null then 'model_output_error' end as error_type,"
-        f" {text(model_version)} as model_version) processing_metadata")
+        f" _moment as timestamp_utc, {text(model_version)} as model_version) processing_metadata")

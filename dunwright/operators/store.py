@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
+from ..config import DEFAULT_STRATEGY
 from ..functions.scalars import audit_id, stable_id, text, utc_text
 from ..schemas import (
     AUDIT_RECORDS, MODEL_VERSIONS, PAYMENT_EVENTS, RECOVERY_DECISIONS, RECOVERY_OUTCOMES,
@@ -15,7 +16,6 @@ from ..schemas import (
 from .lookup import rows_of
 from .ordering import materialize
 
-DEFAULT_STRATEGY = "Rule-Based Real-Time Default"
 OUTCOME_NOTE = "Synthetic simulation assumption, not a real transaction."
 
 

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.decisions import scorecard_probability
 from ..functions.scalars import join_factors
 from ..operators import decide as D, prioritize as P
 from ..operators.decide import parse_events, respond
 from ..operators.monitoring import expected_by_priority, priority_distribution
+from ..operators.store import first_per_key
 from ..sources.readers import to_json_events
 from .registry import Tables, digits, money, query, whole
 
@@ -238,3 +240,58 @@ def event_responses(t: Tables) -> DataFrame:
         "explanation.decision_reason", "bounded_recovery.policy_decision",
         "bounded_recovery.selected_action", "bounded_recovery.decision_reason policy_reason",
         "concat_ws(' > ', bounded_recovery.state_history) path")
+
+
+# A feed with everything in it: two payments in a row share a key, every eleventh amount is invalid, the model
+# fails on every thirteenth event, and keys of the first ten days are stored.
+_NUMBER = "cast(substring(payment_id, 5) as bigint)"
+_SHARED_KEY = f"concat('key-', cast({_NUMBER} - {_NUMBER} % 25 as string))"
+_FAILING_MODEL = f"case when {_NUMBER} % 13 = 0 then double('NaN') else {scorecard_probability()} end"
+
+
+@query("event_answers", f""", feed AS (
+  SELECT *, {_SHARED_KEY} AS key, event_id % 11 <> 0 AS valid, event_id % 13 = 0 AS bad FROM scored
+), stored AS (
+  SELECT key, recommended_action, priority, p, expected_recovery FROM feed
+  WHERE failed_at < timestamp '2024-01-11 00:00:00'
+  QUALIFY row_number() OVER (PARTITION BY key ORDER BY failed_at, payment_id) = 1
+), judged_feed AS (
+  SELECT f.*, s.key IS NOT NULL AS known, s.recommended_action AS s_action, s.p AS s_p,
+    row_number() OVER (ORDER BY f.failed_at, f.payment_id) AS place
+  FROM feed f LEFT JOIN stored s ON s.key = f.key
+), first AS (
+  SELECT key, min(place) AS place, min_by(recommended_action, place) AS action, min_by(p, place) AS p
+  FROM judged_feed WHERE valid AND NOT bad AND NOT known GROUP BY key
+), answered AS (
+  SELECT j.*, CASE WHEN NOT valid THEN 'validation_error' WHEN known OR j.place > coalesce(f.place, j.place)
+      THEN 'duplicate' WHEN bad THEN 'model_output_error' ELSE 'success' END AS answer,
+    f.action AS f_action, f.p AS f_p FROM judged_feed j LEFT JOIN first f ON f.key = j.key)
+SELECT a.payment_id, CASE WHEN answer LIKE '%error' THEN 'error' ELSE answer END AS status,
+  CASE WHEN answer LIKE '%error' THEN answer END AS error_type,
+  CASE answer WHEN 'success' THEN a.p WHEN 'duplicate' THEN coalesce(s_p, f_p) END AS recovery_probability,
+  CASE answer WHEN 'success' THEN a.recommended_action WHEN 'duplicate' THEN coalesce(s_action, f_action) END
+    AS recommended_action,
+  CASE WHEN answer = 'success' THEN t.tier END AS priority_tier,
+  CASE WHEN answer = 'success' THEN substr(sha256(a.payment_id
+    || '_Rule-Based Real-Time Default_2024-02-01T00:00:00.000000+00:00'), 1, 16) END AS audit_id,
+  CASE WHEN answer IN ('success', 'duplicate') THEN substr(sha256('event|' || a.key), 1, 32) END AS event_id,
+  CASE answer WHEN 'model_output_error' THEN 'prediction probability must be finite'
+    WHEN 'validation_error' THEN 'payment_amount must be greater than 0' END AS complaint
+FROM answered a JOIN tiered t ON t.payment_id = a.payment_id""")
+def event_answers(t: Tables) -> DataFrame:
+    """Valid, invalid, repeated, stored and failing events through the single-event response."""
+    feed = t.scored.selectExpr("*", f"{_SHARED_KEY} idempotency_key")
+    known = first_per_key(feed.filter("failed_at < timestamp '2024-01-11 00:00:00'").selectExpr(
+        "idempotency_key", "recommended_action", "priority recovery_priority",
+        "recovery_probability model_probability", "expected_recovery", "failed_at", "payment_id"),
+        ["idempotency_key"], ["failed_at", "payment_id"])
+    rows = feed.selectExpr(
+        "struct(failed_at) _at", "idempotency_key", *[c for c in _PAYLOAD if c != "payment_amount"],
+        f"if({_NUMBER} % 11 = 0, -1, payment_amount) payment_amount")
+    parsed = parse_events(rows.selectExpr("to_json(struct(* except (_at))) value", "_at.failed_at failed_at"))
+    answers = respond(parsed, known, probability=_FAILING_MODEL, order=("failed_at", "payment_id"),
+                      answered_at="2024-02-01T00:00:00.000000+00:00")
+    return answers.selectExpr(
+        "event_identity.payment_id", "processing_metadata.status", "processing_metadata.error_type",
+        "prediction.recovery_probability", "decision.recommended_action", "business_priority.priority_tier",
+        "audit_record.audit_id", "persistence.event_id", "get(validation.errors, 0) complaint")

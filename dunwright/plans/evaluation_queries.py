@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
-from ..operators import evaluation as E, learning as ML
+from ..operators import compiled, evaluation as E, learning as ML
 from ..operators.ordering import materialize, shared_folder
 from .registry import Tables, digits, money, query, whole
 
@@ -225,3 +225,69 @@ def batch_score_model(t: Tables) -> DataFrame:
     scored = ML.batch_score(path, t.payments)
     return scored.selectExpr("payment_id", "cast(recovery_probability as double) recovery_probability",
                              money("expected_recovery"), "priority", "recommended_action")
+
+
+# --- fitted models as SQL text and in the selection rules; the oracles state what holds of any fit --------
+
+
+@query("compiled_model_scores", """
+SELECT payment_id, true AS logistic, true AS boosted, true AS calibrated FROM payments""")
+def compiled_model_scores(t: Tables) -> DataFrame:
+    """Whether the compiled text gives what the fitted pipeline gives, on every row."""
+    train, _ = _split(t)
+    train, rows = materialize(train), materialize(t.payments)
+    models = {"logistic": ML.train_logistic(train), "boosted": ML.train_boosted(train, trees=10)}
+    for name, model in models.items():
+        rows = ML.predict(model, rows, f"_{name}")
+    models["calibrated"] = ML.train_calibrated(train)
+    rows = models["calibrated"].transform(rows, "_calibrated")
+    return rows.selectExpr("payment_id", *[
+        f"abs({compiled.model_sql(model)} - _{name}) < 1e-12D {name}" for name, model in models.items()])
+
+
+@query("fitted_champion", _FOLDS_SQL + """
+SELECT count(*) AS test_rows, true AS best, true AS incumbent_unless_beaten FROM folded WHERE fold = 0""")
+def fitted_champion(t: Tables) -> DataFrame:
+    """The selection rule on the hold-out metrics of the logistic model and the boosted trees."""
+    train, test = _split(t)
+    train, test = materialize(train), materialize(test)
+    models = {"Logistic Regression": ML.train_logistic(train), "Boosted Trees": ML.train_boosted(train, trees=20)}
+    scores = ", ".join(f"struct('{n}' as model, {compiled.model_sql(m)} as model_score)" for n, m in models.items())
+    scored = materialize(test.selectExpr("recovered", f"inline(array({scores}))"))
+    metrics = materialize(E.all_metrics(scored, score="model_score", by=["model"]))
+    chosen = E.champion(metrics, "Logistic Regression").selectExpr("champion", "roc_auc best_auc")
+    lr = "max(case when model = 'Logistic Regression' then roc_auc end)"
+    rows = test.agg(F.expr("count(1) test_rows"))
+    sums = metrics.agg(F.expr("max(roc_auc) top"), F.expr(f"{lr} lr"))
+    return rows.join(sums).join(chosen).selectExpr(  # three tables of one row
+        "test_rows", "best_auc = top best", "(champion = 'Logistic Regression') = (lr = top) incumbent_unless_beaten")
+
+
+@query("fitted_calibration", _FOLDS_SQL + """
+SELECT (SELECT count(*) FROM folded) AS scored_rows, true AS in_range, true AS accepted_if_lower,
+  true AS refit_if_well_lower""")
+def fitted_calibration(t: Tables) -> DataFrame:
+    """The acceptance rule on cross-validated scores of the plain and the calibrated logistic model."""
+    scores = ML.cross_validated_scores(t.payments, folds=3)
+    summary = materialize(E.fold_summary(ML.cross_validation_metrics(scores)))
+    verdict = E.calibration_verdict(summary, ML.PLAIN, ML.CALIBRATED)
+    rows = scores.agg(F.expr(f"count_if(model = '{ML.CALIBRATED}') scored_rows"),
+                      F.expr("bool_and(model_score between 0 and 1) in_range"))
+    return rows.join(verdict).selectExpr(  # two tables of one row
+        "scored_rows", "in_range", "calibration_accepted = (calibrated_brier < plain_brier) accepted_if_lower",
+        "refit = (plain_brier - calibrated_brier > 0.001D) refit_if_well_lower")
+
+
+def _feature_names_sql() -> str:
+    numbers = " UNION ALL ".join(f"SELECT '{c}' AS feature" for c in ML.NUMERIC_FEATURES)
+    values = " UNION ALL ".join(f"SELECT DISTINCT '{c}=' || {c} FROM payments" for c in ML.CATEGORICAL_FEATURES)
+    return f"SELECT feature, true AS mean_of_shares FROM ({numbers} UNION ALL {values})"
+
+
+@query("model_attribution", _feature_names_sql())
+def model_attribution(t: Tables) -> DataFrame:
+    """Attribution of a fitted pipeline: a feature per number and category, none negative."""
+    payments = materialize(t.payments)
+    model = ML.train_logistic(payments)
+    return E.linear_attribution(payments, compiled.linear_coefficients(model)).selectExpr(
+        "feature", "importance >= 0 mean_of_shares")

@@ -20,6 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType, TimestampType
 
 from ..config import PolicyConfig, TraceConfig
+from ..functions import decisions as D, validation as V
 from ..functions.scalars import stable_id, text
 from ..operators import decide, store as S
 from ..sources.store import ParquetStore
@@ -42,6 +43,7 @@ class DecisionStream:
     trace: TraceConfig = TraceConfig()
     policy: PolicyConfig = PolicyConfig()
     received_at: str = "current_timestamp()"  # SQL text; a literal makes runs repeatable
+    probability: str | None = None  # a fitted model as SQL text (see compiled.model_sql), or the scorecard
     recent: str | None = None  # length of the windows of arrival in which repeats are dropped by state
 
     def run(self, events: DataFrame, checkpoint: str, available_now: bool = True,
@@ -71,19 +73,24 @@ class DecisionStream:
         incoming = _frozen(parsed, store.batch_path("incoming", stream, batch_id))
         if incoming.isEmpty():  # a batch that only moves the watermark; nothing of it is ever read
             return
-        incoming.filter("not is_valid").selectExpr(
-            "raw_event_payload", "idempotency_key", "errors", "_received received_at",
-        ).write.mode("overwrite").parquet(store.batch_path("quarantine", stream, batch_id))
-
         own = (stream, batch_id)
-        valid = incoming.filter("is_valid")
+        model = self.probability or D.scorecard_probability()
+        checked = incoming.selectExpr("*", f"case when is_valid then {model} end _output").selectExpr(
+            "*", f"case when is_valid then {V.probability_error('_output')} end _complaint")
+        checked.filter("not is_valid or _complaint is not null").selectExpr(
+            "raw_event_payload", "idempotency_key", "if(is_valid, array(_complaint), errors) errors",
+            "_received received_at",
+        ).write.mode("overwrite").parquet(store.batch_path("quarantine", stream, batch_id))
+        valid = checked.filter("is_valid and _complaint is null").drop("_complaint")
         model_key = text(f"model|{self.model_name}|{self.model_version}")
         known = store.known_keys(valid.selectExpr("concat('event|', idempotency_key) key").union(
             store.spark.sql(f"select {model_key} key")), own)
         new = S.insert_if_absent(
             valid, known.filter("key like 'event|%'").selectExpr("substring(key, 7) idempotency_key"),
             ["idempotency_key"], ["_place"])
-        scored = decide.run_bounded_recovery(decide.score_payments(new), self.policy)
+        scored = decide.run_bounded_recovery(
+            decide.score_payments(new) if self.probability is None
+            else decide.score_with_probability(new, "_output"), self.policy)
         traced = decide.decision_trace(
             scored.withColumnRenamed("decision_reason", "policy_reason"), self.trace)
         model_id = stable_id("model", text(self.model_name), text(self.model_version))
