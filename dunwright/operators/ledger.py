@@ -13,8 +13,9 @@ from ..config import (
     CostModel, PolicyConfig,
 )
 from ..functions import decisions as D
-from ..functions.scalars import clip, dec, keyed_uniform, ratio, text, texts
+from ..functions.scalars import clip, dec, double, keyed_uniform, ratio, text, texts
 from .lookup import action_value, rows_of
+from .strategy import THRESHOLDS, optimal_threshold, sweep_profile
 
 # Strategy names as reported.
 SIMULATED_STRATEGIES = (
@@ -137,6 +138,90 @@ def benchmark_ledger(scored: DataFrame, threshold: Column | float,
                     f"if(state_history is null, 0, {D.invalid_steps('state_history')}) invalid_steps"))
 
 
+def outcome_cube(scored: DataFrame, config: PolicyConfig = PolicyConfig()) -> DataFrame:
+    """Observed outcomes counted by everything a strategy can depend on, in one pass over the payments.
+
+    A row for every (thresholds reached, band's action, policy verdict, label): some hundreds, whatever the
+    size of the input.  Strategies are folds of these rows; nothing is multiplied or drawn.
+    """
+    p = "recovery_probability"
+    recommended = "recommended_action" if "recommended_action" in scored.columns else text(RETRY)
+    verdict = D.policy(p, "recovery_attempts_so_far", "payment_amount", D.payment_value(), recommended, config)
+    steps = ", ".join(map(double, THRESHOLDS))
+    return scored.selectExpr(
+        "payment_amount", f"{D.payment_value()} v", "recovery_attempts_so_far attempts",
+        "coalesce(recovered = 1, false) recovered", f"{verdict} _policy",
+        f"size(filter(array({steps}), t -> cast({p} as double) >= t)) bucket",
+        f"{D.band(p, RETRY, REMINDER, STOP)} band_action").groupBy(
+        "bucket", "band_action", "_policy.policy_decision", "_policy.selected_action", "_policy.reason_code",
+        "recovered").agg(*[F.expr(e) for e in (
+            "count(1) n", "sum(payment_amount) amount", "sum(v) v", "max(attempts) attempts")])
+
+
+def cube_threshold(cube: DataFrame, cost: float = 50.0) -> Column:
+    """The best retry threshold as a scalar subquery on the cube."""
+    best = optimal_threshold(sweep_profile(cube.select("bucket", "n", "v"), (cost,)))
+    return best.select("threshold").scalar()
+
+
+def observed_benchmark(cube: DataFrame, threshold: Column | float,
+                       config: PolicyConfig = PolicyConfig()) -> DataFrame:
+    """The benchmark row of each strategy on observed outcomes (``outcome_source`` REAL).
+
+    A payment counts as recovered under a strategy when it was recovered and the strategy's action is
+    executed and can recover at all.
+    """
+    a, b, c, d = BENCHMARK_STRATEGIES
+    none = "cast(null as string)"
+    choice = lambda name, action, *verdict: (
+        f"struct({text(name)} as strategy, {action} as action, {verdict[0] if verdict else none} as decision,"
+        f" {verdict[1] if verdict else none} as code)")
+    choices = ", ".join([
+        choice(a, text(RETRY)), choice(b, "band_action"),
+        choice(c, f"if(bucket >= _reached, {text(RETRY)}, {text(STOP)})"),
+        choice(d, "selected_action", "policy_decision", "reason_code")])
+    reached = ", ".join(map(double, THRESHOLDS))
+    path = D.state_path("decision", "hit")
+    rows = (
+        _with_threshold(cube, threshold)
+        .selectExpr("*", f"size(filter(array({reached}), t -> t <= _threshold)) _reached")
+        .selectExpr("n", "amount", "attempts", "recovered", f"inline(array({choices}))")
+        .selectExpr("*", "decision is null or decision = 'ALLOWED' executed")
+        .selectExpr(
+            "*", f"executed and recovered and {action_value('action', BENCHMARK_ACTIONS, 1, 3)} > 0 hit",
+            f"case when executed then {action_value('action', BENCHMARK_ACTIONS, 0)} else {dec(0, 10, 2)} end cost")
+        .selectExpr("*", f"case when decision is not null then {path} end path")
+        .selectExpr("* except (path)", "element_at(path, -1) final_state",
+                    f"if(path is null, 0, {D.invalid_steps('path')}) invalid_steps"))
+    counted = lambda condition: f"coalesce(sum(case when {condition} then n end), 0L)"
+    bounded = "decision is not null"
+    sums = rows.groupBy("strategy").agg(*[F.expr(e) for e in (
+        "sum(n) total_payments",
+        f"{counted('hit')} recovered_payments",
+        "sum(amount) total_payment_value",
+        f"coalesce(sum(case when hit then amount end), {dec(0)}) simulated_recovered_revenue",
+        "sum(cost * n) action_cost",
+        f"{counted(f'action = {text(RETRY)}')} retry_count",
+        f"{counted(f'action = {text(REMINDER)}')} reminder_count",
+        f"{counted(f'action = {text(MANUAL_REVIEW)}')} manual_review_count",
+        f"{counted(f'action not in ({texts((RETRY, REMINDER, MANUAL_REVIEW))})')} stopped_count",
+        f"{counted('executed')} verified_outcome_count",
+        f"coalesce(cast(max(case when {bounded} then attempts end) as bigint), 0L) "
+        "maximum_existing_attempts_observed",
+        *[f"{counted(condition)} {name}" for name, condition in (
+            ("stopped_by_prob_threshold", "code = 'LOW_PROBABILITY'"),
+            ("stopped_by_econ_viability", "code = 'LOW_VALUE'"),
+            ("routed_to_manual_review", "decision = 'MANUAL_REVIEW'"),
+            ("stopped_by_max_attempts", "code = 'MAX_ATTEMPTS'"),
+            ("outcomes_verified", f"{bounded} and executed"),
+            ("outcomes_closed", "final_state = 'CLOSED'"),
+            ("outcomes_stopped", "final_state = 'STOPPED'"),
+            ("outcomes_manual_review", "final_state = 'MANUAL_REVIEW'"),
+            ("outcomes_pending", f"{bounded} and not executed"))],
+        "sum(invalid_steps * n) invalid_state_transitions")])
+    return _benchmark_columns(sums, config).selectExpr("*", "'REAL' outcome_source")
+
+
 def strategy_benchmark(ledger: DataFrame, config: PolicyConfig = PolicyConfig()) -> DataFrame:
     """The 31-column benchmark row of each strategy."""
     bounded = "policy_decision is not null"
@@ -163,6 +248,10 @@ def strategy_benchmark(ledger: DataFrame, config: PolicyConfig = PolicyConfig())
         "count_if(final_state = 'MANUAL_REVIEW') outcomes_manual_review",
         f"count_if({bounded} and not verified) outcomes_pending",
         "sum(invalid_steps) invalid_state_transitions")])
+    return _benchmark_columns(sums, config)
+
+
+def _benchmark_columns(sums: DataFrame, config: PolicyConfig) -> DataFrame:
     net, at_risk = "simulated_recovered_revenue - action_cost", "total_payment_value"
     return sums.selectExpr(
         "*", f"{at_risk} revenue_at_risk", f"{net} net_recovered_revenue",

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..config import PRIORITIES
 from ..functions.scalars import double
 from .lookup import densify
-from .ordering import exact_percentiles, materialize
+from .ordering import exact_percentiles, materialize, materialize_observed
 
 NUMERIC_DRIFT = ("payment_amount", "customer_tenure_months", "historical_success_rate")
 CATEGORICAL_DRIFT = ("failure_reason", "payment_method", "is_subscription")
@@ -53,9 +53,8 @@ def expected_by_priority(scored: DataFrame) -> DataFrame:
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     """Counts and shares of a column's values (the total runs over the counted values)."""
-    counts = df.groupBy(column).agg(F.expr("count(1) n"))
-    return counts.withColumn("total", counts.agg(F.expr("sum(n)")).scalar()).selectExpr(
-        column, "n", "n / total share")
+    counts, seen = materialize_observed(df.groupBy(column).agg(F.expr("count(1) n")), total="sum(n)")
+    return counts.selectExpr(column, "n", f"n / {seen.total or 0}L share")
 
 
 def distinct_values(df: DataFrame, column: str) -> DataFrame:
@@ -159,11 +158,10 @@ def recovery_rates(df: DataFrame, dimensions: tuple[str, ...] = CATEGORICAL_DRIF
 
 
 def _with_span(df: DataFrame, value: str, keep: list[str]) -> DataFrame:
-    """Rows ``x`` plus the column's extremes as ``lo`` and ``hi``."""
-    rows = df.selectExpr(f"{value} x", *keep)
-    span = rows.agg(F.expr("struct(min(x) lo, max(x) hi)")).scalar()
-    return rows.filter("x is not null").withColumn("_span", span).selectExpr(
-        "* except (_span)", "_span.lo", "_span.hi")
+    """Rows ``x`` plus the column's extremes as ``lo`` and ``hi``, seen while the rows are written once."""
+    rows, seen = materialize_observed(df.selectExpr(f"{value} x", *keep).filter("x is not null"),
+                                      lo="min(x)", hi="max(x)")
+    return rows.withColumns({"lo": F.lit(seen.lo).cast("double"), "hi": F.lit(seen.hi).cast("double")})
 
 
 def recovery_by_bin(df: DataFrame, column: str = "historical_success_rate", bins: int = 10

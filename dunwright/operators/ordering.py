@@ -16,7 +16,7 @@ import tempfile
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession, functions as F
 
 from ..functions.scalars import text
 
@@ -46,6 +46,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_observed(df: DataFrame, **totals: str) -> tuple[DataFrame, Row]:
+    """Write a table once; ``totals`` (name = aggregate as SQL text) are taken from the rows as they pass."""
+    seen = Observation()
+    written = materialize(df.observe(seen, *[F.expr(f"{e} {name}") for name, e in totals.items()]))
+    return written, Row(**seen.get)
+
+
 def _numbered(df: DataFrame, order: list[Column]) -> DataFrame:
     """Rows with ``_part`` and ``_row``: their place in the given global order."""
     ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import DataFrame, functions as F
@@ -11,7 +13,7 @@ from ..config import (
     EVENT_STATUSES, FAILURE_REASONS, OUTCOME_SOURCES, PAYMENT_METHODS, PRIORITIES, STATE_EDGES,
 )
 from ..functions import validation as V
-from ..functions.scalars import double, texts
+from ..functions.scalars import double, text, texts
 from .lookup import rows_of
 
 
@@ -146,6 +148,45 @@ def orphans(child: DataFrame, key: str, parent: DataFrame, parent_key: str | Non
     return refs.join(parent.selectExpr(f"{parent_key or key} {key}"), key, "left_anti")
 
 
+@dataclass(frozen=True)
+class Reference:
+    """A foreign key: ``child.key`` must be among the values of its domain's parent."""
+
+    name: str
+    child: DataFrame
+    key: str
+    domain: str
+
+
+def all_orphans(references: list[Reference], parents: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """Rows ``(reference, key, rows)`` of keys without a parent, over all foreign keys at once.
+
+    ``parents`` maps a domain to its table and key.  Parents and children are one tagged union: an
+    aggregation by (domain, key) counts every reference and notes the parent, so each table is read once
+    and each key meets its parent in one shuffle, combined before it.  NULL keys are allowed.
+    """
+    names = [r.name for r in references]
+    none = ", ".join("0L" for _ in names)
+    sides = [table.selectExpr(f"{text(domain)} domain", f"cast({key} as string) key", "1 found", f"array({none}) n")
+             for domain, (table, key) in parents.items()]
+    for r in references:
+        own = ", ".join("1L" if n == r.name else "0L" for n in names)
+        sides.append(r.child.selectExpr(f"{text(r.domain)} domain", f"cast({r.key} as string) key", "0 found",
+                                        f"array({own}) n"))
+    counted = reduce(DataFrame.unionByName, sides).filter("key is not null").groupBy("domain", "key").agg(
+        F.expr("max(found) found"), *[F.expr(f"sum(n[{i}]) n{i}") for i in range(len(names))])
+    rows = ", ".join(f"struct({text(n)} as reference, n{i} as rows)" for i, n in enumerate(names))
+    return counted.filter("found = 0").selectExpr("key", f"inline(array({rows}))").filter(
+        "rows > 0").select("reference", "key", "rows")
+
+
+def all_constraints(tables: dict[str, tuple[DataFrame, dict[str, str]]]) -> DataFrame:
+    """Rows ``(table, constraint, violations)`` of several tables, each read once."""
+    return reduce(DataFrame.unionByName, [
+        constraint_report(df, checks).selectExpr(f"{text(name)} table", "constraint", "violations")
+        for name, (df, checks) in tables.items()])
+
+
 def path_transitions(paths: DataFrame, states: str = "state_history") -> DataFrame:
     """Counted state changes ``(from_state, to_state, transitions)`` of array paths.
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..config import CostModel
 from ..operators import ledger as L
 from ..operators.lookup import action_dimension, join_actions
+from ..operators.ordering import materialize
 from ..operators.strategy import optimal_threshold_value
 from .registry import Tables, digits, money, query, whole
 
@@ -129,8 +130,8 @@ _BENCH_SQL = """, picked AS (
 ), run AS (
   SELECT *, NOT bounded OR policy_decision = 'ALLOWED' AS executed FROM picked
 ), paid AS (
-  SELECT *, executed AND draw < p * (CASE action WHEN 'Retry Payment' THEN 1.0
-      WHEN 'Payment Method Reminder' THEN 0.5 WHEN 'Manual Review' THEN 0.75 ELSE 0.0 END)::DOUBLE AS hit,
+  SELECT *, executed AND recovered = 1
+      AND action IN ('Retry Payment', 'Payment Method Reminder', 'Manual Review') AS hit,
     CASE WHEN NOT executed THEN 0 WHEN action = 'Retry Payment' THEN 50
       WHEN action = 'Payment Method Reminder' THEN 1 WHEN action = 'Manual Review' THEN 100 ELSE 0 END AS cost
   FROM run
@@ -171,8 +172,8 @@ _SUMS = ["total_payment_value", "revenue_at_risk", "simulated_recovered_revenue"
 
 
 def _benchmark(t: Tables) -> DataFrame:
-    return L.strategy_benchmark(
-        L.benchmark_ledger(t.scored_table, optimal_threshold_value(t.scored_table)))
+    cube = materialize(L.outcome_cube(t.scored))
+    return L.observed_benchmark(cube, L.cube_threshold(cube))
 
 
 @query("strategy_benchmark", _BENCH_SQL + f"""
@@ -185,12 +186,12 @@ SELECT strategy, {', '.join(_COUNTS)}, {money('at_risk', 'total_payment_value')}
   {digits('cost::DOUBLE / total_payments', 'average_action_cost')},
   {digits('verified_outcome_count::DOUBLE / total_payments', 'verification_rate')},
   {digits('(gross - cost)::DOUBLE / at_risk::DOUBLE', 'recovery_efficiency')},
-  2::BIGINT AS configured_maximum_automatic_attempts, 0::BIGINT AS invalid_state_transitions
-FROM bench""")
+  2::BIGINT AS configured_maximum_automatic_attempts, 0::BIGINT AS invalid_state_transitions,
+  'REAL' AS outcome_source FROM bench""")
 def strategy_benchmark(t: Tables) -> DataFrame:
     return _benchmark(t).selectExpr(
         "strategy", *_COUNTS, *[money(c) for c in _SUMS], *[digits(c) for c in _RATIOS],
-        "configured_maximum_automatic_attempts", "invalid_state_transitions")
+        "configured_maximum_automatic_attempts", "invalid_state_transitions", "outcome_source")
 
 
 @query("guardrail_counts", _BENCH_SQL + f"""

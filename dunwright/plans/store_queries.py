@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..config import RETRY
-from ..functions.scalars import join_factors, split_factors, stable_id
+from ..functions.scalars import join_factors, split_factors, stable_id, text
 from ..operators import audit as A, decide as D, ledger as L, quality as Q, store as S
 from ..operators.ordering import materialize
 from ..operators.strategy import optimal_threshold_value
@@ -263,6 +263,64 @@ def orphan_rows(t: Tables) -> DataFrame:
     return Q.orphans(t.payments, "customer_id", parents)
 
 
+# Stored tables that no longer fit each other: some events, one model version and some decisions are gone.
+_STORED_SQL = _DECIDED_SQL + """, stored AS (
+  SELECT *, substr(sha256('model|scorecard|v' || step), 1, 32) AS model_id FROM decisions
+), kept_decisions AS (SELECT * FROM stored WHERE event_id % 5 <> 0
+), refs AS (
+  SELECT 'fk_decision_event' AS reference, event_key AS key FROM kept_decisions WHERE event_id % 7 = 0
+  UNION ALL SELECT 'fk_decision_model', model_id FROM kept_decisions WHERE step = 2
+  UNION ALL SELECT 'fk_audit_decision', decision_id FROM stored WHERE event_id % 5 = 0
+  UNION ALL SELECT 'fk_outcome_decision', decision_id FROM stored WHERE event_id % 5 = 0 AND step = 1)"""
+
+
+@query("stored_orphans", _STORED_SQL + """
+SELECT reference, key, count(*) AS rows FROM refs GROUP BY ALL""")
+def stored_orphans(t: Tables) -> DataFrame:
+    """Decision to event and model, audit and outcome to decision, in one aggregation."""
+    traced = materialize(_traced(t))
+    first = S.decision_rows(traced, "failed_at + interval 1 hour", stable_id("model", "'scorecard'", "'v1'"))
+    again = S.decision_rows(traced.filter(f"{_NUMBER} % 3 = 0"), "failed_at + interval 2 hours",
+                            stable_id("model", "'scorecard'", "'v2'"), "Bounded Recovery")
+    decisions = first.unionByName(again)
+    event_ids = traced.selectExpr(f"{stable_id('event', 'payment_id')} event_id", f"{_NUMBER} number", "payment_id")
+    numbered = decisions.join(event_ids, "event_id")
+    kept = numbered.filter("number % 5 <> 0")
+    models = t.spark.sql(f"select {stable_id('model', text('scorecard'), text('v1'))} model_version_id")
+    outcomes = numbered.filter(f"strategy_name = {text(S.DEFAULT_STRATEGY)}")
+    return Q.all_orphans(
+        [Q.Reference("fk_decision_event", kept, "event_id", "event"),
+         Q.Reference("fk_decision_model", kept, "model_version_id", "model"),
+         Q.Reference("fk_audit_decision", S.audit_rows(numbered), "decision_id", "decision"),
+         Q.Reference("fk_outcome_decision", outcomes, "decision_id", "decision")],
+        {"event": (event_ids.filter("number % 7 <> 0"), "event_id"), "model": (models, "model_version_id"),
+         "decision": (kept, "decision_id")})
+
+
+@query("stored_constraints", _DECIDED_SQL + """, rows AS (
+  SELECT CASE WHEN event_id % 9 = 1 THEN 1.5 ELSE 0.5 END AS probability,
+    CASE WHEN event_id % 9 = 2 THEN 'URGENT' ELSE priority END AS priority,
+    CASE WHEN event_id % 9 = 3 THEN 'GUESSED' ELSE 'REAL' END AS source,
+    CASE WHEN event_id % 9 = 4 THEN NULL ELSE decision_id END AS decision_id, step FROM decisions)
+SELECT 'recovery_decisions' AS "table", 'chk_rd_probability' AS "constraint",
+  count(*) FILTER (WHERE probability > 1) AS violations FROM rows
+UNION ALL SELECT 'recovery_decisions', 'chk_rd_priority', count(*) FILTER (WHERE priority = 'URGENT') FROM rows
+UNION ALL SELECT 'recovery_decisions', 'nn_decision_id', count(*) FILTER (WHERE decision_id IS NULL) FROM rows
+UNION ALL SELECT 'recovery_outcomes', 'chk_ro_source', count(*) FILTER (WHERE source = 'GUESSED') FROM rows""")
+def stored_constraints(t: Tables) -> DataFrame:
+    """Value constraints of decisions and outcomes, and a required column, on rows with broken fields."""
+    number = "cast(substring(payment_id, 5) as bigint)"
+    ids = t.scored_table.selectExpr(f"{stable_id('event', 'payment_id')} event_id", f"{number} number")
+    rows = materialize(_decisions(t).join(ids, "event_id").selectExpr(
+        "if(number % 9 = 4, null, decision_id) decision_id",
+        "if(number % 9 = 1, 1.5, 0.5) model_probability",
+        "if(number % 9 = 2, 'URGENT', recovery_priority) recovery_priority",
+        "if(number % 9 = 3, 'GUESSED', 'REAL') outcome_source"))
+    return Q.all_constraints({
+        "recovery_decisions": (rows, Q.DECISION_CONSTRAINTS | {"nn_decision_id": "decision_id is null"}),
+        "recovery_outcomes": (rows, Q.OUTCOME_CONSTRAINTS)})
+
+
 # A transition log: the recovery paths, some of them with the second state dropped.
 _PATHS_SQL = """, executed AS (
   SELECT *, policy_decision = 'ALLOWED' AND draw < p * (CASE selected_action
