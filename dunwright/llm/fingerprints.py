@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .common import free_name
 from .registry import query
 
 FRACTION = 8     # one hash in so many is retained
@@ -70,14 +71,18 @@ def as_text(s: str) -> str:
 
 
 def with_fingerprint(docs: DataFrame, name: str = "sketch", text: str = "text") -> DataFrame:
-    """Append the sketch of a text column."""
-    return docs.selectExpr("*", f"{shingle_hashes(f'coalesce({text}, {chr(39)*2})')} _hashes") \
-        .selectExpr("* except (_hashes)", f"{sketch('_hashes')} {name}")
+    """Append the sketch of a text column; a column called ``name`` is replaced."""
+    hashes, made = free_name(docs, "_hashes"), free_name(docs, "_sketch")
+    kept = [f"`{c}`" for c in docs.columns if c.lower() != name.lower()]
+    return docs.selectExpr("*", f"{shingle_hashes(f'coalesce(`{text}`, {chr(39)*2})')} {hashes}") \
+        .selectExpr(*kept, f"{sketch(hashes)} {made}").withColumnRenamed(made, name)
 
 
 def with_next(docs: DataFrame, columns: list[str], id_col: str = "doc_id") -> DataFrame:
     """Append ``next_<c>``, the named columns of the row that follows by id; the last gets the first.
 
+    Columns that are already called so are replaced.
+
     Ids are cut into even ranges, and the first rows of every range are sent to the range before as well,
     so each range finds its followers alone: one shuffle, no global window.
     """
@@ -103,13 +108,15 @@ def with_next(docs: DataFrame, columns: list[str], id_col: str = "doc_id") -> Da
         place, is_edge = "0", "false"
     head = f"{id_col} is null" if found["nulls"] else f"{id_col} <=> " + (
         "null" if found["first"] is None else f"{found['first']}L")
-    rows = docs.selectExpr("*", f"cast({place} as int) _range") \
-        .selectExpr("*", f"""explode(array_compact(array(named_struct('range', _range, 'role', 0),
-            if({is_edge}, named_struct('range', _range - 1, 'role', 1), null),
-            if({head}, named_struct('range', {len(edges)}, 'role', 2), null)))) _at""")
-    ordered = f"over (partition by _at.range order by _at.role, {id_col}, text)"
+    docs = docs.drop(*[f"next_{c}" for c in columns])
+    own, at = free_name(docs, "_range"), free_name(docs, "_at")
+    rows = docs.selectExpr("*", f"cast({place} as int) {own}") \
+        .selectExpr("*", f"""explode(array_compact(array(named_struct('range', {own}, 'role', 0),
+            if({is_edge}, named_struct('range', {own} - 1, 'role', 1), null),
+            if({head}, named_struct('range', {len(edges)}, 'role', 2), null)))) {at}""")
+    ordered = f"over (partition by {at}.range order by {at}.role, {id_col}, text)"
     following = [f"lead(`{c}`) {ordered} next_{c}" for c in columns]
-    return rows.selectExpr("*", *following).filter("_at.role = 0").drop("_range", "_at")
+    return rows.selectExpr("*", *following).filter(f"{at}.role = 0").drop(own, at)
 
 
 def edited(text: str, following: str) -> str:

@@ -24,8 +24,9 @@ Shingles travel as packed arrays in hash ranges of bounded size.  A shingle that
 task have is sent once as a witness, and its occurrences go straight on, so no hot shingle meets in a task.
 
 Null and empty texts have the empty set: ``n_shingles`` 0, a component of their own.  Repeated rows and
-equal texts are one class.  Ids may repeat; null ids are passed through and never name a component.  Texts
-of any length are read whole; empty tables give empty results.
+equal texts are one class.  Ids may repeat; a null id never names a component, and its row gets the one of
+its component (null if no row of it has an id).  Texts of any length are read whole; empty tables give empty
+results.
 """
 
 from __future__ import annotations
@@ -380,10 +381,12 @@ def class_links(docs: DataFrame, sizes: DataFrame) -> DataFrame | None:
     rows, tokens = left.agg(F.expr("count(1) c"), F.expr("sum(n) n")).first()
     if not rows:
         return None
-    ids = left.select(F.col("first_id").alias("doc_id")).distinct()
+    ids = left.filter("first_id is not null").select(F.col("first_id").alias("doc_id")).distinct()
     if rows <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
     some = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
+    if not left.filter("first_id is null").isEmpty():  # sets that only rows without an id have
+        some = some.unionByName(docs.select("doc_id", "text").filter("doc_id is null"))
     grouped = _shared_tokens(some, tokens).join(left.select("class", "n"), "class")
     sets = written(_unpack_sets(grouped), "sets")
     signed = written(_signed(sets), "signatures")

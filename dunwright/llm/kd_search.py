@@ -89,7 +89,10 @@ def search_shard(ids: np.ndarray, points: np.ndarray, query_ids: np.ndarray, que
         1.0, float(np.abs(queries).max(initial=0))) * max(1, points.shape[1]) < 2 ** 52 else np.int64
     tree = KdTree(points.astype(exact))
     sorted_ids, queries = ids[tree.order], queries.astype(exact)
-    bound = tree.leaf_bounds(queries.astype(np.float64), floor.astype(np.float64) * (1 - 1e-12) - 1)
+    asked = queries.astype(np.float64)
+    # what rounding may take from a bound: its terms are no larger than these products together
+    margin = 1e-12 * (np.abs(asked) @ np.abs(points.astype(np.float64)).max(axis=0, initial=0)) + 1
+    bound = tree.leaf_bounds(asked, floor.astype(np.float64) - margin)
     visit = np.argsort(-bound, axis=1, kind="stable")
     found = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)) for _ in queries]
     kth = floor.copy()
@@ -97,7 +100,7 @@ def search_shard(ids: np.ndarray, points: np.ndarray, query_ids: np.ndarray, que
     for step in range(len(tree.leaves)):
         leaf = visit[active, step]
         ahead = bound[active, leaf]
-        active = active[(ahead > -np.inf) & (ahead * (1 + 1e-12) + 1 >= kth[active])]
+        active = active[ahead + margin[active] >= kth[active].astype(np.float64)]
         if not len(active):
             break
         leaf = visit[active, step]

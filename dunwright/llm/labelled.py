@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -21,11 +20,11 @@ def sample_features(docs: DataFrame, labels: DataFrame, label: str, fold: tuple[
     """(label, features, more features) of at most ``rows`` labelled documents in a fixed random order.
 
     ``rows`` is the documented bound on what a fit reads.  Labels that are null, and labelled ids without
-    a document, take no part; repeated labels or documents count once each.  Only features go to the
-    driver.
+    a document, take no part; repeated labels count once, and of the documents with one id that with the
+    smallest digest of its features.  Only features go to the driver, at most one row for each of the
+    ``rows``; a row is no larger than the features' space.
     """
     small_batches(docs.sparkSession)
-    order = "xxhash64(doc_id), doc_id, label"
     chosen = (labels.selectExpr("doc_id", f"cast({label} as int) label")
               .filter(f"doc_id is not null and label in (0, 1) and not ({held_out(*fold)})")
               .dropDuplicates().selectExpr("*", "xxhash64(doc_id) _place")
@@ -43,14 +42,15 @@ def sample_features(docs: DataFrame, labels: DataFrame, label: str, fold: tuple[
 
     found = (docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``rows`` rows
              .select("_place", "doc_id", "label", "text")
-             .mapInArrow(run, "_place bigint, doc_id bigint, label int, own binary, more binary"))
-    rows_found = {}  # by place, id, label and digest of the features: one of equal rows stays
-    collected = found.collect()  # features of at most ``rows`` rows
+             .mapInArrow(run, "_place bigint, doc_id bigint, label int, own binary, more binary")
+             .groupBy("_place", "doc_id", "label").agg(
+                 F.expr("min_by(struct(own, more), sha2(own, 256)) found"))
+             .select("_place", "doc_id", "label", "found.own", "found.more"))
+    rows_found = {}
+    collected = found.collect()  # at most ``rows`` rows
     while collected:  # rows are let go as they are taken over
         r = collected.pop()
-        own = bytes(r["own"])
-        rows_found[r["_place"], r["doc_id"], r["label"], hashlib.sha256(own).digest()] = (
-            r["label"], own, bytes(r["more"]))
+        rows_found[r["_place"], r["doc_id"], r["label"]] = (r["label"], bytes(r["own"]), bytes(r["more"]))
     return [rows_found[k] for k in sorted(rows_found)]
 
 

@@ -50,10 +50,11 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, budge
 
 
 def _mixed(docs: DataFrame, keep: list[str], seed: str, id_col: str) -> DataFrame:
-    """The kept columns with _size, _source_size, _target and _taken; only they and the key are shuffled."""
+    """The struct ``kept`` with _size, _source_size, _target and _taken; only they and the key are shuffled."""
+    kept = f"struct({', '.join(f'`{c}`' for c in keep)}) kept"  # one struct, so its names clash with nothing
     digest = f"""sha2(concat_ws('\n', '{seed}', cast({id_col} as string), text), 256)"""
     width = 281474976710656 // (1 + docs.count() // RANGE_ROWS)  # of 48 bits
-    sized = docs.selectExpr(*[f"`{c}`" for c in keep], f"cast({SIZE} as bigint) _size", f"{digest} _digest",
+    sized = docs.selectExpr(kept, f"cast({SIZE} as bigint) _size", f"{digest} _digest",
                             "struct(source) _source").selectExpr(
         "*", f"cast(conv(left(_digest, 12), 16, 10) as bigint) div {width} _range")
     ranges = sized.groupBy("_source", "_range").agg(F.expr("sum(_size) _words"))
@@ -70,8 +71,7 @@ def _mixed(docs: DataFrame, keep: list[str], seed: str, id_col: str) -> DataFram
         sized.join(placed, ["_source", "_range"])
         .selectExpr("*", """_offset + sum(_size) over (partition by _source, _range order by _digest
             rows between unbounded preceding and current row) _upto""")
-        .selectExpr(*[f"`{c}`" for c in keep], "_size", "_source_size", "_target",
-                    f"cast({taken} as bigint) _taken"))
+        .selectExpr("kept", "_size", "_source_size", "_target", f"cast({taken} as bigint) _taken"))
 
 
 def mix_sources(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id",
@@ -82,18 +82,17 @@ def mix_sources(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id",
     """
     names = ("size", "source_size", "target", "taken")
     keep = [c for c in (docs.columns if keep is None else keep) if c not in names]
-    return _mixed(docs, keep, seed, id_col).selectExpr(
-        *[f"`{c}`" for c in keep], *[f"_{n} {n}" for n in names])
+    return _mixed(docs, keep, seed, id_col).selectExpr("kept.*", *[f"_{n} {n}" for n in names])
 
 
 def repeat_taken(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id") -> DataFrame:
     """The mix itself: every document once per epoch that reaches it, with the columns of ``docs``.
 
     A document that the budget cuts is kept whole, so a source may give a part of one document more.
+    Documents without words cost nothing and stay once.
     """
-    columns = [f"`{c}`" for c in docs.columns]
-    return _mixed(docs, docs.columns, seed, id_col).filter("_taken > 0").selectExpr(
-        *columns, "explode(array_repeat(0, cast(ceil(_taken / _size) as int))) _copy").drop("_copy")
+    return _mixed(docs, docs.columns, seed, id_col).filter("_taken > 0 or _size = 0").selectExpr(
+        "kept", "explode(array_repeat(0, if(_size = 0, 1, cast(ceil(_taken / _size) as int)))) copy").select("kept.*")
 
 
 @query("op10_mixing", sql=r"""

@@ -88,11 +88,11 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, limit: int = LIMIT
     version = fill_cache(docs.select("text"), tokenizer, cache)
     counts = cached_counts(docs.sparkSession, cache, version).withColumnRenamed("n_tokens", "_tokens")
     kept = [f"`{c}`" for c in docs.columns if c not in ("n_bytes", "n_tokens", "over_limit")]
-    return (
-        docs.selectExpr(*kept, "coalesce(octet_length(text), 0) _bytes",
-                        "case when text <> '' then unhex(sha2(text, 256)) end _digest")
-        .join(counts, F.expr("_digest = digest"), "left")
-        .selectExpr(*kept, "cast(_bytes as bigint) n_bytes", "coalesce(_tokens, 0) n_tokens",
+    return (  # the rows travel as one struct, so their names clash with nothing
+        docs.selectExpr(f"struct({', '.join(kept)}) kept", "coalesce(octet_length(text), 0) bytes",
+                        "case when text <> '' then unhex(sha2(text, 256)) end own_digest")
+        .join(counts, F.expr("own_digest = digest"), "left")
+        .selectExpr("kept.*", "cast(bytes as bigint) n_bytes", "coalesce(_tokens, 0) n_tokens",
                     f"coalesce(_tokens, 0) > {limit} over_limit"))
 
 

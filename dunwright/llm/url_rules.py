@@ -65,11 +65,13 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url",
     best = matches.groupBy("_url").agg(F.expr("""max(struct(
         length(rule_host) + length(rule_path) n, length(rule_host) h, rule_verdict = 'block' b,
         concat(rule_host, rule_path) rule, rule_verdict verdict)) _best"""))
-    own = pages.drop("host", "path", "rule", "verdict") if url not in (
-        "host", "path", "rule", "verdict") else pages
-    shown = host_and_path(f"`{url}`")
-    return own.join(best, own[url] == best["_url"], "left").selectExpr(
-        "* except (_url, _best)", f"{shown['host']} host", f"{shown['path']} path",
+    kept = ", ".join(f"`{c}`" for c in pages.columns if c not in ("host", "path", "rule", "verdict"))
+    shown = host_and_path("own_url")
+    # the rows travel as one struct, so their names clash with nothing; null URLs are spread over keys of their own
+    own = pages.selectExpr(f"struct({kept}) page", f"`{url}` own_url",
+                           f"coalesce(`{url}`, concat('\n', monotonically_increasing_id() % 10007)) _key")
+    return own.join(best, F.expr("_key = _url"), "left").selectExpr(
+        "page.*", f"{shown['host']} host", f"{shown['path']} path",
         "_best.rule rule", f"coalesce(_best.verdict, '{default}') verdict")
 
 
