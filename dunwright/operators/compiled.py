@@ -14,19 +14,17 @@ import re
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, LogisticRegressionModel
 from pyspark.ml.feature import OneHotEncoderModel, StandardScalerModel, StringIndexerModel, VectorAssembler
-from pyspark.ml.regression import IsotonicRegressionModel
 
 from ..functions.scalars import double, text
 from .learning import CalibratedModel
 
 _TREE = ("array<struct<w:double,f:array<int>,t:array<double>,l:array<int>,r:array<int>,v:array<double>>>")
-_STEPS = "struct<b:array<double>,p:array<double>>"
 
 
 def model_sql(model: PipelineModel | CalibratedModel) -> str:
     """The positive-class probability as SQL text."""
     if isinstance(model, CalibratedModel):
-        parts = [isotonic_sql(isotonic, model_sql(pipeline)) for pipeline, isotonic in model.pairs]
+        parts = [isotonic.sql(model_sql(pipeline)) for pipeline, isotonic in model.pairs]
         return f"(({' + '.join(parts)}) / {len(parts)})"
     features, classifier = _features(model), model.stages[-1]
     if isinstance(classifier, LogisticRegressionModel):
@@ -111,21 +109,6 @@ def _tree_table(shown: str) -> dict[str, list]:
     return table
 
 
-def isotonic_sql(model: IsotonicRegressionModel, score: str) -> str:
-    """Linear between the fitted points, flat outside; the place is found by binary search."""
-    bounds, values = model.boundaries.toArray().tolist(), model.predictions.toArray().tolist()
-    steps = f"from_json({text(json.dumps({'b': bounds, 'p': values}))}, '{_STEPS}')"
-    n = len(bounds)
-    halves = ", ".join(str(1 << i) for i in range(n.bit_length() - 1, -1, -1))
-    place = (f"aggregate(array({halves}), 0, (lo, s) ->"
-             f" if(lo + s <= {n} and q.t.b[lo + s - 1] <= q.x, lo + s, lo))")
-    return (f"transform(transform(array(struct({steps} as t, cast({score} as double) as x)),"
-            f" q -> struct(q.t as t, q.x as x, {place} as k)), r -> case when r.x is null then null"
-            f" when r.k = 0 then r.t.p[0] when r.k = {n} or r.t.b[r.k - 1] = r.x then r.t.p[r.k - 1]"
-            " else r.t.p[r.k - 1] + (r.t.p[r.k] - r.t.p[r.k - 1]) * (r.x - r.t.b[r.k - 1])"
-            " / (r.t.b[r.k] - r.t.b[r.k - 1]) end)[0]")
-
-
 def linear_coefficients(model: PipelineModel) -> dict[str, float]:
     """Coefficients of a logistic pipeline per raw column, ``column=value`` for categories.
 

@@ -8,12 +8,12 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import CATEGORICAL_FEATURES, NUMERIC_FEATURES
 from .decide import score_with_probability
 from .evaluation import METRICS, all_metrics, stratified_folds
+from .isotonic import IsotonicSteps, fit_isotonic
 from .ordering import materialize
 
 MODEL_COLUMNS = NUMERIC_FEATURES + CATEGORICAL_FEATURES
@@ -104,30 +104,15 @@ def save_model(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 
 
-def fit_isotonic(scored: DataFrame, label: str = "recovered", score: str = "model_score"
-                 ) -> IsotonicRegressionModel:
-    """Isotonic fit on counted scores.
-
-    Rows of equal score are first averaged, with their number as weight; the solution is
-    the same.  Spark's solver pools neighbours in the tasks and finishes on the driver.
-    """
-    counted = scored.groupBy(F.expr(f"cast({score} as double) as x")).agg(
-        F.expr(f"avg(double({label})) y"), F.expr("double(count(1)) w"))
-    return IsotonicRegression(featuresCol="x", labelCol="y", weightCol="w", predictionCol="_iso").fit(
-        counted)
-
-
-def apply_isotonic(model: IsotonicRegressionModel, scored: DataFrame, score: str, output: str
-                   ) -> DataFrame:
+def apply_isotonic(model: IsotonicSteps, scored: DataFrame, score: str, output: str) -> DataFrame:
     """Calibrated probability: linear between the fitted points, flat outside."""
-    ready = scored.withColumn("x", F.expr(f"cast({score} as double)"))
-    return model.transform(ready).drop("x").withColumnRenamed("_iso", output)
+    return scored.withColumn(output, F.expr(model.sql(score)))
 
 
 class CalibratedModel:
     """Mean of several (pipeline, isotonic) pairs, each fitted on its own inner split."""
 
-    def __init__(self, pairs: list[tuple[PipelineModel, IsotonicRegressionModel]]):
+    def __init__(self, pairs: list[tuple[PipelineModel, IsotonicSteps]]):
         self.pairs = pairs
 
     def transform(self, df: DataFrame, output: str = "model_score") -> DataFrame:
@@ -138,14 +123,16 @@ class CalibratedModel:
         return df.selectExpr(f"* except ({helpers})", f"({terms}) / {len(self.pairs)} {output}")
 
     def save(self, path: str) -> None:
+        spark = SparkSession.active()
         for i, (pipeline, isotonic) in enumerate(self.pairs):
             pipeline.write().overwrite().save(f"{path}/pipeline-{i}")
-            isotonic.write().overwrite().save(f"{path}/isotonic-{i}")
+            isotonic.save(spark, f"{path}/isotonic-{i}")
 
     @classmethod
     def load(cls, path: str, parts: int = 3) -> "CalibratedModel":
+        spark = SparkSession.active()
         return cls([(PipelineModel.load(f"{path}/pipeline-{i}"),
-                     IsotonicRegressionModel.load(f"{path}/isotonic-{i}")) for i in range(parts)])
+                     IsotonicSteps.load(spark, f"{path}/isotonic-{i}")) for i in range(parts)])
 
 
 def train_calibrated(df: DataFrame, folds: int = 3, label: str = "recovered") -> CalibratedModel:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
@@ -65,18 +66,18 @@ def drift_status(psi: str) -> str:
     return f"case when {psi} < 0.1D then 'NORMAL' when {psi} < 0.2D then 'WARNING' else 'DRIFT' end"
 
 
-def _psi_of_counts(counts: DataFrame) -> DataFrame:
-    """PSI per feature from counted bins ``(feature, type, bin, ref, cur)``.
+def _psi_of_counts(counts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """PSI per feature (and ``by``) from counted bins ``(feature, type, bin, ref, cur)``.
 
     A bin empty on both sides contributes nothing, so absent bins need no spine.
     """
     share = lambda c: (f"case when {c} = 0 then {double(EMPTY_SHARE)} "
                        f"else {c} / {c}_total end")
-    totals = counts.groupBy("feature").agg(
+    totals = counts.groupBy(*by, "feature").agg(
         F.expr("sum(ref) ref_total"), F.expr("sum(cur) cur_total"))  # one row per feature
-    shares = counts.join(F.broadcast(totals), "feature").selectExpr(
-        "feature", "type", f"{share('ref')} e", f"{share('cur')} a")
-    return shares.groupBy("feature", "type").agg(F.expr("sum((a - e) * ln(a / e)) psi"))
+    shares = counts.join(totals if by else F.broadcast(totals), [*by, "feature"]).selectExpr(
+        *by, "feature", "type", f"{share('ref')} e", f"{share('cur')} a")
+    return shares.groupBy(*by, "feature", "type").agg(F.expr("sum((a - e) * ln(a / e)) psi"))
 
 
 def _both_sides(rows: DataFrame, reference: str, kind: str) -> DataFrame:
@@ -145,6 +146,63 @@ def drift_between(reference: DataFrame, current: DataFrame) -> DataFrame:
         current.selectExpr(*shared, "false is_reference")))
 
 
+@dataclass(frozen=True)
+class DriftProfile:
+    """What later rows are compared with: the reference's bin edges and counts; it is sorted once."""
+
+    edges: dict[str, list[float]]  # inner edges per numeric feature
+    categories: tuple[str, ...]
+    counts: DataFrame              # (feature, type, bin, ref)
+
+    def bins(self) -> str:
+        """The bins of a row, as an array of (feature, type, bin)."""
+        numeric = [f"struct('{c}' as feature, 'numeric' as type, case when not isnan(cast({c} as double)) then cast(size(filter("
+                   f"cast(array({', '.join(map(double, e))}) as array<double>), e -> cast({c} as double) >= e))"
+                   " as string) end as bin)" for c, e in self.edges.items()]
+        return f"array({', '.join(numeric + [_category_bin(c) for c in self.categories])})"
+
+
+def _category_bin(column: str) -> str:
+    return f"struct('{column}' as feature, 'categorical' as type, cast({column} as string) as bin)"
+
+
+def drift_profile(reference: DataFrame, buckets: int = 10, edge_digits: int | None = None) -> DriftProfile:
+    """Edges and counts of the monitored features of a reference table, both written once."""
+    numeric = [c for c in NUMERIC_DRIFT if c in reference.columns]
+    categories = tuple(c for c in CATEGORICAL_DRIFT if c in reference.columns)
+    rows = materialize(reference.select(*numeric, *categories))
+    values = long_values(rows, numeric, [])
+    steps = [i / buckets for i in range(buckets + 1)]
+    edges: dict[str, list[float]] = {c: [] for c in numeric}
+    for r in exact_percentiles(values, steps).collect():  # one row per feature
+        found = [round(p, edge_digits) if edge_digits is not None else p for p in r.percentiles]
+        edges[r.feature] = list(dict.fromkeys(found))[1:-1]
+    profile = DriftProfile(edges, categories, rows)
+    counts = rows.selectExpr(f"inline({profile.bins()})").filter("bin is not null").groupBy(
+        "feature", "type", "bin").agg(F.expr("count(1) ref"))
+    return DriftProfile(edges, categories, materialize(counts))
+
+
+def window_bins(rows: DataFrame, profile: DriftProfile, event_time: str = "failed_at", width: str = "1 day",
+                delay: str = "1 day") -> DataFrame:
+    """Counts ``(window_start, feature, type, bin, cur)`` per event-time window, of tables and streams alike."""
+    timed = rows.withWatermark(event_time, delay) if rows.isStreaming else rows
+    return (timed.selectExpr(event_time, f"inline({profile.bins()})").filter("bin is not null")
+            .groupBy(F.window(event_time, width).alias("w"), "feature", "type", "bin")
+            .agg(F.expr("count(1) cur")).selectExpr("w.start window_start", "feature", "type", "bin", "cur"))
+
+
+def window_drift(counts: DataFrame, profile: DriftProfile) -> DataFrame:
+    """Drift of every window from its counted bins; the reference's bins are handed to each window."""
+    windows = counts.select("window_start", "feature").distinct()
+    reference = windows.join(profile.counts, "feature").selectExpr(
+        "window_start", "feature", "type", "bin", "ref", "0L cur")
+    both = reference.unionByName(counts.selectExpr("*", "0L ref")).groupBy(
+        "window_start", "feature", "type", "bin").agg(F.expr("sum(ref) ref"), F.expr("sum(cur) cur"))
+    return _psi_of_counts(both, ("window_start",)).selectExpr(
+        "window_start", "feature", "type", "round(psi, 4) drift_metric_psi", f"{drift_status('psi')} status")
+
+
 def recovery_rates(df: DataFrame, dimensions: tuple[str, ...] = CATEGORICAL_DRIFT) -> DataFrame:
     """Recovery rate by each dimension, all in one grouping-sets pass."""
     named = df.selectExpr("recovered", *[f"cast({d} as string) {d}" for d in dimensions])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import compiled, evaluation as E, learning as ML
+from ..operators import compiled, evaluation as E, isotonic, learning as ML
 from ..operators.ordering import materialize, shared_folder
 from .registry import Tables, digits, money, query, whole
 
@@ -291,3 +291,22 @@ def model_attribution(t: Tables) -> DataFrame:
     model = ML.train_logistic(payments)
     return E.linear_attribution(payments, compiled.linear_coefficients(model)).selectExpr(
         "feature", "importance >= 0 mean_of_shares")
+
+
+@query("isotonic_blocks", """
+SELECT count(*) AS rows, sum(recovered)::BIGINT AS positives, true AS rising, true AS means_of_their_rows,
+  true AS nothing_between FROM scored""")
+def isotonic_blocks(t: Tables) -> DataFrame:
+    """The isotonic fit of the scorecard: rising blocks whose values are the label means of their rows."""
+    rows = materialize(t.scored.selectExpr("recovered", "cast(recovery_probability as double) model_score"))
+    blocks = isotonic.isotonic_blocks(rows)
+    steps = isotonic.fit_isotonic(rows)
+    means = rows.selectExpr("recovered", f"{steps.sql('model_score')} value").groupBy("value").agg(
+        F.expr("avg(recovered) mean"), F.expr("count(1) n"))
+    checked = blocks.selectExpr("*", "lag(value) over (order by lo) before", "lag(hi) over (order by lo) end")
+    totals = checked.agg(*[F.expr(e) for e in (
+        "sum(n) rows", "sum(positives) positives", "bool_and(before is null or before < value) rising",
+        "bool_and(end is null or end < lo) nothing_between", "count(1) blocks")])
+    fits = means.agg(F.expr("bool_and(abs(mean - value) < 1e-12D) close"), F.expr("count(1) values"))
+    return totals.join(fits).selectExpr(  # two tables of one row
+        "rows", "positives", "rising", "close and blocks = values means_of_their_rows", "nothing_between")

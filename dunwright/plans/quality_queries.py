@@ -167,8 +167,8 @@ def prediction_summary(t: Tables) -> DataFrame:
 
 
 # Drift: the first half of the month is the reference, the second half the current data.
-_SPLIT = "failed_at < timestamp '2024-01-16 00:00:00'"
-_SIDES_SQL = f", sides AS (SELECT *, {_SPLIT} AS is_reference FROM payments)"
+SPLIT = "failed_at < timestamp '2024-01-16 00:00:00'"
+_SIDES_SQL = f", sides AS (SELECT *, {SPLIT} AS is_reference FROM payments)"
 
 
 def _numeric_psi_sql(feature: str) -> str:
@@ -209,7 +209,7 @@ _REPORT_SQL = """SELECT feature, type, round(psi, 4) AS drift_metric_psi,
 def _sides(t: Tables) -> DataFrame:
     # three uses (percentiles, numeric bins, categories), so the narrow table is written once
     return materialize(t.payments.selectExpr(
-        *M.NUMERIC_DRIFT, *M.CATEGORICAL_DRIFT, f"{_SPLIT} is_reference"))
+        *M.NUMERIC_DRIFT, *M.CATEGORICAL_DRIFT, f"{SPLIT} is_reference"))
 
 
 @query("psi_numeric", _NUMERIC_PSI[0] + f" SELECT feature, round(psi, 4) AS psi FROM ({_NUMERIC_PSI[1]})")
@@ -219,11 +219,14 @@ def psi_numeric(t: Tables) -> DataFrame:
 
 @query("psi_categorical", _SIDES_SQL + f" SELECT feature, round(psi, 4) AS psi FROM ({_CATEGORICAL_PSI})")
 def psi_categorical(t: Tables) -> DataFrame:
-    return M.categorical_psi(t.payments.selectExpr("*", f"{_SPLIT} is_reference"), list(
+    return M.categorical_psi(t.payments.selectExpr("*", f"{SPLIT} is_reference"), list(
         M.CATEGORICAL_DRIFT)).selectExpr("feature", "round(psi, 4) psi")
 
 
-@query("drift_report", _NUMERIC_PSI[0] + f" {_REPORT_SQL} FROM ({_NUMERIC_PSI[1]} UNION ALL {_CATEGORICAL_PSI})")
+DRIFT_REPORT_SQL = _NUMERIC_PSI[0] + f" {_REPORT_SQL} FROM ({_NUMERIC_PSI[1]} UNION ALL {_CATEGORICAL_PSI})"
+
+
+@query("drift_report", DRIFT_REPORT_SQL)
 def drift_report(t: Tables) -> DataFrame:
     return M.drift_report(_sides(t), edge_digits=6)
 

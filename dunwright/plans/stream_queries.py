@@ -11,12 +11,12 @@ import uuid
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scalars import join_factors
-from ..operators import store as S
+from ..operators import monitoring as M, store as S
 from ..operators.ordering import materialize, shared_folder
 from ..sources.store import ParquetStore
 from ..streaming import decisions, monitor
 from .decision_queries import _PAYLOAD
-from .quality_queries import _BROKEN, _VALIDATED_SQL
+from .quality_queries import _BROKEN, _VALIDATED_SQL, DRIFT_REPORT_SQL, SPLIT
 from .registry import Tables, digits, money, query, whole
 from .store_queries import _FEED_SQL, _KEY
 
@@ -194,3 +194,20 @@ def stream_window_monitor(t: Tables) -> DataFrame:
     monitor.run_window_monitor(stream, f"{root}/windows", f"{root}/checkpoint",
                                delay="40 days").awaitTermination()
     return monitor.current_windows(t.spark.read.parquet(f"{root}/windows")).selectExpr(*_WINDOW)
+
+
+@query("stream_drift", DRIFT_REPORT_SQL)
+def stream_drift(t: Tables) -> DataFrame:
+    """The drift report from a stream in several micro-batches, against edges and counts of the reference."""
+    root = f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
+    rows = materialize(t.payments.selectExpr(
+        "failed_at", *M.NUMERIC_DRIFT, *M.CATEGORICAL_DRIFT, f"{SPLIT} is_reference"))
+    profile = M.drift_profile(rows.filter("is_reference"), edge_digits=6)
+    current = rows.filter("not is_reference").drop("is_reference")
+    for third in range(3):
+        current.filter(f"day(failed_at) % 3 = {third}").write.mode("append").parquet(f"{root}/feed")
+    stream = t.spark.readStream.schema(current.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/feed")
+    monitor.run_drift_monitor(stream, profile, f"{root}/bins", f"{root}/checkpoint",
+                              width="4000 days", delay="40 days").awaitTermination()
+    schema = "window_start timestamp, feature string, type string, bin string, cur bigint, batch_id bigint"
+    return monitor.current_drift(t.spark.read.schema(schema).parquet(f"{root}/bins"), profile).drop("window_start")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import validation as V
-from ..operators.monitoring import drift_between
+from ..operators.monitoring import DriftProfile, window_bins, window_drift
 
 
 def window_metrics(scored: DataFrame, event_time: str = "failed_at", width: str = "1 day",
@@ -42,12 +42,21 @@ def current_windows(log: DataFrame) -> DataFrame:
         f"max_by(struct({', '.join(columns)}), batch_id) _w")).select("_w.*")
 
 
-def run_drift_monitor(stream: DataFrame, reference: DataFrame, folder: str, checkpoint: str
+def run_drift_monitor(stream: DataFrame, profile: DriftProfile, folder: str, checkpoint: str, **window
                       ) -> StreamingQuery:
-    """Drift of every micro-batch against a fixed reference table."""
-    def compare(batch: DataFrame, batch_id: int) -> None:
-        drift_between(reference, batch).write.mode("overwrite").parquet(
-            f"{folder}/batch_id={batch_id}")
+    """Keep the windows' bin counts against a reference's edges: every batch appends the counts it changed.
 
-    return (stream.writeStream.foreachBatch(compare).option("checkpointLocation", checkpoint)
+    The state holds one number per (window, feature, bin) until the watermark passes the window.
+    """
+    def append(changed: DataFrame, batch_id: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{folder}/batch_id={batch_id}")
+
+    return (window_bins(stream, profile, **window).writeStream.outputMode("update")
+            .foreachBatch(append).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
+
+
+def current_drift(log: DataFrame, profile: DriftProfile) -> DataFrame:
+    """Drift per window from the latest counts of the appended log."""
+    latest = log.groupBy("window_start", "feature", "type", "bin").agg(F.expr("max_by(cur, batch_id) cur"))
+    return window_drift(latest, profile)
