@@ -19,7 +19,7 @@ def _running_scores(df: DataFrame, by: list[str], label: str, score: str) -> Dat
     """Distinct scores with own and running counts, best first, place and class totals."""
     counts = df.groupBy(*by, F.expr(f"cast({score} as double) as score")).agg(
         F.expr(f"count_if({label} = 1) pos"), F.expr(f"count_if({label} = 0) neg"), F.expr("1L one"))
-    return with_running_totals(counts, [F.desc("score")], {"tp": "pos", "fp": "neg", "place": "one"},
+    return with_running_totals(counts, ["-score"], {"tp": "pos", "fp": "neg", "place": "one"},
                                {"P": "pos", "N": "neg"}, by)
 
 

@@ -118,33 +118,42 @@ def with_global_rank(df: DataFrame, order: list[Column], rank: str = "rank") ->
         "* except (_part, _row, _before)", f"_before + _row + 1 {rank}")
 
 
-def with_running_totals(df: DataFrame, order: list[Column], running: dict[str, str],
-                        overall: dict[str, str] | None = None, group: list[str] | None = None
-                        ) -> DataFrame:
-    """Append inclusive running sums along a total order, per group.
+def with_running_totals(df: DataFrame, order: list[str], running: dict[str, str],
+                        overall: dict[str, str] | None = None, group: list[str] | None = None,
+                        ranges: int | None = None) -> DataFrame:
+    """Append inclusive running sums along a total order (SQL text, ascending), per group.
 
     ``running`` maps a new column to the summed column, ``overall`` a new column to the
     column whose total over the whole group it carries.  Rows should be distinct in
-    group and order (pre-aggregate ties), so range partitions stay even.
+    group and order (pre-aggregate ties), so ranges stay even.
+
+    The table is written once; its range is a column that the rows are partitioned by, so they are
+    shuffled once, and ranges and sums come from the same sorted pass.  Only groups that lie in several
+    ranges need what came before: at most two rows a range, and one for each range that a group fills.
     """
     group, overall = group or [], overall or {}
     sources = sorted({*running.values(), *overall.values()})
-    rows = _numbered(df, [F.col(g) for g in group] + order)
-    parts = rows.groupBy("_part", *group).agg(*[F.expr(f"sum({s}) _s_{s}") for s in sources])
+    source = materialize(df)
+    wanted = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [*group, *order]
+    cuts = even_ranges(source.selectExpr(*[f"{k} k{i}" for i, k in enumerate(keys)]), wanted)
+    rows = source.selectExpr("*", f"{cuts.number(*keys)} _part")
+    own = f"partition by {', '.join(['_part', *group])}"
+    summed = rows.selectExpr(
+        "*", *[f"sum({src}) over ({own} order by {', '.join(order)} "
+               f"rows between unbounded preceding and current row) _i_{new}" for new, src in running.items()],
+        *[f"sum({src}) over ({own}) _t_{new}" for new, src in overall.items()])
     by_group = f"partition by {', '.join(group)}" if group else ""
-    # one row per partition and group
-    offsets = parts.selectExpr("_part", *group, *[
-        f"coalesce(sum(_s_{src}) over ({by_group} order by _part "
-        f"rows between unbounded preceding and 1 preceding), 0) _b_{new}"
-        for new, src in running.items()], *[
-        f"sum(_s_{src}) over ({by_group}) {new}" for new, src in overall.items()])
-    summed = rows.selectExpr("*", *[
-        f"sum({src}) over (partition by {', '.join(['_part', *group])} order by _row "
-        f"rows between unbounded preceding and current row) _i_{new}"
-        for new, src in running.items()])
-    helpers = ", ".join(["_part", "_row"] + [f"_{k}_{new}" for new in running for k in "bi"])
-    return summed.join(F.broadcast(offsets), ["_part", *group]).selectExpr(
-        f"* except ({helpers})", *[f"_b_{new} + _i_{new} {new}" for new in running])
+    parts = rows.groupBy("_part", *group).agg(*[F.expr(f"sum({src}) _s_{src}") for src in sources])
+    offsets = parts.selectExpr(
+        "_part _p", *[f"{g} _g{i}" for i, g in enumerate(group)], f"count(1) over ({by_group}) _ranges", *[
+            f"coalesce(sum(_s_{src}) over ({by_group} order by _part "
+            f"rows between unbounded preceding and 1 preceding), 0) _b_{new}" for new, src in running.items()],
+        *[f"sum(_s_{src}) over ({by_group}) _o_{new}" for new, src in overall.items()]).filter("_ranges > 1")
+    same = " and ".join(["_part = _p", *[f"{g} <=> _g{i}" for i, g in enumerate(group)]])
+    return summed.join(F.broadcast(offsets), F.expr(same), "left").selectExpr(
+        *[f"`{c}`" for c in df.columns], *[f"coalesce(_o_{new}, _t_{new}) {new}" for new in overall],
+        *[f"coalesce(_b_{new}, 0) + _i_{new} {new}" for new in running])
 
 
 def exact_percentiles(values: DataFrame, fractions: list[float]) -> DataFrame:
@@ -157,7 +166,7 @@ def exact_percentiles(values: DataFrame, fractions: list[float]) -> DataFrame:
     counts = (values.filter("value is not null and not isnan(cast(value as double))")
               .groupBy("feature", "value").agg(F.expr("count(1) n")))
     placed = with_running_totals(
-        counts, [F.col("value")], {"upto": "n"}, {"total": "n"}, ["feature"])
+        counts, ["value"], {"upto": "n"}, {"total": "n"}, ["feature"])
 
     low = lambda f, n: f"floor({f!r}D * ({n} - 1))"
     pick = lambda k, name: (

@@ -94,6 +94,31 @@ def test_global_rank(spark):
     assert ranks == {i: k + 1 for k, i in enumerate(want)}
 
 
+@pytest.mark.parametrize("ranges", [1, 5, 40])
+def test_running_totals_over_ranges(spark, ranges):
+    """Groups inside a range, over several, null ones, and one that fills many ranges."""
+    r = random.Random(ranges)
+    rows = [(r.choice([None, "a", "b", "b", "b", "b", "c"]), i, r.randint(0, 9)) for i in range(600)]
+    df = spark.createDataFrame(rows, "g string, x int, n int").repartition(5)
+    got = O.with_running_totals(df, ["-x"], {"upto": "n"}, {"total": "n"}, ["g"], ranges).collect()
+    assert len(got) == 600
+    for row in got:
+        own = [(x, n) for g, x, n in rows if g == row.g]
+        assert row.total == sum(n for _, n in own)
+        assert row.upto == sum(n for x, n in own if x >= row.x)
+    whole = O.with_running_totals(df, ["x"], {"upto": "n"}, ranges=ranges)
+    assert {w.x: w.upto for w in whole.collect()} == {x: sum(n for _, y, n in rows if y <= x) for _, x, _ in rows}
+
+
+def test_running_totals_shuffle_the_rows_once(spark):
+    """One exchange of rows; the other two are of sums per range."""
+    df = spark.range(1000).selectExpr("id % 3 g", "id x", "1L n")
+    plan = explain(O.with_running_totals(df, ["x"], {"upto": "n"}, {"total": "n"}, ["g"], 8))
+    row_exchanges = [line for line in plan.split("\n") if line.startswith("Arguments: hashpartitioning(_part")]
+    assert plan.count("hashpartitioning(_part") <= 2 and "rangepartitioning" not in plan
+    assert len(row_exchanges) <= 2
+
+
 def test_exact_percentiles_equal_numpy(spark):
     r = np.random.default_rng(3)
     a, b = r.lognormal(3, 1, 999).round(2), r.integers(0, 4, 999).astype(float)
