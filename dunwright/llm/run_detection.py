@@ -75,36 +75,57 @@ def runs_of(texts: list[np.ndarray], least: int = LEAST) -> list[np.ndarray]:
     if not base[-1]:
         return out
     names = _shingles(np.concatenate(texts).astype(np.int64), LOOK)
-    points: list[tuple[int, np.ndarray, np.ndarray]] = []
-    for k in np.flatnonzero(lengths >= least).tolist():
+
+    def hits(k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         own = names[base[k]:base[k + 1]]
         for place, period in _grid(len(own), least):
             hit = np.flatnonzero(own[place] == own[place + period])
             if len(hit):
-                points.append((k, place[hit], period[hit]))
-    if not points:
+                yield place[hit], period[hit]
+
+    used = [k for k in np.flatnonzero(lengths >= least).tolist() if next(hits(k), None) is not None]
+    if not used:
         return out
-    used = sorted({k for k, _, _ in points})
     grammar = Grammar([texts[k].astype(np.int64) for k in used])
-    place_of = dict(zip(used, grammar.place.tolist()))
     found: dict[int, list[np.ndarray]] = {k: [] for k in used}
-    for k, place, period in points:
-        for lo in range(0, len(place), POINTS):
-            at, p = place[lo:lo + POINTS] + place_of[k], period[lo:lo + POINTS]
-            start = grammar.mismatch(at, at + p, -1) + 1
-            length = grammar.mismatch(at, at + p, 1) + p - start
-            run = length >= np.maximum(least, 2 * p)
-            found[k].append(np.stack([start[run] - place_of[k], length[run], p[run]], axis=1))
-    for k, parts in found.items():
-        rows = np.concatenate(parts)
-        rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
-        first = np.ones(len(rows), dtype=bool)  # of equal stretches, the smallest period
-        first[1:] = (rows[1:, :2] != rows[:-1, :2]).any(axis=1)
-        rows = rows[first]
+
+    def extend(asked: list[tuple[int, int, np.ndarray, np.ndarray]]) -> None:
+        """Exact edges around grid points of several texts (number, place in the grammar, points, periods)."""
+        at = np.concatenate([first + place for _, first, place, _ in asked])
+        p = np.concatenate([period for *_, period in asked])
+        start = grammar.mismatch(at, at + p, -1) + 1
+        length = grammar.mismatch(at, at + p, 1) + p - start
+        run = length >= np.maximum(least, 2 * p)
+        end = np.cumsum([len(place) for _, _, place, _ in asked])
+        for (k, first, place, _), b in zip(asked, end.tolist()):
+            own = slice(b - len(place), b)
+            rows = np.stack([start[own] - first, length[own], p[own]], axis=1)[run[own]]
+            found[k] = [_smallest_periods(np.concatenate([*found[k], rows]))]  # so that it never outgrows the text
+
+    waiting, size = [], 0
+    for k, first in zip(used, grammar.place.tolist()):
+        for place, period in hits(k):
+            for lo in range(0, len(place), POINTS):
+                waiting.append((k, first, place[lo:lo + POINTS], period[lo:lo + POINTS]))
+                size += len(waiting[-1][2])
+                if size >= POINTS:
+                    extend(waiting)
+                    waiting, size = [], 0
+    if waiting:
+        extend(waiting)
+    for k, (rows,) in found.items():
         out[k] = rows[np.lexsort((rows[:, 2], rows[:, 0]))]
     return out
 
 
+def _smallest_periods(rows: np.ndarray) -> np.ndarray:
+    """Of rows (start, length, period) of equal stretches, the one with the smallest period."""
+    rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
+    first = np.ones(len(rows), dtype=bool)
+    first[1:] = (rows[1:, :2] != rows[:-1, :2]).any(axis=1)
+    return rows[first]
+
+
 def kept_words(n: int, runs: np.ndarray) -> np.ndarray:
     """Which of n words stay when every run is cut down to its first period."""
     change = np.zeros(n + 1, dtype=np.int64)
