@@ -18,6 +18,7 @@ HEADLINES = (
     "idempotent_insert", "latest_decision", "lineage", "transition_conformance", "roc_auc",
     "calibration_curve", "stratified_folds", "linear_attribution", "event_responses",
     "customer_history_features", "stream_decisions", "stream_dedup", "train_lr",
+    "event_answers", "isotonic_blocks", "stored_orphans", "stream_drift", "stream_state_dedup",
 )
 
 

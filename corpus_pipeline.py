@@ -3,7 +3,8 @@
 Every stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; all but the last
 return the columns of ``documents``.  Classifiers learn from the labelled rows among their input, bounded
 as their modules say.  Documents without text pass the filters or not by their score; the join keeps one
-row of each component; the mix repeats a document whose source is taken more than once.
+row of each component; the mix repeats a document whose source is taken more than once, leaves out those
+beyond their source's target, and keeps documents without words once.
 """
 
 from __future__ import annotations

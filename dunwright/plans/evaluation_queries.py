@@ -310,3 +310,20 @@ def isotonic_blocks(t: Tables) -> DataFrame:
     fits = means.agg(F.expr("bool_and(abs(mean - value) < 1e-12D) close"), F.expr("count(1) values"))
     return totals.join(fits).selectExpr(  # two tables of one row
         "rows", "positives", "rising", "close and blocks = values means_of_their_rows", "nothing_between")
+
+
+@query("batch_score_checks", """
+SELECT payment_id, true AS in_range, true AS follows_bands, true AS value_fits FROM payments""")
+def batch_score_checks(t: Tables) -> DataFrame:
+    """Decisions of a saved and loaded model agree with its probabilities, row by row."""
+    import uuid
+
+    payments = materialize(t.payments)
+    path = f"{shared_folder(t.spark)}/model-{uuid.uuid4().hex}"
+    ML.save_model(ML.train_logistic(payments, balanced=True), path)
+    p = "cast(recovery_probability as double)"
+    return ML.batch_score(path, payments).selectExpr(
+        "payment_id", f"{p} between 0 and 1 in_range",
+        f"priority = case when {p} >= 0.65D then 'HIGH' when {p} >= 0.35D then 'MEDIUM' else 'LOW' end"
+        f" and (recommended_action = 'Retry Payment') = ({p} >= 0.65D) follows_bands",
+        f"abs(expected_recovery - payment_amount * {p}) < 0.000001D value_fits")
