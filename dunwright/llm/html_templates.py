@@ -5,9 +5,10 @@ token's occurrence vector says how often each page of the host has it; vectors a
 page hashes, which combine before they are shuffled.  Tokens with equal vectors are an equivalence class.
 Vectors go over the distinct pages of a host: copies of one page are one page.  The class of the page itself,
 once on every page, is the skeleton of the host's template; a further class is valid when it has an element,
-occurs at most once a page, on at least ``LEAST_PAGES`` distinct pages, however many the host has: it nests in
-the skeleton as an optional part.  Texts of valid classes belong to the
-template, everything else is content of slots.
+occurs at most once a page, on at least ``LEAST_PAGES`` distinct pages, however many the host has, and holds no
+more than ``MOST_OWN`` of what those pages have as possible article text: it nests in the skeleton as an
+optional part.  A class with more is an article that the host serves under many addresses, with an id, a date or a
+counter that differs.  Texts of valid classes belong to the template, everything else is content of slots.
 
 The article is read from the slots below the host's content element: ``article``, else ``main``, else the
 deepest skeleton element that holds most of the host's varying text.  Parts that elements, roles, or whole class
@@ -36,6 +37,7 @@ from .registry import query
 from .url_rules import host_and_path
 
 LEAST_PAGES = 10        # distinct pages of a host before a repeated text can be part of its template
+MOST_OWN = 0.8          # of its pages' possible article text, that a class may hold as a template part
 MOST_TEXT = 0.7         # of the varying text, below the content element
 BROADCAST_HOSTS = 10_000
 BROADCAST_TEXTS = 1_000_000  # most template texts (8 bytes each) that are broadcast
@@ -58,7 +60,7 @@ def _text(role: str, text: str) -> int:
 
 
 def page_tokens(html: str) -> dict[int, list]:
-    """Token to [count, is element, depth, characters of possible article text below, role]."""
+    """Token to [count, is element, depth, characters of possible article text in or below it, role]."""
     runs, elements = blocks(html)
     out: dict[int, list] = {0: [1, False, 0, 0, ""]}
     numbers: dict[str, int] = {}
@@ -68,8 +70,11 @@ def page_tokens(html: str) -> dict[int, list]:
         entry = out.setdefault(numbers[e.role], [0, True, e.depth, 0, e.role])
         entry[0] += 1
     for e, text in runs:
-        out.setdefault(_text(e.role, text), [0, False, 0, 0, ""])[0] += 1
+        own = out.setdefault(_text(e.role, text), [0, False, 0, 0, ""])
+        own[0] += 1
         if not (e.boilerplate or e.header):
+            own[3] += len(text)
+            out[0][3] += len(text)
             up = e
             while up is not None and up.role in numbers:
                 out[numbers[up.role]][3] += len(text)
@@ -78,7 +83,7 @@ def page_tokens(html: str) -> dict[int, list]:
 
 
 _STATISTICS = ("host string, token bigint, element boolean, depth int, role string, pages bigint, "
-               "total bigint, once boolean, chars bigint, sum_1 bigint, sum_2 bigint")
+               "total bigint, once boolean, chars bigint, page_chars bigint, sum_1 bigint, sum_2 bigint")
 
 
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,21 +93,24 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
             digest = hashlib.blake2b((html or "").encode("utf-8", "surrogatepass"), digest_size=8).digest()
             key = int.from_bytes(digest, "big")
-            for token, (n, element, depth, chars, role) in page_tokens(html or "").items():
+            tokens = page_tokens(html or "")
+            page_chars = tokens[0][3]
+            for token, (n, element, depth, chars, role) in tokens.items():
                 row = held.get((host, token))
                 if row is None:
-                    row = held[host, token] = [element, depth, role, 0, 0, True, 0, 0, 0]
+                    row = held[host, token] = [element, depth, role, 0, 0, True, 0, 0, 0, 0]
                 mixed = (key * 0x9E3779B97F4A7C15 + n * 0xBF58476D1CE4E5B9) & (1 << 64) - 1
                 row[3] += 1
                 row[4] += n
                 row[5] &= n == 1
                 row[6] += chars
-                row[7] += mixed >> 33
-                row[8] += (mixed & (1 << 33) - 1) >> 2
+                row[7] += page_chars
+                row[8] += mixed >> 33
+                row[9] += (mixed & (1 << 33) - 1) >> 2
         rows = [(host, token, *row) for (host, token), row in held.items()]
-        columns = list(zip(*rows)) or [[]] * 11
+        columns = list(zip(*rows)) or [[]] * 12
         kinds = [pa.string(), pa.int64(), pa.bool_(), pa.int32(), pa.string(), pa.int64(), pa.int64(),
-                 pa.bool_(), pa.int64(), pa.int64(), pa.int64()]
+                 pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
         names = [c.split()[0] for c in _STATISTICS.split(", ")]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
@@ -129,7 +137,8 @@ def deduce_templates(pages: DataFrame, host_texts: int = HOST_TEXTS,
     sums = distinct_pages(pages, broadcast_repeats).mapInArrow(_statistics, _STATISTICS).groupBy(
         "host", "token", "element").agg(*[F.expr(e) for e in (
             "min(depth) depth", "first(role) role", "sum(pages) pages", "sum(total) total",
-            "bool_and(once) once", "sum(chars) chars", "sum(sum_1) sum_1", "sum(sum_2) sum_2")])
+            "bool_and(once) once", "sum(chars) chars", "sum(page_chars) page_chars", "sum(sum_1) sum_1",
+            "sum(sum_2) sum_2")])
     sums = written(sums.filter(f"token = 0 or element or pages >= {LEAST_PAGES}"), "tokens")
     hosts = sums.filter("token = 0").selectExpr(
         "host", "pages all_pages", "sum_1 all_1", "sum_2 all_2", "total all_total")
@@ -142,8 +151,9 @@ def deduce_templates(pages: DataFrame, host_texts: int = HOST_TEXTS,
     classes = ["host", "pages", "sum_1", "sum_2"]
     possible = known.filter(f"once and pages >= {LEAST_PAGES}")
     nested = possible.groupBy(*classes).agg(
-        F.expr("bool_or(element) nested"), F.expr("count_if(not element) texts")) \
-        .filter("nested and texts > 0").select(*classes)
+        F.expr("bool_or(element) nested"), F.expr("count_if(not element) texts"),
+        F.expr("sum(if(element, 0, chars)) own"), F.expr("max(page_chars) page_chars")) \
+        .filter(f"nested and texts > 0 and own <= {MOST_OWN} * page_chars").select(*classes)
     tokens = written(possible.filter("not element").join(nested, classes, "left_semi").select("host", "token"),
                      "template-texts")
     counts = tokens.groupBy("host").agg(F.expr("count(1) n_texts"))

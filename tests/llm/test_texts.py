@@ -248,3 +248,34 @@ def test_stages_on_odd_rows(spark, documents):
         out = written(stage(spark, docs, SMALL), "test")
         if name != "segmentation":
             assert out.columns == docs.columns, name
+
+
+def test_near_copies_keep_their_article(spark):
+    """One article under many addresses, each with its own token and counter, beside pages that are all different."""
+    article = "".join(f"<p>Paragraph {i} of the article that is served again and again.</p>" for i in range(6))
+    notice = '<div class="box"><p>A short line that many pages of the host show.</p></div>'
+    page = lambda i, body: (f'<html><head><meta name="csrf" content="{i * 7919}"></head><body>{notice}'
+                            f'<article id="post-{17 if body is article else i}">{body}</article>'
+                            f'<footer>page {i}</footer></body></html>')
+    own = lambda i: "".join(f"<p>Words of page {i} number {j}, not on others.</p>" for j in range(4))
+    rows = [(i, f"http://a.org/{i}", page(i, article if i % 2 else own(i))) for i in range(40)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r.page_id: r.text for r in html_templates.extract_articles(pages).collect()}
+    whole = " ".join(f"Paragraph {i} of the article that is served again and again." for i in range(6))
+    assert {got[i] for i in range(1, 40, 2)} == {whole}
+    assert all(got[i] == " ".join(f"Words of page {i} number {j}, not on others." for j in range(4))
+               for i in range(0, 40, 2))
+
+
+def test_template_changes_texts_without_telling_tags(spark):
+    """A repeated block of plain elements is found by its class and leaves every text."""
+    page = lambda i: (f"<html><body><div><section>{'This line stands on every page of the host. '}</section>"
+                      f"<div><p>Own text {i} of this page, which is long enough to be its article {i}.</p>"
+                      f"<p>More own text {i * 31}.</p></div></div></body></html>")
+    pages = spark.createDataFrame([(i, "http://b.org/x", page(i)) for i in range(30)],
+                                  "page_id bigint, url string, html string")
+    got = {r.page_id: r.text for r in html_templates.extract_articles(pages).collect()}
+    assert all(got[i] == f"Own text {i} of this page, which is long enough to be its article {i}. More own text {i * 31}."
+               for i in range(30))
+    changed = sum(html_templates.article_text(page(i), set(), None) != got[i] for i in range(30))
+    assert changed == 30
