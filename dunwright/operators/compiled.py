@@ -28,7 +28,7 @@ def model_sql(model: PipelineModel | CalibratedModel) -> str:
         return f"(({' + '.join(parts)}) / {len(parts)})"
     features, classifier = _features(model), model.stages[-1]
     if isinstance(classifier, LogisticRegressionModel):
-        terms = " + ".join([double(classifier.intercept), *[
+        terms = _sum([double(classifier.intercept), *[
             f"{double(c)} * {f}" for c, f in zip(classifier.coefficients.toArray(), features)]])
         return f"(1.0D / (1.0D + exp(-({terms}))))"
     if isinstance(classifier, GBTClassificationModel):
@@ -36,6 +36,14 @@ def model_sql(model: PipelineModel | CalibratedModel) -> str:
     raise TypeError(f"no expression for {type(classifier).__name__}")
 
 
+def _sum(terms: list[str]) -> str:
+    """Halves added to halves, so that the expression stays flat."""
+    if len(terms) == 1:
+        return terms[0]
+    half = len(terms) // 2
+    return f"({_sum(terms[:half])} + {_sum(terms[half:])})"
+
+
 def _features(model: PipelineModel) -> list[str]:
     """An expression per place of the feature vector."""
     made: dict[str, list[str]] = {}    # vectors

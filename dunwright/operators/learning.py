@@ -160,9 +160,9 @@ def cross_validated_scores(df: DataFrame, folds: int = 5, label: str = "recovere
         scored = [(PLAIN, predict(train_logistic(train, True, label), test))]
         if calibrated:
             scored.append((CALIBRATED, train_calibrated(train, 3, label).transform(test)))
-        parts += [s.selectExpr("payment_id", label, "fold", f"'{name}' model", "model_score")
-                  for name, s in scored]
-    return materialize(reduce(DataFrame.unionByName, parts))
+        parts += [materialize(s.selectExpr("payment_id", label, "fold", f"'{name}' model", "model_score"))
+                  for name, s in scored]  # one by one, so that no plan holds all models
+    return reduce(DataFrame.unionByName, parts)
 
 
 def cross_validation_metrics(scores: DataFrame, label: str = "recovered") -> DataFrame:
