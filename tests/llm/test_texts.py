@@ -6,6 +6,7 @@ import math
 import re
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 import corpus_pipeline
@@ -112,6 +113,34 @@ def lattices():
     return segmentation.Lattices(segmentation.Pieces(public_tokenizers.path(segmentation.MODEL)))
 
 
+def test_words_are_those_that_no_piece_links():
+    texts = ["", " ", "a  b\n\n c ", "\n", "▁x ▁▁", "\udc81".encode("utf-8", "replace").decode(), "一 二\n"]
+    points, start, end, sizes = segmentation.words_of(texts)
+    found = ["".join(map(chr, points[a:b])) for a, b in zip(start, end)]
+    wanted = [re.findall("▁*[^▁\n]+|▁+|\n", "▁" + t.replace("▁", "\udc81").replace(" ", "▁")) if t else []
+              for t in texts]
+    assert found == [w for words in wanted for w in words]
+    assert sizes.tolist() == [len(words) for words in wanted]
+
+
+def test_words_held_by_a_worker_change_no_sample(lattices):
+    rows = pq.read_table(f"{SMALL}/documents.parquet", columns=["text"]).column("text").to_pylist()[:60]
+    small = segmentation.Lattices(lattices.pieces, most_edges=3000)
+    trimmed = 0
+    for i in range(0, len(rows), 5):
+        texts, keys = [t or "" for t in rows[i:i + 5]], list(range(i, min(i + 5, len(rows))))
+        full = small.n_edges > small.most_edges
+        a = segmentation.sample_texts(small, keys, texts, 3)
+        trimmed += full
+        b = segmentation.sample_texts(lattices, keys, texts, 3)
+        for x, y in zip(a, b):
+            assert x[-1] == y[-1]
+            assert [p[1:] for p in x[:-1]] == [p[1:] for p in y[:-1]]
+            assert [segmentation._ids(small, p[0]).tolist() for p in x[:-1]] == \
+                [segmentation._ids(lattices, p[0]).tolist() for p in y[:-1]]
+    assert trimmed and len(small.hashes) == len(small.first) == len(small.sizes)
+
+
 def all_segmentations(lat, text):
     """Every segmentation of a text as pieces, with its probability from the pieces alone."""
     pieces, out = lat.pieces, {}
