@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from hashlib import blake2b
 from html import unescape
 
 # Elements without content, with raw content, inside a line, and those that end others.
@@ -31,6 +32,9 @@ BOILERPLATE_WORDS = frozenset("""ad ads advert adverts advertisement advertising
 # Of these, words whose articles are not the page's own; below the others a layout may hold the article.
 OTHERS_WORDS = frozenset("""ad ads advert adverts advertisement advertising adbox sponsor sponsored promo
     promotion comment comments commentlist respond reply replies disqus related recommended""".split())
+# Elements that may hold the article, and those of them that tell nothing by their tag.
+CONTAINERS = frozenset("html body main article section div center td table tbody tr".split())
+NEUTRAL = frozenset("section div center td".split())
 HEADER_WORDS = frozenset(["header", "siteheader", "pageheader"])
 
 _TOKEN = re.compile(
@@ -40,11 +44,12 @@ _ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|itemprop)\s*=\s*(?:"([^"]*)
                         re.I)
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
+_DIGITS = re.compile(r"\d+")
 
 
 class Element:
     __slots__ = ("tag", "role", "parent", "boilerplate", "certain", "words", "others", "header", "content",
-                 "depth")
+                 "depth", "label")
 
     def __init__(self, tag: str, attributes: str, parent: Element | None):
         self.tag, self.parent = tag, parent
@@ -53,6 +58,7 @@ class Element:
             for name, a, b, c in _ATTRIBUTE.findall(attributes):
                 found.setdefault(name.lower(), unescape(a or b or c).lower())
         label = " ".join(sorted(found.get("class", "").split())) + "#" + found.get("id", "")
+        self.label = f"{tag}.{_DIGITS.sub('', label)}"
         self.depth = parent.depth + 1 if parent else 0
         self.role = f"{parent.role if parent else ''}/{tag}.{label}"
         tokens = [_WORD.findall(t) for t in f"{found.get('class', '')} {found.get('id', '')}".split()]
@@ -68,14 +74,6 @@ class Element:
         self.header = tag == "header" or any("".join(t) in HEADER_WORDS for t in tokens) or bool(
             parent and parent.header and not self.content)
 
-    def within(self, role: str) -> bool:
-        e = self
-        while e is not None:
-            if e.role == role:
-                return True
-            e = e.parent
-        return False
-
 
 def blocks(html: str) -> tuple[list[tuple[Element, str]], list[Element]]:
     """(element, text) runs in page order, and all elements.
@@ -158,3 +156,36 @@ def blocks(html: str) -> tuple[list[tuple[Element, str]], list[Element]]:
             stack.append(element)
     flush()
     return out, seen
+
+
+def places(elements: list[Element]) -> dict[Element, tuple[str, bool]]:
+    """Containers to their place: the way from the root, with number and count among like siblings.
+
+    Like siblings agree in tag, class and id without digits and, where the tag tells nothing, in the tag of their
+    first block.  A place that all pages of a host share is thus one of a fixed number: lists whose length varies
+    share none.  The second value says whether all elements on the way are the only ones of their kind.
+    """
+    first: dict[Element, str] = {}
+    for e in elements:
+        if e.tag not in INLINE:
+            first.setdefault(e.parent, e.tag)
+    kinds: dict[tuple, list[Element]] = {}
+    for e in elements:
+        if e.tag in CONTAINERS:
+            shape = first.get(e, "") if e.tag in NEUTRAL else ""
+            kinds.setdefault((e.parent, e.label, shape), []).append(e)
+    number = {e: (f"{label}>{shape}[{i}/{len(like)}]", len(like) == 1)
+              for (_, label, shape), like in kinds.items() for i, e in enumerate(like)}
+    out: dict[Element, tuple[str, bool]] = {}
+    for e in elements:  # parents come first
+        if e not in number:
+            continue
+        if e.parent.parent is None:
+            above, alone = "", True
+        elif e.parent in out:
+            above, alone = out[e.parent]
+        else:
+            continue
+        here, only = number[e]
+        out[e] = blake2b(f"{above}/{here}".encode("utf-8", "surrogatepass"), digest_size=8).hexdigest(), alone and only
+    return out

@@ -10,8 +10,11 @@ more than ``MOST_OWN`` of what those pages have as possible article text: it nes
 optional part.  A class with more is an article that the host serves under many addresses, with an id, a date or a
 counter that differs.  Texts of valid classes belong to the template, everything else is content of slots.
 
-The article is read from the slots below the host's content element: ``article``, else ``main``, else the
-deepest skeleton element that holds most of the host's varying text.  Parts that elements, roles, or whole class
+Containers are also tokens by place: the way from the root with number and count among like siblings, so that bare
+``div`` elements are told apart, and lists of varying length have no place of their own.  The article is read from
+the slots below a place that every page of the host shares and that holds most of the host's possible article text,
+the deepest of these; ``article`` and ``main`` only decide between such places, and on pages without one.  Places
+among like siblings count from ``LEAST_PAGES`` distinct pages on.  Parts that elements, roles, or whole class
 or id tokens name as menus, headers, footers, sidebars, notices, adverts, forms or comments are left out.  Such
 a token on or above a content element does not hide it for good (``article_text``).
 
@@ -32,18 +35,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .common import small_batches, written
-from .html_blocks import Element, blocks
+from .html_blocks import Element, blocks, places
 from .registry import query
 from .url_rules import host_and_path
 
 LEAST_PAGES = 10        # distinct pages of a host before a repeated text can be part of its template
 MOST_OWN = 0.8          # of its pages' possible article text, that a class may hold as a template part
-MOST_TEXT = 0.7         # of the varying text, below the content element
+MOST_TEXT = 0.7         # of the possible article text of the places all pages share, below the content's
 BROADCAST_HOSTS = 10_000
 BROADCAST_TEXTS = 1_000_000  # most template texts (8 bytes each) that are broadcast
 HOST_TEXTS = 2_000      # most template texts that travel beside a page
 BROADCAST_REPEATS = 100_000  # pages with copies whose digests are broadcast, checked by a count
 SALTS = 32
+_LEVEL = 1_000_000  # more than any depth that tells places apart
 
 
 def _number(text: str) -> int:
@@ -60,15 +64,23 @@ def _text(role: str, text: str) -> int:
 
 
 def page_tokens(html: str) -> dict[int, list]:
-    """Token to [count, is element, depth, characters of possible article text in or below it, role]."""
+    """Token to [count, is element, depth, characters of possible article text in or below it, role].
+
+    Places of containers are tokens too: their roles begin with ``@1`` (no like siblings) or ``@2``, and their
+    depths with what the tag says of content.
+    """
     runs, elements = blocks(html)
     out: dict[int, list] = {0: [1, False, 0, 0, ""]}
     numbers: dict[str, int] = {}
+    found = places(elements)
     for e in elements:
         if e.role not in numbers:
             numbers[e.role] = _element(e.role)
         entry = out.setdefault(numbers[e.role], [0, True, e.depth, 0, e.role])
         entry[0] += 1
+    spots = {e: _number(f"p{place}") for e, (place, _) in found.items()}
+    for e, (place, alone) in found.items():
+        out[spots[e]] = [1, True, e.content * _LEVEL + min(e.depth, _LEVEL - 1), 0, f"@{1 if alone else 2}{place}"]
     for e, text in runs:
         own = out.setdefault(_text(e.role, text), [0, False, 0, 0, ""])
         own[0] += 1
@@ -78,6 +90,8 @@ def page_tokens(html: str) -> dict[int, list]:
             up = e
             while up is not None and up.role in numbers:
                 out[numbers[up.role]][3] += len(text)
+                if up in spots:
+                    out[spots[up]][3] += len(text)
                 up = up.parent
     return out
 
@@ -132,7 +146,7 @@ def deduce_templates(pages: DataFrame, host_texts: int = HOST_TEXTS,
                      broadcast_repeats: int = BROADCAST_REPEATS) -> tuple[DataFrame, DataFrame]:
     """(host, html) to one row per host (host, n_texts, texts, content), and all template texts (host, token).
 
-    ``texts`` is null when a host has more than ``host_texts`` of them; ``content`` is a role.
+    ``texts`` is null when a host has more than ``host_texts`` of them; ``content`` is a place.
     """
     sums = distinct_pages(pages, broadcast_repeats).mapInArrow(_statistics, _STATISTICS).groupBy(
         "host", "token", "element").agg(*[F.expr(e) for e in (
@@ -144,12 +158,13 @@ def deduce_templates(pages: DataFrame, host_texts: int = HOST_TEXTS,
         "host", "pages all_pages", "sum_1 all_1", "sum_2 all_2", "total all_total")
     known = sums.filter("token <> 0").join(hosts, "host")
     skeleton = "sum_1 = all_1 and sum_2 = all_2 and pages = all_pages and total = all_total"
-    content = known.filter(f"element and once and chars > 0 and {skeleton}")
+    content = known.filter(f"role like '@%' and chars > 0 and {skeleton}").filter(
+        f"role like '@1%' or all_pages >= {LEAST_PAGES}")
     most = content.groupBy("host").agg(F.expr("max(chars) most"))
     content = content.join(most, "host").filter(f"chars >= {MOST_TEXT} * most").groupBy("host").agg(
-        F.expr("max(struct(depth, chars, role)).role content"))
+        F.expr("substr(max(struct(depth, chars, role)).role, 3) content"))
     classes = ["host", "pages", "sum_1", "sum_2"]
-    possible = known.filter(f"once and pages >= {LEAST_PAGES}")
+    possible = known.filter(f"role not like '@%' and once and pages >= {LEAST_PAGES}")
     nested = possible.groupBy(*classes).agg(
         F.expr("bool_or(element) nested"), F.expr("count_if(not element) texts"),
         F.expr("sum(if(element, 0, chars)) own"), F.expr("max(page_chars) page_chars")) \
@@ -179,6 +194,20 @@ def _below(e: Element, roots: set[Element]) -> Element | None:
     return e
 
 
+def _plain(runs: list[tuple[Element, str]], elements: list[Element],
+           slot: set[Element]) -> tuple[set[Element], list[bool]]:
+    """Content elements, and for each run whether it is article text; within ``slot`` unless this is empty.
+
+    Without a slot, content elements decide; within one they tell its article from what else it holds.
+    """
+    inside = [e for e in elements if e.content and not e.boilerplate and (not slot or _below(e, slot))]
+    level = max((e.content for e in inside), default=0)
+    roots = {e for e in inside if e.content == level}
+    return roots, [not e.boilerplate and (
+        _below(e, roots) is not None if roots else not e.header and (not slot or _below(e, slot) is not None))
+        for e, _ in runs]
+
+
 def article_text(html: str, texts: set[int], content: str | None) -> str:
     """The article of one page, given its host's template.
 
@@ -188,11 +217,10 @@ def article_text(html: str, texts: set[int], content: str | None) -> str:
     """
     runs, elements = blocks(html)
     runs = [(e, text) for e, text in runs if not e.certain and _text(e.role, text) not in texts]
-    level = max((e.content for e in elements if not e.boilerplate), default=0)
-    roots = {e for e in elements if e.content == level and not e.boilerplate} if level else set()
-    plain = [not e.boilerplate and (
-        _below(e, roots) is not None if roots else not e.header and (content is None or e.within(content)))
-        for e, _ in runs]
+    slot = {e for e, (place, _) in places(elements).items() if place == content} if content else set()
+    roots, plain = _plain(runs, elements, slot)
+    if slot and not any(plain):  # nothing in the host's slot: read the page as one without a template
+        roots, plain = _plain(runs, elements, set())
     held = sum(len(text) for (_, text), p in zip(runs, plain) if p)
     for others in (False, True):
         marked = _marked_content(elements, others)

@@ -85,6 +85,33 @@ def test_class_words_do_not_hide_the_article(page, text):
     assert html_templates.article_text(f"<body>{page}</body>", set(), None) == text
 
 
+def bare(page):
+    """A page whose tags and classes say nothing of its parts."""
+    page = re.sub(r"<(/?)(nav|article|footer|header|aside|main)\b", r"<\1div", page)
+    return re.sub(r"<div [^>]*>", "<div>", page)
+
+
+@pytest.mark.parametrize("optional", [False, True])
+def test_slots_decide_where_tags_say_nothing(spark, optional):
+    rows = [r for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect() if r.html][:30]
+    pages = [bare(r.html) for r in rows]
+    if optional:  # a notice on some pages moves what follows it
+        pages = [p.replace("<body>", "<body><div>Site moves on Monday</div>") if i % 3 else p for i, p in enumerate(pages)]
+    got = extract(spark, [(i, "http://h.net/", p) for i, p in enumerate(pages)])
+    wanted = [html_templates.article_text(r.html, set(), None) for r in rows]
+    assert sum(got[i] == text for i, text in enumerate(wanted)) >= 0.95 * len(rows)
+    assert sum(got[i] != html_templates.article_text(p, set(), None) for i, p in enumerate(pages)) >= 0.95 * len(rows)
+
+
+def test_lists_of_varying_length_have_no_places(spark):
+    page = "<body><div><p>Menu</p></div><div><h2>Top {0}</h2>{1}</div><div><p>Foot {0}</p></div></body>"
+    rows = [(i, "http://h.net/", page.format(i, "".join(f"<div>Part {j} of {i}{' long' * 90 * (j == 0)}</div>" for j in range(1 + i % 3))))
+            for i in range(12)]
+    got = extract(spark, rows)
+    assert got == {i: " ".join([f"Top {i}", *(f"Part {j} of {i}{' long' * 90 * (j == 0)}" for j in range(1 + i % 3))])
+                   for i in range(12)}
+
+
 def test_odd_pages(spark):
     rows = [(1, None, None), (2, "x", ""), (3, "http://a/", "plain text &lt;b&gt; only"), (4, "http://a/", "<p>a<p>b"),
             (5, "http://b/", "<article><p>" + "w " * 60_000 + "</article>"), (6, "http://c/", "<script>never closed"),
