@@ -16,17 +16,18 @@ from pyspark.ml.classification import GBTClassificationModel, LogisticRegression
 from pyspark.ml.feature import OneHotEncoderModel, StandardScalerModel, StringIndexerModel, VectorAssembler
 
 from ..functions.scalars import double, text
-from .learning import CalibratedModel
+from . import learning  # imports this module too
 
 _TREE = ("array<struct<w:double,f:array<int>,t:array<double>,l:array<int>,r:array<int>,v:array<double>>>")
 
 
-def model_sql(model: PipelineModel | CalibratedModel) -> str:
+def model_sql(model: PipelineModel | learning.CalibratedModel) -> str:
     """The positive-class probability as SQL text."""
-    if isinstance(model, CalibratedModel):
+    if isinstance(model, learning.CalibratedModel):
         parts = [isotonic.sql(model_sql(pipeline)) for pipeline, isotonic in model.pairs]
         return f"(({' + '.join(parts)}) / {len(parts)})"
-    features, classifier = _features(model), model.stages[-1]
+    classifier = model.stages[-1]
+    features = feature_columns(model.stages[:-1], classifier.getFeaturesCol())
     if isinstance(classifier, LogisticRegressionModel):
         terms = _sum([double(classifier.intercept), *[
             f"{double(c)} * {f}" for c, f in zip(classifier.coefficients.toArray(), features)]])
@@ -44,11 +45,11 @@ def _sum(terms: list[str]) -> str:
     return f"({_sum(terms[:half])} + {_sum(terms[half:])})"
 
 
-def _features(model: PipelineModel) -> list[str]:
-    """An expression per place of the feature vector."""
+def feature_columns(stages: list, name: str) -> list[str]:
+    """An expression per place of the vector ``name`` that fitted feature stages make."""
     made: dict[str, list[str]] = {}    # vectors
     coded: dict[str, tuple[str, list[str]]] = {}  # index column -> (raw column, labels)
-    for stage in model.stages[:-1]:
+    for stage in stages:
         if isinstance(stage, VectorAssembler):
             made[stage.getOutputCol()] = [e for c in stage.getInputCols()
                                           for e in made.get(c, [f"cast({c} as double)"])]
@@ -64,7 +65,7 @@ def _features(model: PipelineModel) -> list[str]:
                 made[out] = [_one_hot(*coded[index], i) for i in range(size - int(stage.getDropLast()))]
         else:
             raise TypeError(f"no expression for {type(stage).__name__}")
-    return made[model.stages[-1].getFeaturesCol()]
+    return made[name]
 
 
 def _one_hot(raw: str, labels: list[str], i: int) -> str:

@@ -126,6 +126,20 @@ def stratified_folds(df: DataFrame, label: str = "recovered", key: str = "paymen
         "* except (_h, _rank, _start)", f"cast((_rank - _start) % {folds} as int) fold")
 
 
+def nested_folds(df: DataFrame, folds: int, inner: int = 3, label: str = "recovered", key: str = "payment_id",
+                 seed: int = 7) -> DataFrame:
+    """Add ``inner_k`` for every ``fold`` k: the stratified inner fold among the rows outside k, NULL inside it.
+
+    Equals :func:`stratified_folds` over each training set.  One order serves them all: a row's place in a
+    training set is the running count of its class without fold k.
+    """
+    counted = df.selectExpr("*", f"sha2(concat_ws('_', {key}, '{seed}'), 256) _h", *[
+        f"cast(fold <> {k} as bigint) _n{k}" for k in range(folds)])
+    placed = with_running_totals(counted, ["_h", key], {f"_r{k}": f"_n{k}" for k in range(folds)}, group=[label])
+    return placed.selectExpr(*[f"`{c}`" for c in df.columns], *[
+        f"case when fold <> {k} then cast((_r{k} - 1) % {inner} as int) end inner_{k}" for k in range(folds)])
+
+
 def holdout_split(df: DataFrame, label: str = "recovered", key: str = "payment_id",
                   seed: int = 42) -> DataFrame:
     """Stratified 80/20 split as a boolean ``is_test``."""

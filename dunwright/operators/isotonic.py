@@ -7,6 +7,8 @@ are compared as fractions of whole numbers, so the result does not depend on how
 
 Labels are 0 or 1, so blocks are edges of a convex polygon with whole coordinates: n rows have at most about
 n^(2/3) blocks however they are ordered, and about n^(1/3) when scores carry noise.  Only blocks move on.
+
+Several fits (a part each) go through the same steps together; ranges are even over all of them.
 """
 
 from __future__ import annotations
@@ -21,12 +23,12 @@ from ..functions.scalars import text
 from .ordering import even_ranges, materialize
 
 MOST_STEPS = 1_000_000  # of a model that is held as literal text
-_BLOCK = "range int, lo double, hi double, n bigint, positives bigint"
+_BLOCK = "part int, range int, lo double, hi double, n bigint, positives bigint"
 _STEPS = "struct<b:array<double>,p:array<double>>"
 
 
 def _pool(table: pa.Table) -> pa.Table:
-    """Merge neighbouring blocks until their means rise."""
+    """Merge neighbouring blocks of a part until their means rise."""
     table = table.sort_by("lo")
     blocks: list[tuple[float, float, int, int]] = []
     for lo, hi, n, positives in zip(*(table.column(c).to_pylist() for c in ("lo", "hi", "n", "positives"))):
@@ -34,33 +36,39 @@ def _pool(table: pa.Table) -> pa.Table:
             before = blocks.pop()
             lo, n, positives = before[0], n + before[2], positives + before[3]
         blocks.append((lo, hi, n, positives))
-    ranges = [table.column("range")[0].as_py()] * len(blocks)
+    part, ranges = ([table.column(c)[0].as_py()] * len(blocks) for c in ("part", "range"))
     columns = list(zip(*blocks)) or [[], [], [], []]
-    return pa.table({"range": pa.array(ranges, pa.int32()), "lo": pa.array(columns[0], pa.float64()),
+    return pa.table({"part": pa.array(part, pa.int32()), "range": pa.array(ranges, pa.int32()), "lo": pa.array(columns[0], pa.float64()),
                      "hi": pa.array(columns[1], pa.float64()), "n": pa.array(columns[2], pa.int64()),
                      "positives": pa.array(columns[3], pa.int64())})
 
 
+def _blocks(scored: DataFrame, part: str, label: str, score: str, ranges: int | None) -> DataFrame:
+    """The blocks ``(part, lo, hi, n, positives, value)`` of the fit of every part (whole number as SQL text)."""
+    spark = scored.sparkSession
+    counted = materialize(scored.selectExpr(
+        f"cast({part} as int) part", f"cast({score} as double) x", f"cast({label} as bigint) y")
+        .filter("x is not null and not isnan(x) and y is not null")
+        .groupBy("part", "x").agg(F.expr("count(1) n"), F.expr("sum(y) positives")))
+    wanted = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cuts = even_ranges(counted.select("part", "x"), wanted)
+    blocks = counted.selectExpr("part", f"cast({cuts.number('part', 'x')} as int) range", "x lo", "x hi", "n",
+                                "positives").groupBy("part", "range").applyInArrow(_pool, _BLOCK)
+    left = len(cuts.bounds) + 1
+    while left > 1:  # neighbours meet in pairs, so that no task takes all ranges at once
+        blocks = blocks.selectExpr("part", "cast(range div 2 as int) range", "lo", "hi", "n", "positives") \
+            .groupBy("part", "range").applyInArrow(_pool, _BLOCK)
+        left = (left + 1) // 2
+    return materialize(blocks.selectExpr("part", "lo", "hi", "n", "positives", "positives / n value"))
+
+
 def isotonic_blocks(scored: DataFrame, label: str = "recovered", score: str = "model_score",
                     ranges: int | None = None) -> DataFrame:
     """The blocks ``(lo, hi, n, positives, value)`` of the fit; values rise with the scores.
 
     Rows without a label or a score (or whose score is no number) take no part.
     """
-    spark = scored.sparkSession
-    counted = materialize(scored.selectExpr(f"cast({score} as double) x", f"cast({label} as bigint) y")
-                          .filter("x is not null and not isnan(x) and y is not null")
-                          .groupBy("x").agg(F.expr("count(1) n"), F.expr("sum(y) positives")))
-    wanted = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = even_ranges(counted.select("x"), wanted)
-    blocks = counted.selectExpr(f"cast({cuts.number('x')} as int) range", "x lo", "x hi", "n", "positives") \
-        .groupBy("range").applyInArrow(_pool, _BLOCK)
-    left = len(cuts.bounds) + 1
-    while left > 1:  # neighbours meet in pairs, so that no task takes all ranges at once
-        blocks = blocks.selectExpr("cast(range div 2 as int) range", "lo", "hi", "n", "positives") \
-            .groupBy("range").applyInArrow(_pool, _BLOCK)
-        left = (left + 1) // 2
-    return materialize(blocks.selectExpr("lo", "hi", "n", "positives", "positives / n value"))
+    return _blocks(scored, "0", label, score, ranges).drop("part")
 
 
 @dataclass(frozen=True)
@@ -98,11 +106,19 @@ class IsotonicSteps:
 def fit_isotonic(scored: DataFrame, label: str = "recovered", score: str = "model_score",
                  ranges: int | None = None) -> IsotonicSteps:
     """The fit as steps; a block gives a point at each of its ends."""
-    blocks = isotonic_blocks(scored, label, score, ranges)
-    steps = blocks.count()
-    if steps > MOST_STEPS:
-        raise ValueError(f"{steps} steps are too many for a literal model; use isotonic_blocks")
-    points: dict[float, float] = {}
-    for r in blocks.orderBy("lo").collect():  # at most MOST_STEPS rows
-        points[r.lo] = points[r.hi] = r.value
-    return IsotonicSteps(list(points), list(points.values()))
+    return fit_isotonic_parts(scored, "0", label, score, ranges).get(0, IsotonicSteps([], []))
+
+
+def fit_isotonic_parts(scored: DataFrame, part: str, label: str = "recovered", score: str = "model_score",
+                       ranges: int | None = None) -> dict[int, IsotonicSteps]:
+    """The fits of all parts of a table as steps; a part without scored rows has none."""
+    blocks = _blocks(scored, part, label, score, ranges)
+    fitted = {}
+    for p, steps in sorted((r.part, r["count"]) for r in blocks.groupBy("part").count().collect()):
+        if steps > MOST_STEPS:
+            raise ValueError(f"{steps} steps are too many for a literal model; use isotonic_blocks")
+        points: dict[float, float] = {}
+        for r in blocks.filter(f"part = {p}").orderBy("lo").collect():  # at most MOST_STEPS rows
+            points[r.lo] = points[r.hi] = r.value
+        fitted[p] = IsotonicSteps(list(points), list(points.values()))
+    return fitted

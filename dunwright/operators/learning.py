@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
+from functools import partial, reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import CATEGORICAL_FEATURES, NUMERIC_FEATURES
+from . import compiled  # imports this module too
 from .decide import score_with_probability
-from .evaluation import METRICS, all_metrics, stratified_folds
-from .isotonic import IsotonicSteps, fit_isotonic
+from .evaluation import METRICS, all_metrics, nested_folds, stratified_folds
+from .isotonic import IsotonicSteps, fit_isotonic, fit_isotonic_parts  # noqa: F401
 from .ordering import materialize
 
 MODEL_COLUMNS = NUMERIC_FEATURES + CATEGORICAL_FEATURES
 PLAIN, CALIBRATED = "Uncalibrated LR", "Calibrated LR"
+AT_ONCE = 4  # fits in flight: their short jobs overlap, and each holds the feature blocks of its training rows
 
 
 def model_inputs(df: DataFrame) -> DataFrame:
@@ -43,12 +48,19 @@ def feature_stages() -> list:
     ]
 
 
-def class_weights(df: DataFrame, label: str = "recovered") -> DataFrame:
+def class_sizes(df: DataFrame, label: str = "recovered", sets: tuple[str, ...] = ("true",)
+                ) -> list[tuple[int, int, int]]:
+    """Rows, positives and negatives of every set of rows (conditions as SQL text), in one pass."""
+    row = df.agg(*[F.expr(f"count_if(({s}) and {c})") for s in sets for c in (
+        "true", f"{label} = 1", f"{label} = 0")]).first()
+    return [tuple(row[i:i + 3]) for i in range(0, len(row), 3)]
+
+
+def class_weights(df: DataFrame, label: str = "recovered", sizes: tuple[int, int, int] | None = None
+                  ) -> DataFrame:
     """Add ``weight`` = rows / (2 · rows of the class)."""
-    sizes = df.agg(F.expr(
-        f"struct(count(1) n, count_if({label} = 1) pos, count_if({label} = 0) neg)")).scalar()
-    return df.withColumn("_s", sizes).selectExpr(
-        "* except (_s)", f"_s.n / (2.0D * case when {label} = 1 then _s.pos else _s.neg end) weight")
+    n, pos, neg = sizes or class_sizes(df, label)[0]
+    return df.withColumn("weight", F.expr(f"{n}L / (2.0D * case when {label} = 1 then {pos}L else {neg}L end)"))
 
 
 def logistic_estimator(rows: int, balanced: bool = False, label: str = "recovered"
@@ -65,25 +77,37 @@ def boosted_estimator(label: str = "recovered", trees: int = 100, depth: int = 6
                          stepSize=0.3, seed=42)
 
 
-def _fit(table: DataFrame, estimator, label: str, extra: list[str]) -> PipelineModel:
-    features = Pipeline(stages=feature_stages()).fit(table)
-    fitted = estimator.fit(features.transform(table).select("features", label, *extra))
+def _fit_features(table: DataFrame) -> PipelineModel:
+    """The fitted feature stages; labels are alphabetical, so distinct categories give what all rows give."""
+    stages = feature_stages()
+    numbers = Pipeline(stages=stages[:2]).fit(table)
+    codes = Pipeline(stages=stages[2:]).fit(table.select(*CATEGORICAL_FEATURES).distinct())
+    return PipelineModel(stages=numbers.stages + codes.stages)
+
+
+def _fit_logistic(table: DataFrame, sizes: tuple[int, int, int], balanced: bool, label: str) -> PipelineModel:
+    """The solver reads its rows twice, so they come as one compiled array, not from stage to stage."""
+    features = _fit_features(table)
+    extra = ["weight"] if balanced else []
+    rows = class_weights(table, label, sizes) if balanced else table
+    places = [F.expr(e) for e in compiled.feature_columns(features.stages, "features")]
+    fitted = logistic_estimator(sizes[0], balanced, label).fit(
+        rows.select(array_to_vector(F.array(*places)).alias("features"), label, *extra))
     return PipelineModel(stages=features.stages + [fitted])
 
 
 def train_logistic(df: DataFrame, balanced: bool = False, label: str = "recovered") -> PipelineModel:
     """Fit on a table written once; the stages pass over it several times."""
     table = materialize(model_inputs(df).select(*MODEL_COLUMNS, label))
-    estimator = logistic_estimator(table.count(), balanced, label)
-    if balanced:
-        return _fit(class_weights(table, label), estimator, label, ["weight"])
-    return _fit(table, estimator, label, [])
+    return _fit_logistic(table, class_sizes(table, label)[0], balanced, label)
 
 
 def train_boosted(df: DataFrame, label: str = "recovered", trees: int = 100) -> PipelineModel:
     """Gradient-boosted trees on the same features."""
     table = materialize(model_inputs(df).select(*MODEL_COLUMNS, label))
-    return _fit(table, boosted_estimator(label, trees), label, [])
+    features = _fit_features(table)  # trees need the vector's attributes, which tell categories from numbers
+    fitted = boosted_estimator(label, trees).fit(features.transform(table).select("features", label))
+    return PipelineModel(stages=features.stages + [fitted])
 
 
 def predict(model: PipelineModel, df: DataFrame, output: str = "model_score") -> DataFrame:
@@ -135,34 +159,69 @@ class CalibratedModel:
                      IsotonicSteps.load(spark, f"{path}/isotonic-{i}")) for i in range(parts)])
 
 
+def _each(spark: SparkSession, jobs: list[Callable]) -> list:
+    """Results of all jobs, a few at a time, as ``pyspark.ml.tuning`` runs its fits."""
+    with ThreadPool(AT_ONCE) as pool:
+        return pool.map(lambda job: job(), [inheritable_thread_target(spark)(job) for job in jobs], chunksize=1)
+
+
+def _calibrated_pairs(table: DataFrame, splits: list[tuple[str, str]], sizes: list[tuple[int, int, int]],
+                      label: str) -> list[tuple[PipelineModel, IsotonicSteps]]:
+    """A balanced pipeline per split (training and held-out rows as SQL text) and its isotonic steps.
+
+    The held-out scores of all splits are written and calibrated together.
+    """
+    def fitted(i: int) -> tuple[PipelineModel, DataFrame]:
+        train, held_out = splits[i]
+        pipeline = _fit_logistic(table.filter(train), sizes[i], True, label)
+        return pipeline, materialize(table.filter(held_out).selectExpr(
+            f"{i} part", label, f"{compiled.model_sql(pipeline)} model_score"))
+
+    pipelines, scored = zip(*_each(table.sparkSession, [partial(fitted, i) for i in range(len(splits))]))
+    steps = fit_isotonic_parts(reduce(DataFrame.unionByName, scored), "part", label)
+    return [(pipeline, steps.get(i, IsotonicSteps([], []))) for i, pipeline in enumerate(pipelines)]
+
+
+def _fold_inputs(df: DataFrame, label: str) -> DataFrame:
+    """What folds and fits need of a table, in the pipeline's types."""
+    return model_inputs(df).select("payment_id", label, *MODEL_COLUMNS)
+
+
 def train_calibrated(df: DataFrame, folds: int = 3, label: str = "recovered") -> CalibratedModel:
     """Isotonic calibration over inner stratified folds; the folds' mean is the model."""
-    split = stratified_folds(df, label, folds=folds, seed=7)
-    pairs = []
-    for k in range(folds):
-        pipeline = train_logistic(split.filter(f"fold <> {k}").drop("fold"), True, label)
-        held_out = predict(pipeline, split.filter(f"fold = {k}").drop("fold"))
-        pairs.append((pipeline, fit_isotonic(held_out, label)))
-    return CalibratedModel(pairs)
+    table = materialize(stratified_folds(_fold_inputs(df, label), label, folds=folds, seed=7))
+    splits = [(f"fold <> {k}", f"fold = {k}") for k in range(folds)]
+    sizes = class_sizes(table, label, tuple(train for train, _ in splits))
+    return CalibratedModel(_calibrated_pairs(table, splits, sizes, label))
 
 
 def cross_validated_scores(df: DataFrame, folds: int = 5, label: str = "recovered",
-                           calibrated: bool = True) -> DataFrame:
+                           calibrated: bool = True, inner: int = 3) -> DataFrame:
     """Out-of-fold scores: ``payment_id, label, fold, model, model_score``.
 
-    The driver loops over folds and models only; each fit and scoring is a Spark job.
+    Features, folds and the inner folds of every training set are written once; each fit is a filter on
+    that table.  The driver loops over folds and models only; each fit and scoring is a Spark job.
     """
-    split = stratified_folds(df, label, folds=folds)
-    parts = []
-    for k in range(folds):
-        train = split.filter(f"fold <> {k}").drop("fold")
-        test = split.filter(f"fold = {k}")
-        scored = [(PLAIN, predict(train_logistic(train, True, label), test))]
-        if calibrated:
-            scored.append((CALIBRATED, train_calibrated(train, 3, label).transform(test)))
-        parts += [materialize(s.selectExpr("payment_id", label, "fold", f"'{name}' model", "model_score"))
-                  for name, s in scored]  # one by one, so that no plan holds all models
-    return reduce(DataFrame.unionByName, parts)
+    spark = df.sparkSession
+    table = stratified_folds(_fold_inputs(df, label), label, folds=folds)
+    table = materialize(nested_folds(table, folds, inner, label) if calibrated else table)
+    plain = [f"fold <> {k}" for k in range(folds)]
+    splits = [(f"inner_{k} <> {j}", f"inner_{k} = {j}")  # null inside fold k
+              for k in range(folds) for j in range(inner)] if calibrated else []
+    sizes = class_sizes(table, label, (*plain, *[train for train, _ in splits]))
+    models = [(k, PLAIN, m) for k, m in enumerate(_each(spark, [
+        partial(_fit_logistic, table.filter(train), sizes[k], True, label) for k, train in enumerate(plain)]))]
+    if calibrated:
+        pairs = _calibrated_pairs(table, splits, sizes[folds:], label)
+        models += [(k, CALIBRATED, CalibratedModel(pairs[k * inner:(k + 1) * inner]))
+                   for k in range(folds)]
+
+    def scored(k: int, name: str, model: PipelineModel | CalibratedModel) -> DataFrame:
+        return materialize(table.filter(f"fold = {k}").selectExpr(
+            "payment_id", label, "fold", f"'{name}' model", f"{compiled.model_sql(model)} model_score"))
+
+    # one by one, so that no plan holds all models
+    return reduce(DataFrame.unionByName, _each(spark, [partial(scored, *m) for m in models]))
 
 
 def cross_validation_metrics(scores: DataFrame, label: str = "recovered") -> DataFrame:

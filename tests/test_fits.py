@@ -51,6 +51,15 @@ def test_isotonic_fit_of_nothing_saves_and_loads(spark, tmp_path):
     assert isotonic.IsotonicSteps.load(spark, str(tmp_path / "s")) == some
 
 
+def test_isotonic_fits_of_parts_equal_fits_on_their_own(spark):
+    df = materialize(spark.range(3_000).selectExpr(
+        "int(id % 3) part", "if(id % 3 = 2, null, round(rand(3), 2)) model_score",
+        "int(rand(5) < 0.2 + 0.5 * rand(3)) recovered"))
+    for ranges in (1, 7):
+        got = isotonic.fit_isotonic_parts(df, "part", ranges=ranges)
+        assert got == {p: isotonic.fit_isotonic(df.filter(f"part = {p}")) for p in (0, 1)}
+
+
 def test_pooling_moves_blocks_only(spark):
     """Fifty thousand distinct scores in random order leave the tasks as a few blocks."""
     df = materialize(spark.range(50_000).selectExpr(

@@ -116,3 +116,34 @@ def test_audit_keeps_a_supplied_expected_value(spark):
     row = spark.sql("select cast(5000 as decimal(14,2)) payment_amount, cast(0.8 as decimal(7,6)) recovery_probability,"
                     " cast(12.5 as decimal(20,8)) expected_recovery")
     assert A.audit_records(row, "s", "t").first().expected_recovery == 12.5
+
+
+def test_cross_validation_sorts_once_and_scores_as_fits_on_their_own(spark, scored, monkeypatch):
+    data = materialize(labelled(scored))
+    split = materialize(E.stratified_folds(data, folds=2))
+    want = {}
+    for k in range(2):
+        train, test = split.filter(f"fold <> {k}").drop("fold"), split.filter(f"fold = {k}")
+        for name, rows in ((ML.PLAIN, ML.predict(ML.train_logistic(train, True), test)),
+                           (ML.CALIBRATED, ML.train_calibrated(train).transform(test))):
+            want |= {(r.payment_id, name): (r.recovered, k, r.model_score) for r in rows.collect()}
+    sorts = []
+    ranked = E.with_global_rank
+    monkeypatch.setattr(E, "with_global_rank", lambda *a, **kw: sorts.append(1) or ranked(*a, **kw))
+    got = {(r.payment_id, r.model): (r.recovered, r.fold, r.model_score)
+           for r in ML.cross_validated_scores(data, folds=2).collect()}
+    assert len(sorts) == 1  # of the folds; training sets are not ordered again
+    assert {k: v[:2] for k, v in got.items()} == {k: v[:2] for k, v in want.items()}
+    assert max(abs(got[k][2] - want[k][2]) for k in want) < 1e-6
+
+
+def test_nested_folds_equal_folds_of_each_training_set(spark, scored):
+    split = materialize(E.stratified_folds(scored.select("payment_id", "recovered"), folds=3))
+    nested = materialize(E.nested_folds(split, 3, 4))
+    assert nested.count() == split.count() > 0
+    for k in range(3):
+        want = E.stratified_folds(split.filter(f"fold <> {k}").drop("fold"), folds=4, seed=7)
+        got = nested.filter(f"inner_{k} is not null")
+        assert nested.filter(f"fold = {k} and inner_{k} is not null").isEmpty()
+        assert {(r.payment_id, r.fold) for r in want.collect()} == {
+            (r.payment_id, r[f"inner_{k}"]) for r in got.collect()}
